@@ -32,22 +32,28 @@ LIMIT = 2048
 #: and numbers. Any other text is encoded whole by the library.
 FAST_BELOW = 0x300
 SLOW = {*range(0x1C, 0x20), 0x130}
+PLAIN = re.compile("[!-~]+")
+SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 
 
 @lru_cache
 def patterns() -> tuple[re.Pattern, re.Pattern]:
-    """(what forces the library, the pre-token pattern)."""
+    """(characters off the fast path, the pre-token pattern)."""
     kinds: dict[str, list[str]] = {"L": [], "N": []}
     for c in range(FAST_BELOW):
         if (k := unicodedata.category(chr(c))[0]) in kinds:
             kinds[k].append(re.escape(chr(c)))
     letters, numbers = "".join(kinds["L"]), "".join(kinds["N"])
-    slow = "".join(re.escape(chr(c)) for c in sorted(SLOW))
-    forced = re.compile(rf"[{slow}]|[^\x00-{chr(FAST_BELOW - 1)}]|<\|startoftext\|>|<\|endoftext\|>")
+    forced = re.compile("[^" + "".join(re.escape(chr(c)) for c in range(FAST_BELOW) if c not in SLOW) + "]")
     # contractions and classes of the vocabulary's pre-tokenizer (fixed values)
     return forced, re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+")
 
 
+def whole(text: str) -> bool:
+    """Whether the library has to encode the text as a whole."""
+    return bool(patterns()[0].search(text)) or "<|" in text and bool(SPECIAL.search(text))
+
+
 @lru_cache
 def library(path: str):
     import os
@@ -61,9 +67,19 @@ def library(path: str):
     return t
 
 
+@lru_cache
+def shown_bytes() -> dict[int, int]:
+    """Byte to the character that stands for it in a byte-level vocabulary: itself where it is printable, else the next from 256."""
+    out: dict[int, int] = {}
+    for b in range(256):
+        out[b] = b if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF else 256 + sum(k != v for k, v in out.items())
+    return out
+
+
 def lengths(path: str, words: list[str]) -> list[int]:
-    """Token counts of pre-tokens, each as the library encodes it on its own."""
-    return [len(e) for e in library(path).encode_batch_fast(words, add_special_tokens=False)]
+    """Token counts of pre-tokens, each by the library's model on its own."""
+    tokenize, shown = library(path).model.tokenize, shown_bytes()
+    return [len(tokenize(w if PLAIN.fullmatch(w) else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(shown))) for w in words]
 
 
 _caches: dict[str, Lookup] = {}
@@ -80,12 +96,12 @@ def frequent(docs: DataFrame, text_col: str = "text", most: int = HOT) -> list[s
     """The most frequent pre-tokens over all texts, by the tasks' bounded summaries (a rare one may miss its place)."""
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forced, split = patterns()
+        split = patterns()[1]
         seen: Counter = Counter()
         for batch in batches:
             for part in slices(batch, 0):
                 for text in part.column(0).to_pylist():
-                    if text and not forced.search(text):
+                    if text and not whole(text):
                         seen.update(split.findall(text.lower()))
                 if len(seen) > SUMMARY:  # lower all counts until few enough are left
                     cut = np.partition(np.fromiter(seen.values(), np.int64, len(seen)), -(SUMMARY // 2))[-(SUMMARY // 2)]
@@ -111,21 +127,22 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, id_col: str = "d
     table = docs.sparkSession.sparkContext.broadcast(dict(zip(words, lengths(path, words), strict=True)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forced, split = patterns()
+        split = patterns()[1]
         cache = _cache(path, table.value)
         for batch in batches:
             for part in slices(batch, 1):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                lists = [[] if forced.search(t) else split.findall(t.lower()) for t in texts]
+                slow = [i for i, t in enumerate(texts) if whole(t)]
+                apart = set(slow)
+                lists = [[] if i in apart else split.findall(t.lower()) for i, t in enumerate(texts)]
                 flat: list[str] = []
                 for x in lists:
                     flat += x
                 ends = np.cumsum([len(x) for x in lists])
                 sums = np.concatenate([[0], np.cumsum(cache.numbers(flat))])
                 n = sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
-                for i, t in enumerate(texts):
-                    if not lists[i] and t and forced.search(t):
-                        n[i] = len(library(path).encode(t, add_special_tokens=False))
+                for i in slow:
+                    n[i] = len(library(path).encode(texts[i], add_special_tokens=False))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)],
                     names=["doc_id", "n_bytes", "n_tokens", "over_limit"],

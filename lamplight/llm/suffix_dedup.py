@@ -28,10 +28,10 @@ from lamplight.llm.common import groups_of
 LENGTH = 50
 #: Bytes of a trigger; longer ones meet less by chance, shorter ones are fewer.
 GRAM = 20
-#: Bytes of text parsed together, buckets for each shuffle partition, dictionary phrases sorted together.
+#: Bytes of text parsed together, dictionary phrases sorted together, bytes of a hash that are dealt out.
 PARSED = 2 << 20
-BUCKETS = 4
 SORTED = 20_000
+HASHED = 6
 BEFORE = LENGTH - GRAM
 SPAN = BEFORE + LENGTH
 
@@ -111,21 +111,39 @@ def _pieces(column, most: int):
         yield start, texts[start:]
 
 
+def mark(text: bytes | None) -> int:
+    """Tells rows of one id apart."""
+    return xxhash.xxh32_intdigest(text or b"") - (1 << 31)
+
+
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.diff(x, prepend=0).astype(np.uint32).tobytes())
+    """Numbers as differences, low bytes first, compressed."""
+    d = np.diff(x.astype(np.int64), prepend=0)
+    return zstandard.ZstdCompressor(level=1).compress(d.view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint32).astype(np.int64))
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(raw.T).view(np.int64).ravel())
+
+
+def _short(h: np.ndarray) -> bytes:
+    return h.view(np.uint8).reshape(-1, 8)[:, 8 - HASHED :].tobytes()
+
+
+def _long(parts: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, HASHED)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :HASHED] = raw
+    return out.view(np.uint64).ravel()
 
 
 def _parse(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # id, mark, text
         for batch in batches:
-            ids_all, marks_all = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for first, texts in _pieces(batch.column(2), PARSED):
-                ids, marks = ids_all[first : first + len(texts)], marks_all[first : first + len(texts)]
+            ids_all = batch.column(0).to_numpy()
+            for first, texts in _pieces(batch.column(1), PARSED):
+                ids, marks = ids_all[first : first + len(texts)], np.fromiter(map(mark, texts), np.int32, len(texts))
                 sizes = np.array([len(t or b"") for t in texts], np.int64)
                 starts = np.cumsum(sizes) - sizes
                 at, gram, phrase = triggers(np.frombuffer(b"".join(t or b"" for t in texts), np.uint8), starts, sizes)
@@ -149,19 +167,18 @@ def _parse(buckets: int):
                     take = order[s:e]
                     docs, back = np.unique(owner[take], return_inverse=True)
                     place = at[take] - starts[owner[take]]
-                    rows.append((int(bucket[take[0]]), ids[docs].tobytes(), marks[docs].tobytes(), _pack(back), _pack_places(place), gram[take].tobytes(), phrase[take].tobytes()))
+                    rows.append((int(bucket[take[0]]), _pack(ids[docs]), marks[docs].tobytes(), _pack(back), _pack(place), _short(gram[take]), _short(phrase[take])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 6), strict=True)], names=["bucket", "ids", "marks", "owner", "places", "gram", "phrase"])
 
     return run
 
 
-def _pack_places(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
-
-
-def _unpack_places(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(raw.T).view(np.uint32).ravel().astype(np.int64)
+def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the one shuffle that they take."""
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for first, texts in _pieces(batch.column(1), PARSED * 4):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(list(map(mark, texts)), pa.int32()), pa.array([press.compress(t) for t in texts], pa.binary())], names=["id", "mark", "text"])
 
 
 def _settle(buckets: int):
@@ -174,14 +191,14 @@ def _settle(buckets: int):
             ids, marks = [], []
             for a, b, c in zip(cols[0], cols[1], cols[2], strict=True):
                 owner = _unpack(c)
-                ids.append(np.frombuffer(a, np.int64)[owner])
-                marks.append(np.frombuffer(b, np.int64)[owner])
+                ids.append(_unpack(a)[owner])
+                marks.append(np.frombuffer(b, np.int32)[owner])
             ids, marks = np.concatenate(ids), np.concatenate(marks)
-            at = np.concatenate([_unpack_places(x) for x in cols[3]])
+            at = np.concatenate([_unpack(x) for x in cols[3]])
             if g.column(0)[0].as_py() >= buckets:
                 yield out(ids, marks, at, [None] * len(ids))
                 continue
-            gram, phrase = (np.frombuffer(b"".join(c), np.uint64) for c in cols[4:])
+            gram, phrase = _long(cols[4]), _long(cols[5])
             order = np.lexsort((ids, phrase, gram))
             ids, marks, at, gram, phrase = (x[order] for x in (ids, marks, at, gram, phrase))
             new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
@@ -208,6 +225,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for i, text, asked in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            text = zstandard.ZstdDecompressor().decompress(text)
             for a in asked:
                 t = a["at"]
                 s = max(t - BEFORE, 0)
@@ -220,7 +238,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["gram", "id", "mark", "start", "phrase"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["gram", "id", "mark", "start", "phrase"])
 
 
 def owned(ids: np.ndarray, starts: np.ndarray, phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +299,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, removed, spans, digest = [], [], [], []
         for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            text = text or b""
+            text = zstandard.ZstdDecompressor().decompress(text)
             size = len(text)
             n.append(size)
             if not ranges:
@@ -310,20 +328,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Other columns are not read.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
-    buckets = parts * BUCKETS // 2
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text"))
-    known = rows.where("id is not null").withColumn("mark", F.xxhash64("text"))
-    parsed = known.select("id", "mark", "text").mapInArrow(_parse(buckets), "bucket int, ids binary, marks binary, owner binary, places binary, gram binary, phrase binary")
-    settled = parsed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(buckets), "id long, mark long, at int, gram long")
+    known = rows.where("id is not null")
+    small = known.mapInArrow(_shrink, "id long, mark int, text binary")
+    parsed = known.mapInArrow(_parse(parts), "bucket int, ids binary, marks binary, owner binary, places binary, gram binary, phrase binary")
+    settled = parsed.repartition(parts * 2, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(parts), "id long, mark int, at int, gram long")
     asked = settled.where("gram is not null").groupBy("id", "mark").agg(F.collect_list(F.struct("at", "gram", "mark")).alias("asked"))
     fetched = (
-        known.join(asked.withColumnsRenamed({"id": "i2", "mark": "m2"}), (F.col("id") == F.col("i2")) & (F.col("mark") == F.col("m2"))).select("id", "text", "asked")
-        .mapInArrow(_fetch, "gram long, id long, mark long, start int, phrase binary")
+        small.join(asked.withColumnsRenamed({"id": "i2", "mark": "m2"}), (F.col("id") == F.col("i2")) & (F.col("mark") == F.col("m2"))).select("id", "text", "asked")
+        .mapInArrow(_fetch, "gram long, id long, mark int, start int, phrase binary")
     )
-    ends = fetched.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_sort, "id long, mark long, start int, stop int")
+    ends = fetched.repartition(parts * 2, "gram").sortWithinPartitions("gram").mapInArrow(_sort, "id long, mark int, start int, stop int")
     covered = settled.where("gram is null").select("id", "mark", (F.col("at") - BEFORE).alias("start"), (F.col("at") + LENGTH).alias("stop"))
     ranges = covered.unionAll(ends).groupBy("id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    joined = known.join(ranges.withColumnsRenamed({"id": "i2", "mark": "m2"}), (F.col("id") == F.col("i2")) & (F.col("mark") == F.col("m2")), "left").select("id", "text", "ranges")
-    alone = rows.where("id is null").select("id", "text", F.lit(None).cast(joined.schema["ranges"].dataType).alias("ranges"))
+    joined = small.join(ranges.withColumnsRenamed({"id": "i2", "mark": "m2"}), (F.col("id") == F.col("i2")) & (F.col("mark") == F.col("m2")), "left").select("id", "text", "ranges")
+    alone = rows.where("id is null").mapInArrow(_shrink, "id long, mark int, text binary").select("id", "text", F.lit(None).cast(joined.schema["ranges"].dataType).alias("ranges"))
     return joined.unionAll(alone).mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -1,4 +1,4 @@
-"""Queries over the driver's tables, one or more for each operator, with the SQL that gives the same rows."""
+"""Queries by name, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -8,3 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+from lamplight.plans import queries  # noqa: E402,F401

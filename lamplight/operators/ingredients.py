@@ -57,7 +57,7 @@ def with_keywords(text: Column, found: Column) -> Column:
     for name, unit, modern_unit, pattern in KEYWORDS:
         amount = historical_number(F.regexp_extract(text, pattern, 1))
         new = F.array(item(F.lit(name), amount, unit, amount * UNIT_FACTORS[unit], modern_unit)).cast(SCHEMA)
-        add = text.rlike(pattern) & ~F.exists(found, lambda i, name=name: F.lower(i["name"]) == name)
+        add = text.rlike(pattern) & ~F.array_contains(F.transform(found, lambda i: F.lower(i["name"])), F.lit(name))
         found = F.when(add, F.concat(found, new)).otherwise(found)
     return found
 

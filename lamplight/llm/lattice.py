@@ -126,7 +126,7 @@ def _links(cosine: float):
             left = np.arange(len(rep)) if i == j else np.flatnonzero(side == i)
             right = left if i == j else np.flatnonzero(side == j)
             links = np.zeros(len(rep), np.int64)
-            pa_, pb_ = [], []
+            pa_, pb_ = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             step = max(1, CHUNK * 4 // max(1, len(right)))
             for s in range(0, len(left), step):
                 rows = left[s : s + step]

@@ -1,9 +1,10 @@
 """Toxicity by class-conditional Kneser-Ney models (operator 2).
 
-Each class has a Kneser-Ney model over the characters of words (four before each), and both back off to one model of
+Each class has a Kneser-Ney model over the characters of words (five before each), and both back off to one model of
 continuation counts pooled over the classes, so an expression that is rare in both is scored alike by both. A text's
-score compares the two length-normalised log-likelihoods: over the whole text, over its most telling run of words and over
-its most telling word. A logistic calibration of those three, fitted on a fold that its counts have not seen, gives 0 to 1.
+score compares the two length-normalised log-likelihoods: over the whole text and its most telling run of words per
+character, over its one and its three most telling words per word. A logistic calibration of those four, fitted on a fold
+that its counts have not seen, gives 0 to 1.
 
 Counts come from all labelled training rows by distributed aggregates: first over words, then over character n-grams that
 are hashed into a table of fixed size, which bounds what reaches the driver and is broadcast.
@@ -23,12 +24,13 @@ from pyspark.sql import functions as F
 
 from lamplight.llm.common import Lookup, slices
 
-#: Characters before the predicted one, size of the hashed tables, discount, words of a run.
-CONTEXT = 4
+#: Characters before the predicted one, size of the hashed tables, discount, words of a run, words that tell most.
+CONTEXT = 5
 BUCKETS = 1 << 20
-DISCOUNT = 0.75
+DISCOUNT = 0.9
 RUN = 8
-#: Labelled rows that fit the calibration (three weights and a constant), at most.
+TELLING = 3
+#: Labelled rows that fit the calibration (four weights and a constant), at most.
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.7
 #: Words a task counts before it hands them on, and the longest piece of a run of letters that is a word.
@@ -101,11 +103,11 @@ def estimate(g: np.ndarray, h: np.ndarray, low: np.ndarray, lowh: np.ndarray, to
 
 
 def features(texts: list[str], numbers) -> np.ndarray:
-    """Rows of (whole text, best run of words, best word), log ratios per character. ``numbers``: words to log ratios."""
+    """Rows of log ratios (whole text and best run per character, best word, best three words per word). ``numbers``: words to log ratios."""
     lists = [WORD.findall(t.lower()) for t in texts]
     flat = [w for x in lists for w in x]
     n = np.array([len(x) for x in lists], np.int64)
-    out = np.zeros((len(texts), 3))
+    out = np.zeros((len(texts), 4))
     if not flat:
         return out
     ratio = numbers(flat)
@@ -118,7 +120,15 @@ def features(texts: list[str], numbers) -> np.ndarray:
     at = np.arange(len(flat))
     to = np.minimum(at + RUN, np.repeat(ends, n))
     out[some, 1] = np.maximum.reduceat((cr[to] - cr[at]) / (cs[to] - cs[at]), starts)
-    out[some, 2] = np.maximum.reduceat(ratio / size, starts)
+    left, owner = ratio.astype(float), np.repeat(np.arange(len(starts)), n[some])
+    for k in range(TELLING):
+        best = np.maximum.reduceat(left, starts)
+        got = np.where(np.isfinite(best), best, 0.0)
+        if k == 0:
+            out[some, 2] = got
+        out[some, 3] += got / TELLING
+        hit = np.flatnonzero(left == best[owner])
+        left[hit[np.unique(owner[hit], return_index=True)[1]]] = -np.inf
     return out
 
 
@@ -210,10 +220,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             for part in slices(batch, 1):
                 x = features(part.column(1).to_pylist(), shared.value.score)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x[:, k]) for k in range(3))], names=["y", "a", "b", "c"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x[:, k]) for k in range(4))], names=["y", "a", "b", "c", "d"])
 
-    fit = sample.select("y", "text").mapInArrow(rate, "y int, a double, b double, c double").toArrow().to_pydict()
-    x = np.array([fit["a"], fit["b"], fit["c"]], float).T.reshape(-1, 3)
+    fit = sample.select("y", "text").mapInArrow(rate, "y int, a double, b double, c double, d double").toArrow().to_pydict()
+    x = np.array([fit[k] for k in "abcd"], float).T.reshape(-1, 4)
     y = np.array(fit["y"], float)
     order = np.lexsort([*x.T, y])  # sums in one order, whatever order rows came in
     return model, *logistic(x[order], y[order])

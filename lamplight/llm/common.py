@@ -99,20 +99,41 @@ def slices(batch, text_at: int):
     yield batch.slice(start, n - start)
 
 
+#: Edges that one task contracts.
+CONTRACTED = 500_000
+
+
+def _contract(batches):
+    """Edges of one task as stars: each vertex with the least one that it reaches here."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if parts:
+        u, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        low = ids[local_components(len(ids), at[: len(u)], at[len(u) :])]
+        keep = ids != low
+        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(low[keep])], names=["u", "v"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(id, comp)``, comp the smallest id reachable.
 
-    Alternating large-star and small-star steps, each a shuffle on one end whose minimum is a partial aggregate, so a
-    hub with many neighbours is combined on the map side and no neighbour list is gathered. Every step is cut by a
-    checkpoint. Only ids that occur in edges are returned; self loops and nulls are ignored.
+    Each round first contracts edges in tasks of at most CONTRACTED on average; where one such task holds them all, that
+    settles it. Else a large-star and a small-star step follow: shuffles on one end whose minimum is a partial aggregate,
+    so a hub with many neighbours is combined on the map side and no neighbour list is gathered. Every round is cut by a
+    checkpoint. Only ids that occur in edges between two different ids are returned; nulls are ignored.
     """
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    e = e.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = cut(e)
+    e = cut(e.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     # a key that is computed anew is shuffled anew, so that adaptive execution may split the rows of a hub
     anew = F.shiftleft("u", 0).alias("u")
     before = None
-    for _ in range(rounds):
+    for k in range(rounds):
+        n = e.count()
+        tasks = -(-n // CONTRACTED)
+        if tasks <= 1:
+            e = cut(e.coalesce(1).mapInArrow(_contract, "u long, v long"))
+            break
+        e = cut(e.repartition(tasks, F.xxhash64("v", F.lit(k))).mapInArrow(_contract, "u long, v long"))
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(anew, F.least("u", "m").alias("m"))
         # large star: neighbours above u go to the least of u and its neighbours

@@ -5,10 +5,12 @@ shingles of least rank are kept in text order and hashed to a key: texts that sh
 keys follow edit similarity rather than set similarity. Candidates are verified by a banded alignment of the labelled
 shingles: the longest chain of common shingles that rises in both texts, over all shingles of the two.
 
-Texts with equal words are one row before they meet a table. Within a key's bucket pairs are first drawn to the bucket's least
-text; once verified links have merged most of it, only texts that are still in different groups are compared, most
-alike first, by a small sketch, in rounds that end when no promising pair across groups is left unverified. So no bucket
-emits all its pairs, and no link between groups is lost for that. Groups, links and fingerprints stay in Spark.
+Texts with equal words are one row before they meet a table. A key's texts are first each compared with its least text
+alone; the links found merge most of a group of copies. What is left are keys whose texts lie in several groups: a
+sketch tells which texts may have a link across groups, only those meet again with their shingles, and every promising
+pair is aligned in the task itself, in the least key that the pair shares, unless links found there have joined the
+two already. A task hands on links that join groups, never its pairs, and a large key is dealt out as pairs of blocks.
+Groups, links and fingerprints stay in Spark.
 """
 
 from __future__ import annotations
@@ -30,11 +32,11 @@ SIMILARITY = 0.8
 #: Tables and shingles of a key: a pair at the threshold shares no key with odds of 1 in 10^5.
 TABLES = 16
 KEPT = 3
-#: Bins of the sketch, and the estimate under which a pair is not verified (over four deviations below the threshold).
-BINS = 128
-PROMISING = 0.62
-#: Partners that a text may try in each other group of its bucket in the first round; four times as many in each next.
-FIRST_TRIES = 4
+#: Bins of the sketch, and the estimate under which a pair is not verified (four deviations below the threshold).
+BINS = 256
+PROMISING = 0.7
+#: Texts of a block of a key, on average.
+BLOCK = 2048
 WORD = re.compile(r"\w+")
 
 
@@ -114,7 +116,7 @@ def signatures(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
             key = _mix(key + np.where(there, h[np.where(there, p, 0)], np.uint64(1)), 0x77 + k)
         keys[some, t] = key.view(np.int64)
     r = _mix(h, 0x5EED)
-    bins = owner * BINS + (r >> np.uint64(57)).astype(np.int64)
+    bins = owner * BINS + (r >> np.uint64(56)).astype(np.int64)
     low = np.full(len(some) * BINS, top)
     np.minimum.at(low, bins, r)
     value = (_mix(low, 3) >> np.uint64(50)) % np.uint64(255) + np.uint64(1)
@@ -170,48 +172,81 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _draw(tries: int | None):
-    """Candidates of each bucket: (a, b, cut), cut where more would have been promising. ``tries`` None: all to the least text."""
-
+def alike(sketch: np.ndarray, k: int, others: np.ndarray) -> np.ndarray:
+    """Estimated similarity of text k to others, by the bins that hold something."""
+    mine, theirs = sketch[k], sketch[others]
+    same = ((theirs == mine) & (theirs > 0)).sum(axis=1)
+    return same / np.maximum(((theirs > 0) | (mine > 0)).sum(axis=1), 1)
+
+
+def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text of a key with the key's least text, where that is promising."""
+    # key, rep, sketch
+    for g in groups_of(batches, 1):
+        rep = g.column(1).to_numpy()
+        sketch = np.frombuffer(b"".join(g.column(2).to_pylist()), np.uint8).reshape(-1, BINS)
+        lead = int(rep.argmin())
+        others = np.flatnonzero(np.arange(len(rep)) != lead)
+        if len(others):
+            good = others[alike(sketch, lead, others) >= PROMISING]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(good), rep[lead])), pa.array(rep[good])], names=["a", "b"])
+
+
+def _sides(g: pa.Table, at: int) -> list[tuple[int, np.ndarray]]:
+    """(text, the texts it meets here) for a block, or for a pair of blocks; columns at, at + 1, at + 2 are i, j and side."""
+    i, j, side = g.column(at)[0].as_py(), g.column(at + 1)[0].as_py(), g.column(at + 2).to_numpy()
+    n = len(side)
+    if i == j:
+        return [(k, np.arange(k + 1, n)) for k in range(n - 1)]
+    right = np.flatnonzero(side == j)
+    return [(k, right) for k in np.flatnonzero(side == i).tolist()]
+
+
+def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts that may have a link to another group of their key, once for each block pair."""
+    # key, i, j, side, rep, comp, sketch
+    for g in groups_of(batches, 3):
+        rep, comp = g.column(4).to_numpy(), g.column(5).to_numpy()
+        if comp.min() == comp.max():
+            continue
+        sketch = np.frombuffer(b"".join(g.column(6).to_pylist()), np.uint8).reshape(-1, BINS)
+        hit = np.zeros(len(rep), bool)
+        for k, others in _sides(g, 1):
+            others = others[comp[others] != comp[k]]
+            if len(others):
+                others = others[alike(sketch, k, others) >= PROMISING]
+                hit[others] = True
+                hit[k] |= len(others) > 0
+        if hit.any():
+            take = pa.array(np.flatnonzero(hit))
+            yield pa.RecordBatch.from_arrays([g.column(c).take(take).combine_chunks() for c in range(7)], names=["key", "i", "j", "side", "rep", "comp", "sketch"])
+
+
+def _settle(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # key, rep, comp, sketch
-        for g in groups_of(batches, 1):
-            rep, comp = g.column(1).to_numpy(), g.column(2).to_numpy()
-            if len(rep) < 2 or comp.min() == comp.max():
-                continue
-            sk = np.frombuffer(b"".join(g.column(3).to_pylist()), np.uint8).reshape(-1, BINS)
-            some = sk > 0
-            full = False
-            pairs = []
-
-            def alike(k: int, others: np.ndarray, sk=sk, some=some) -> np.ndarray:
-                same = ((sk[others] == sk[k]) & some[others]).sum(axis=1)
-                return same / np.maximum((some[others] | some[k]).sum(axis=1), 1)
-
-            if tries is None:
-                lead = int(rep.argmin())
-                others = np.flatnonzero(np.arange(len(rep)) != lead)
-                pairs = [(rep[lead], rep[o]) for o in others[alike(lead, others) >= PROMISING]]
-            else:
-                for k in range(len(rep)):
-                    others = np.flatnonzero(comp != comp[k])
-                    est = alike(k, others)
-                    good = est >= PROMISING
-                    others, est = others[good], est[good]
-                    order = np.lexsort((rep[others], -est, comp[others]))
-                    others = others[order]
-                    if not len(others):
-                        continue
-                    c = comp[others]
-                    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-                    place = np.arange(len(c)) - np.repeat(first, np.diff(np.append(first, len(c))))
-                    full |= bool((place >= tries).any())
-                    pairs += [(min(rep[k], rep[o]), max(rep[k], rep[o])) for o in others[place < tries]]
-            if pairs or full:
-                a = np.array(pairs, np.int64).reshape(-1, 2)
-                a = np.unique(a, axis=0) if len(a) else a
-                a = np.concatenate([a, np.full((int(full), 2), -1, np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(a[:, 0] < 0)], names=["a", "b", "full"])
+        # key, i, j, side, rep, comp, sketch, keys, h
+        for g in groups_of(batches, 3):
+            key, rep = g.column(0)[0].as_py(), g.column(4).to_numpy()
+            comp = np.unique(g.column(5).to_numpy(), return_inverse=True)[1]
+            sketch = np.frombuffer(b"".join(g.column(6).to_pylist()), np.uint8).reshape(-1, BINS)
+            keys = np.array(g.column(7).to_pylist(), np.int64)
+            mine = int(np.flatnonzero((keys == key).any(axis=0))[0])
+            h = [np.frombuffer(x, np.uint64) for x in g.column(8).to_pylist()]
+            links = []
+            for k, others in _sides(g, 1):
+                others = others[comp[others] != comp[k]]
+                if not len(others):
+                    continue
+                est = alike(sketch, k, others)
+                others, est = others[est >= PROMISING], est[est >= PROMISING]
+                others = others[~(keys[others][:, :mine] == keys[k, :mine]).any(axis=1)]  # a pair belongs to the first table that it shares
+                for o in others.tolist():
+                    if comp[o] != comp[k] and aligned(h[k], h[o], similarity):
+                        links.append((rep[k], rep[o]))
+                        comp[comp == comp[o]] = comp[k]
+            if links:
+                a = np.array(links, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
 
     return run
 
@@ -249,36 +284,33 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = live.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     same = cut(same)
     placed = same.select("rep", F.explode("keys").alias("key"))
-    sizes = placed.groupBy("key").agg(F.countDistinct("rep").alias("size")).where("size > 1").select(F.shiftleft("key", 0).alias("key"))
-    shared = cut(placed.join(sizes, "key", "left_semi").distinct())
-    met = shared.select("rep").distinct()
-    sketches = same.join(met, "rep", "left_semi").select("rep", "digest", "sketch").dropDuplicates(["rep"])
-    sketches = cut(sketches.select("rep", "sketch"))
-    buckets = cut(shared.join(sketches, "rep"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
-    held = None
-    links = same.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-    tested = links
+    sizes = placed.groupBy("key").agg(F.count_distinct("rep").alias("size")).where("size > 1").select(F.shiftleft("key", 0).alias("key"))
+    shared = placed.join(sizes, "key", "left_semi").distinct()
+    signs = same.select("rep", "sketch", "keys").dropDuplicates(["rep"])
+    buckets = cut(shared.join(signs.select("rep", "sketch"), "rep"))
+    met = buckets.select(F.col("rep").alias("id")).distinct()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    led = cut(buckets.select("key", "rep", "sketch").repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(_lead, "a long, b long").distinct())
+    held = cut(rows.withColumnRenamed("doc_id", "id").join(met, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_hold, "id long, h binary"))
+    one = led.join(held.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
+    two = one.join(held.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").select("a", "b", "ha", "hb")
+    links = cut(two.mapInArrow(_verify(similarity), "a long, b long, similarity double").where("similarity > 0").select("a", "b"))
+    comps = components(links)
+    # keys whose texts lie in several groups
+    now = cut(buckets.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"), "sketch"))
+    open_keys = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high")
+    open_keys = open_keys.select(F.shiftleft("key", 0).alias("key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = (
+        now.join(open_keys, "key").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "comp", "sketch")
+    )
+    kind = "key long, i int, j int, side int, rep long, comp long, sketch binary"
+    again = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(_promising, kind)
+    again = again.join(signs.select("rep", "keys"), "rep").join(held.select(F.col("id").alias("rep"), "h"), "rep").select("key", "i", "j", "side", "rep", "comp", "sketch", "keys", "h")
+    more_links = cut(again.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(_settle(similarity), "a long, b long").distinct())
+    links = links.unionAll(more_links)
     comps = components(links)
-    tries = None
-    while True:
-        now = buckets.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"), "sketch")
-        drawn = cut(now.repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(_draw(tries), "a long, b long, full boolean").distinct())
-        fresh = cut(drawn.where("not full").select("a", "b").join(tested, ["a", "b"], "left_anti"))
-        new = fresh.count()
-        if new:
-            if held is None:  # shingles of the texts that met in a bucket
-                reps = met.select(F.col("rep").alias("id"))
-                held = cut(rows.withColumnRenamed("doc_id", "id").join(reps, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_hold, "id long, h binary"))
-            one = fresh.join(held.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
-            two = one.join(held.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").select("a", "b", "ha", "hb")
-            good = cut(two.mapInArrow(_verify(similarity), "a long, b long, similarity double").where("similarity > 0").select("a", "b"))
-            links = cut(links.unionAll(good))
-            tested = cut(tested.unionAll(fresh))
-            comps = components(links)
-        if tries is not None and not new and not drawn.where("full").limit(1).count():
-            break
-        tries = FIRST_TRIES if tries is None else tries * 4
     ids = live.select("doc_id", "digest").join(same.select(F.concat("digest", F.lit(b"")).alias("digest"), "rep"), "digest").select("doc_id", "rep").distinct()
     # rows of one id with different texts tie their classes together
     more = ids.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")

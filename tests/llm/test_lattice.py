@@ -89,3 +89,26 @@ def test_recall_at_the_threshold():
     a, b = la.cells(v), la.cells(0.93 * v + np.sqrt(1 - 0.93**2) * w)
     met = (a[:, :, None] == b[:, None, :]).any(axis=(1, 2)).mean()
     assert met > 0.998
+
+
+def test_components(spark, monkeypatch):
+    from lamplight.llm import common
+
+    rng = np.random.default_rng(6)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 2001 + k) for k in range(50)] + [(5, 5), (None, 3)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a is not None and a != b:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    want = sorted((x, find(x)) for x in list(root))
+    assert sorted(map(tuple, common.components(df).collect())) == want
+    monkeypatch.setattr(common, "CONTRACTED", 40)
+    assert sorted(map(tuple, common.components(df).collect())) == want
+    assert common.components(df.limit(0)).count() == 0

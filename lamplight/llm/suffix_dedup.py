@@ -331,7 +331,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text"))
     known = rows.where("id is not null")
-    small = known.mapInArrow(_shrink, "id long, mark int, text binary")
+    # the filter, which an inner join would add for itself, lets both joins share one shuffle
+    small = known.mapInArrow(_shrink, "id long, mark int, text binary").where("id is not null and mark is not null")
     parsed = known.mapInArrow(_parse(parts), "bucket int, ids binary, marks binary, owner binary, places binary, gram binary, phrase binary")
     settled = parsed.repartition(parts * 2, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(parts), "id long, mark int, at int, gram long")
     asked = settled.where("gram is not null").groupBy("id", "mark").agg(F.collect_list(F.struct("at", "gram", "mark")).alias("asked"))

@@ -4,17 +4,41 @@ Every row goes through three combining stages, and each compares whole contents,
 combined first (the partial side of the aggregate), then groups of a salted digest, then the winners of the salts. A
 group that holds a third of all rows therefore reaches any task as at most one row per earlier task or salt. The way
 back to the rows is a join on the digest, whose hot keys adaptive execution splits.
+
+Contents travel compressed: the same compressor makes equal bytes of equal contents and different ones of different
+contents, so comparing them compares the contents.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.llm.common import lower_ascii
+from lamplight.llm.common import slices
 
 #: Salts of a digest in the second stage.
 SALTS = 64
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+LEVEL = 3
+
+
+def _digest(text: bytes) -> tuple[bytes, str]:
+    body = text.translate(LOWER)
+    return body, hashlib.sha256(body).hexdigest()
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # id, text
+    press = zstandard.ZstdCompressor(level=LEVEL)
+    for batch in batches:
+        for part in slices(batch, 1):
+            both = [_digest(t or b"") for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([d for _, d in both], pa.string()), pa.array([press.compress(b) for b, _ in both], pa.binary())], names=["doc_id", "digest", "body"])
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
@@ -25,8 +49,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     only where its group has no other id. Rows repeated with their id count in group_size and get a row each, all kept
     if they carry keep_id. An empty table gives no rows. Other columns are not read.
     """
-    text = lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("body")).withColumn("digest", F.sha2("body", 256))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary")).mapInArrow(_contents, f"doc_id {kind}, digest string, body binary")
     salted = (
         rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
         .groupBy("digest", "salt", "body")
@@ -48,11 +72,35 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Cases as in ``exact_groups``; of rows repeated with their id, one stays.
     """
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__digest")).distinct()
-    text = lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = docs.withColumn("__hash", F.sha2(text, 256))
-    out = rows.join(kept, (F.col("__hash") == F.col("__digest")) & F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
-    repeated = rows.groupBy(F.col(id_col).alias("__id"), F.col("__hash").alias("__h")).count().where("count > 1")
-    single = out.join(repeated, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_anti")
-    again = out.join(repeated, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_semi")
-    return single.unionByName(again.dropDuplicates([id_col, "__hash"])).select(*docs.columns)
+    names, at = docs.columns, docs.columns.index(text_col)
+    inner = [f"c{k}" for k in range(len(names))]
+    kinds = [f.dataType.simpleString() for f in docs.schema]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in batches:
+            for part in slices(batch, at):
+                texts = part.column(at).to_pylist()
+                cols = [part.column(k) for k in range(len(names))]
+                cols[at] = pa.array([None if t is None else press.compress(t) for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([_digest(t or b"")[1] for t in texts], pa.string())], names=[*inner, "digest"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            back = zstandard.ZstdDecompressor()
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                cols = [part.column(k) for k in range(len(names))]
+                cols[at] = pa.array([None if t is None else back.decompress(t).decode("utf-8", "surrogatepass") for t in cols[at].to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays(cols, names=inner)
+
+    keep = exact_groups(docs, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("kept_digest")).agg(F.count("*").alias("copies"))
+    keep = keep.select("keep", F.substring("kept_digest", 1, 64).alias("kept_digest"), "copies")
+    packed = docs.select(*[(F.col(n).cast("string").cast("binary") if k == at else F.col(n)).alias(inner[k]) for k, n in enumerate(names)])
+    packed = packed.mapInArrow(pack, ", ".join(f"{c} {'binary' if k == at else kinds[k]}" for k, c in enumerate(inner)) + ", digest string")
+    key = inner[names.index(id_col)]
+    found = packed.join(keep, (F.col("digest") == F.col("kept_digest")) & F.col(key).eqNullSafe(F.col("keep")))
+    single = found.where("copies = 1").select(*inner)
+    again = found.where("copies > 1").dropDuplicates([key, "digest"]).select(*inner)
+    out = single.unionByName(again).mapInArrow(unpack, ", ".join(f"{c} {'string' if k == at else kinds[k]}" for k, c in enumerate(inner)))
+    return out.select(*[F.col(c).alias(n) for c, n in zip(inner, names, strict=True)])

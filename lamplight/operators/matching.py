@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamplight.functions.text import first_nonempty, match_id, positional_similarity
@@ -22,28 +22,27 @@ def match_texts(records: DataFrame, texts: DataFrame, id_col: str = "id") -> Dat
     sides are dealt out in a grid of blocks.
     """
     t = texts.where(first_nonempty(F.col(id_col)).isNotNull()).select(match_id(F.col(id_col)).alias("t_id"), F.col("full_text").alias("t_text"), F.col("pos").alias("t_pos"))
-    key = F.monotonically_increasing_id() if "__key" not in records.columns else F.col("__key")
-    r = records.withColumn("__key", key).withColumn("__r", F.regexp_replace(match_id(F.coalesce(F.col(id_col), F.lit(""))), "_+", "_"))
-    r = r.drop("full_text") if "full_text" in records.columns else r
-    first = t.withColumn("__n", F.row_number().over(Window.partitionBy("t_id").orderBy("t_pos"))).where("__n = 1").drop("__n")
+    r = records.drop("full_text").withColumn("__r", match_id(F.coalesce(F.col(id_col), F.lit(""))))
+    first = t.groupBy("t_id").agg(F.min(F.struct("t_pos", "t_text")).alias("f")).select("t_id", F.col("f.t_text").alias("t_text"))
     equal = r.join(first, F.col("__r") == F.col("t_id"), "left")
-    done = equal.where("t_id is not null").drop("t_id", "t_pos")
-    rest = equal.where("t_id is null").drop("t_id", "t_text", "t_pos")
-    size = t.agg(F.sum(F.octet_length("t_id") + 24)).first()[0] or 0
-    probe = rest.where("__r <> ''").select("__key", "__r")
-    ids = t.select("t_id", "t_pos")
+    done = equal.where("t_id is not null").drop("t_id")
+    rest = equal.where("t_id is null").drop("t_id", "t_text")
+    # the answer depends on the compared form alone, so each form is looked up once
+    probe = rest.where("__r <> ''").select("__r").distinct()
+    ids = t.groupBy("t_id").agg(F.min("t_pos").alias("t_pos"))
+    size = ids.agg(F.sum(F.octet_length("t_id") + 24)).first()[0] or 0
     if size <= BROADCAST_BYTES:
         pairs = probe.join(F.broadcast(ids), F.lit(True))
     else:
         n = -(-size // BROADCAST_BYTES)
         left = probe.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        pairs = left.join(ids.withColumn("__b", F.pmod(F.xxhash64("t_pos"), F.lit(n))), "__b")
+        pairs = left.join(ids.withColumn("__b", F.pmod(F.xxhash64("t_pos"), F.lit(n)).cast("int")), "__b")
     inside = F.when(F.contains("t_id", "__r") | F.contains("__r", "t_id"), F.least(F.char_length("t_id"), F.char_length("__r"))).otherwise(F.lit(0))
-    scored = pairs.select("__key", "t_pos", inside.alias("inside"), positional_similarity(F.col("t_id"), F.col("__r")).alias("similar")).where((F.col("inside") > 0) | (F.col("similar") > SIMILAR))
-    best = scored.groupBy("__key").agg(F.min(F.struct((-F.col("inside")).alias("a"), F.when(F.col("inside") > 0, 0.0).otherwise(-F.col("similar")).alias("b"), "t_pos")).alias("best")).select("__key", F.col("best.t_pos").alias("t_pos"))
+    scored = pairs.select("__r", "t_pos", inside.alias("inside"), positional_similarity(F.col("t_id"), F.col("__r")).alias("similar")).where((F.col("inside") > 0) | (F.col("similar") > SIMILAR))
+    best = scored.groupBy("__r").agg(F.min(F.struct((-F.col("inside")).alias("a"), F.when(F.col("inside") > 0, 0.0).otherwise(-F.col("similar")).alias("b"), "t_pos")).alias("best")).select(F.col("__r").alias("__q"), F.col("best.t_pos").alias("t_pos"))
     found = best.join(t.select("t_pos", "t_text"), "t_pos").drop("t_pos").withColumn("__hit", F.lit(True))
-    fuzzy = rest.join(found, "__key", "left")
+    fuzzy = rest.join(found, F.col("__r") == F.col("__q"), "left").drop("__q")
     both = done.withColumn("__hit", F.lit(True)).unionByName(fuzzy)
     fallback = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("category", F.lit("")))
-    keep = [c for c in records.columns if c not in ("full_text", "__key")]
+    keep = [c for c in records.columns if c != "full_text"]
     return both.select(*keep, F.coalesce(first_nonempty(F.col("t_text")), fallback).alias("full_text"), F.coalesce("__hit", F.lit(False)).alias("text_found"))

@@ -213,21 +213,35 @@ def gates(text: Column) -> dict[str, Column]:
     }
 
 
+def running_start(totals: DataFrame, blocks: int = 1000) -> DataFrame:
+    """(doc_id, next) where next = max(next before, top + 1) in the order of documents, and ``others`` numbers are used up by each.
+
+    Totals are one row per document. They are ordered within blocks of documents; only sums and maxima of at most
+    ``blocks`` blocks are ordered by one task.
+    """
+    cuts = F.array_distinct(F.percentile_approx("doc_id", [k / blocks for k in range(1, blocks)], 10_000))
+    edges = totals.agg(cuts.alias("cuts"))
+    t = totals.join(F.broadcast(edges)).withColumn("block", F.size(F.filter(F.coalesce("cuts", F.array().cast("array<bigint>")), lambda c: c < F.col("doc_id")))).drop("cuts")
+    inner = Window.partitionBy("block").orderBy("doc_id")
+    outer = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = t.groupBy("block").agg(F.sum("others").alias("s")).select("block", F.coalesce(F.sum("s").over(outer), F.lit(0)).alias("offset"))
+    t = t.withColumn("sum", F.coalesce(F.sum("others").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).join(F.broadcast(sums), "block")
+    t = t.withColumn("sum", F.col("sum") + F.col("offset")).withColumn("value", F.coalesce("top", F.lit(0)) + 1 - F.col("sum"))
+    highs = t.groupBy("block").agg(F.max("value").alias("h")).select("block", F.coalesce(F.max("h").over(outer), F.lit(1)).alias("high"))
+    t = t.withColumn("value", F.max("value").over(inner.rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(highs), "block")
+    return t.select("doc_id", (F.greatest("value", "high", F.lit(1)) + F.col("sum")).alias("next"))
+
+
 def family_book(docs: DataFrame, shortest: int = 50_000) -> DataFrame:
-    """All five families of long documents. Numbers run on over families and documents: totals of a document are one
-    row, and only those are put in one order, never texts."""
+    """All five families of long documents. Numbers run on over families and documents."""
     docs = docs.where(F.char_length("text") > shortest)
     g = gates(F.col("text"))
     parts = [vodka_records(docs.where(g["starred"])), french_records(docs.where(g["french"])), perfume_records(docs.where(g["perfume"])), oil_records(docs.where(g["oil"])), elixir_records(docs.where(g["elixir"]))]
     rows = united([p.withColumn("family", F.lit(k)) for k, p in enumerate(parts)])
     totals = rows.groupBy("doc_id").agg(F.max(F.when(F.col("family") == 0, F.col("number"))).alias("top"), F.sum((F.col("family") > 0).cast("int")).alias("others"))
-    # next = max(next, top + 1) + others, from document to document
-    before = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    totals = totals.withColumn("sum", F.coalesce(F.sum("others").over(before), F.lit(0)))
-    totals = totals.withColumn("next", F.greatest(F.max(F.coalesce("top", F.lit(0)) + 1 - F.col("sum")).over(upto), F.lit(1)) + F.col("sum"))
+    start = running_start(totals)
     simple = F.when(F.col("source_pattern") == "elixir_simple", 1).otherwise(0)
-    later = numbered(rows.where("family > 0").withColumn("simple", simple), totals.select("doc_id", "next"), ["family", "simple", "pos"]).drop("simple")
+    later = numbered(rows.where("family > 0").withColumn("simple", simple), start, ["family", "simple", "pos"]).drop("simple")
     out = rows.where("family = 0").unionByName(later)
     return out.withColumn("emit_seq", F.col("family") * F.lit(1 << 32) + F.col("pos")).drop("family").orderBy("number", "doc_id", "emit_seq")
 

@@ -87,7 +87,9 @@ def test_merge_of_units(spark):
 def test_cleaning(spark):
     texts = ["a  b", "а\nб", "а\n\nб", "А\nБ"]
     got = {r.doc_id: r.c for r in docs(spark, *texts).select("doc_id", chunks.clean_scan(F.col("text")).alias("c")).collect()}
-    assert [got[k] for k in range(4)] == ["a b", "а б", "аб", "А\nБ"] or got[2] in ("а б", "аб")
+    assert [got[k] for k in range(4)] == ["a b", "а б", "аб", "А\nБ"]
+    kept = docs(spark, "а \n\n\n б").select(chunks.clean_scan(F.col("text"), keep_paragraphs=True).alias("c")).first().c
+    assert kept == "а\n\nб"
 
 
 def test_chunks(spark):
@@ -133,3 +135,18 @@ def test_quarantine(spark):
     good, bad = store.quarantined(docs(spark, None, "", "x", "y" * 200), store.document_checks())
     assert [r.doc_id for r in good.collect()] == [3]
     assert {r.doc_id: r.error for r in bad.collect()} == {0: "no content", 1: "no content", 2: "too short"}
+
+
+def test_running_start_over_blocks(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(k, rng.choice([None, rng.randint(1, 300)]), rng.randint(0, 9)) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, top int, others long")
+    want, now = {}, 1
+    for k, top, others in rows:
+        now = max(now, (top or 0) + 1)
+        want[k] = now
+        now += others
+    for blocks in (1000, 7):
+        assert {r.doc_id: r.next for r in records.running_start(df, blocks).collect()} == want

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of text a Python worker turns into objects at once.
-SLICE_ROWS = 2000
-SLICE_BYTES = 16 << 20
+SLICE_ROWS = 500
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

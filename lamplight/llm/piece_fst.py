@@ -29,7 +29,7 @@ from lamplight.llm.common import slices
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Segments and pairs of pieces that a worker keeps, about, and the longest segment that advances with others.
-KEPT_SEGMENTS = 400_000
+KEPT_SEGMENTS = 300_000
 KEPT_PAIRS = 300_000
 LONGEST_KEPT = 64
 #: Segments that advance together, and classes of characters in the transitions.

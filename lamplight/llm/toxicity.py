@@ -35,7 +35,7 @@ CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.7
 #: Words a task counts before it hands them on, and the longest piece of a run of letters that is a word.
 HELD_WORDS = 200_000
-KEPT_WORDS = 150_000
+KEPT_WORDS = 100_000
 LONGEST = 48
 WORD = re.compile(r"\w{1,%d}" % LONGEST)
 #: Scale of the log ratios that the worker cache keeps as integers; the offset keeps them above 0.
@@ -230,7 +230,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _rated(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, threshold: float, carry: list[str]) -> DataFrame:
-    """doc_id, held_out, score, predicted and c0, c1, ... for the carried columns."""
+    """doc_id, held_out, score, predicted and c0, c1, ... for the carried columns. A carried text is sent to Python once."""
+    own = carry.index(text_col) if text_col in carry and docs.schema[text_col].dataType.simpleString() == "string" else None
     model, weights, scale = train(docs, labels, id_col, text_col, label_col)
     shared = docs.sparkSession.sparkContext.broadcast((model, weights, scale))
     names = ["doc_id", "held_out", "score", "predicted", *(f"c{k}" for k in range(len(carry)))]
@@ -242,11 +243,11 @@ def _rated(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
             for part in slices(batch, 2):
                 texts = [t or "" for t in part.column(2).to_pylist()]
                 score = apply_logistic(features(texts, lambda ws: (cache.numbers(ws) - OFFSET) / SCALE), w, scale)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32)), *(part.column(3 + k) for k in range(len(carry)))], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32)), *(part.column(2 if k == own else 3 + k) for k in range(len(carry)))], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     kinds = "".join(f", c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
-    rows = docs.select(F.col(id_col).alias("a"), (fold(F.col(id_col)) == 1).alias("b"), F.col(text_col).cast("string").alias("t"), *[F.col(c).alias(f"x{k}") for k, c in enumerate(carry)])
+    rows = docs.select(F.col(id_col).alias("a"), (fold(F.col(id_col)) == 1).alias("b"), F.col(text_col).cast("string").alias("t"), *[(F.lit(None) if k == own else F.col(c)).alias(f"x{k}") for k, c in enumerate(carry)])
     return rows.mapInArrow(rate, f"doc_id {kind}, held_out boolean, score double, predicted int{kinds}")
 
 

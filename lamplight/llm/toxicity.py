@@ -6,8 +6,10 @@ score compares the two length-normalised log-likelihoods: over the whole text an
 character, over its one and its three most telling words per word. A logistic calibration of those four, fitted on a fold
 that its counts have not seen, gives 0 to 1.
 
-Counts come from all labelled training rows by distributed aggregates: first over words, then over character n-grams that
-are hashed into a table of fixed size, which bounds what reaches the driver and is broadcast.
+Counts come from all labelled training rows by distributed aggregates: first over words, then over character n-grams, each
+under a 64-bit number of its own. All n-grams that end alike but for their first and last characters meet in one task, which
+holds every count that their probabilities need. Only the log ratios of the n-grams and contexts seen are gathered: sorted
+tables that grow with the corpus, and in which an n-gram that was not seen is not found.
 """
 
 from __future__ import annotations
@@ -22,11 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.llm.common import Lookup, slices
+from lamplight.llm.common import Lookup, shuffle_parts, slices
 
-#: Characters before the predicted one, size of the hashed tables, discount, words of a run, words that tell most.
+#: Characters before the predicted one, discount, words of a run, words that tell most.
 CONTEXT = 5
-BUCKETS = 1 << 20
 DISCOUNT = 0.9
 RUN = 8
 TELLING = 3
@@ -36,8 +37,13 @@ THRESHOLD = 0.7
 #: Words a task counts before it hands them on, and the longest piece of a run of letters that is a word.
 HELD_WORDS = 200_000
 KEPT_WORDS = 100_000
+#: Words whose n-grams a task counts together, and n-grams that it rates together (whole contexts, so it may be more).
+COUNTED_WORDS = 50_000
+RATED_GRAMS = 200_000
 LONGEST = 48
 WORD = re.compile(r"\w{1,%d}" % LONGEST)
+#: Counts of a word or an n-gram: ordinary and toxic rows of fold 0, and of fold 2.
+FOUR = ("p0", "t0", "p2", "t2")
 #: Scale of the log ratios that the worker cache keeps as integers; the offset keeps them above 0.
 SCALE, OFFSET = 1 << 16, 1 << 40
 
@@ -48,7 +54,7 @@ def _mix(h: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, ...]:
-    """For each predicted character of all words, the end included: (word's index, buckets of the n-gram, of its context, of the
+    """For each predicted character of all words, the end included: (word's index, numbers of the n-gram, of its context, of the
     n-gram without its first character, of that one's context)."""
     pad = "\x02" * CONTEXT
     codes = np.frombuffer("".join(f"{pad}{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -60,46 +66,108 @@ def grams(words: list[str]) -> tuple[np.ndarray, ...]:
     for k in range(CONTEXT - 1, 0, -1):
         short = _mix(short, codes[at - k])
     long = _mix(short, codes[at - CONTEXT] + np.uint64(1 << 33))
-    bucket = lambda h: (h >> np.uint64(7)) % np.uint64(BUCKETS)
-    return owner[at], *(bucket(h).astype(np.int64) for h in (_mix(long, codes[at] + np.uint64(1 << 34)), long, _mix(short, codes[at] + np.uint64(1 << 35)), short))
+    return owner[at], *(h.view(np.int64) for h in (_mix(long, codes[at] + np.uint64(1 << 34)), long, _mix(short, codes[at] + np.uint64(1 << 35)), short))
 
 
 @dataclass
 class Model:
-    ratio: np.ndarray  # by n-gram: log P(toxic) - log P(ordinary); NaN where unseen
-    unseen: np.ndarray  # by context: the same for any character not seen after it
+    grams: np.ndarray  # numbers of the n-grams seen, in order
+    ratio: np.ndarray  # of each: log P(toxic) - log P(ordinary)
+    contexts: np.ndarray  # numbers of the contexts seen, in order
+    unseen: np.ndarray  # of each: the same for any character not seen after it
 
     def score(self, words: list[str]) -> np.ndarray:
         if not words:
             return np.zeros(0)
         owner, g, h, _, _ = grams(words)
-        r = self.ratio[g]
-        return np.bincount(owner, np.where(np.isnan(r), self.unseen[h], r), len(words))
+        r = found(self.grams, self.ratio, g, np.nan)
+        miss = np.isnan(r)
+        r[miss] = found(self.contexts, self.unseen, h[miss], 0.0)
+        return np.bincount(owner, r, len(words))
+
+
+def found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, otherwise: float) -> np.ndarray:
+    """The values of the wanted keys; ``keys`` are in order."""
+    some, back = np.unique(wanted, return_inverse=True)
+    out = np.full(len(some), otherwise)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, some), len(keys) - 1)
+        hit = keys[at] == some
+        out[hit] = values[at[hit]]
+    return out[back]
 
 
 def estimate(g: np.ndarray, h: np.ndarray, low: np.ndarray, lowh: np.ndarray, toxic: np.ndarray, plain: np.ndarray) -> Model:
-    """Interpolated Kneser-Ney: class counts on top, pooled continuation counts below, uniform at the bottom."""
+    """Interpolated Kneser-Ney: class counts on top, pooled continuation counts below, uniform at the bottom.
+
+    ``g`` are distinct, and all n-grams of a ``lowh`` are there; others have no part in its probabilities.
+    """
     live = toxic + plain > 0
     g, h, low, lowh, toxic, plain = (x[live] for x in (g, h, low, lowh, toxic, plain))
-    kinds = np.bincount(low, minlength=BUCKETS).astype(float)  # distinct left extensions of the shorter n-gram
-    firsts = np.zeros(BUCKETS, np.int64)
-    firsts[low] = lowh
-    seen = np.flatnonzero(kinds)
-    every = np.bincount(firsts[seen], kinds[seen], BUCKETS)
-    branch = np.bincount(firsts[seen], minlength=BUCKETS)
+    contexts, h = np.unique(h, return_inverse=True)
+    _, first, low = np.unique(low, return_index=True, return_inverse=True)
+    lowh = np.unique(lowh, return_inverse=True)[1]
+    kinds = np.bincount(low).astype(float)  # distinct left extensions of the shorter n-gram
+    every = np.bincount(lowh[first], kinds)
+    branch = np.bincount(lowh[first])
     base = 1 / 256
-    shared = (np.maximum(kinds[low] - DISCOUNT, 0) + DISCOUNT * branch[lowh] * base) / np.maximum(every[lowh], 1)
+    shared = (np.maximum(kinds[low] - DISCOUNT, 0) + DISCOUNT * branch[lowh] * base) / every[lowh]
     logs, left = [], []
     for n in (toxic, plain):
-        total = np.bincount(h, n, BUCKETS)
-        types = np.bincount(h, n > 0, BUCKETS)
+        total = np.bincount(h, n, len(contexts))
+        types = np.bincount(h, n > 0, len(contexts))
         mass = np.where(total > 0, DISCOUNT * types / np.maximum(total, 1), 1.0)
         p = np.where(total[h] > 0, np.maximum(n - DISCOUNT, 0) / np.maximum(total[h], 1), 0) + mass[h] * shared
         logs.append(np.log(np.maximum(p, 1e-12)))
         left.append(np.log(mass))
-    ratio = np.full(BUCKETS, np.nan, np.float32)
-    ratio[g] = logs[0] - logs[1]
-    return Model(ratio, (left[0] - left[1]).astype(np.float32))
+    order = np.argsort(g)
+    return Model(g[order], (logs[0] - logs[1])[order].astype(np.float32), contexts, (left[0] - left[1]).astype(np.float32))
+
+
+def whole_contexts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of batches sorted by ``lowh``, about ``most`` rows at once; a ``lowh`` never splits."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < most:
+            continue
+        lowh = batch.column("lowh").to_numpy()
+        stop = int(np.searchsorted(lowh, lowh[-1]))
+        if stop or len(held) > 1 and held[-2].column("lowh")[-1].as_py() != lowh[-1]:
+            yield _columns([*held[:-1], batch.slice(0, stop)])
+            held, rows = [batch.slice(stop)], batch.num_rows - stop
+    if rows:
+        yield _columns(held)
+
+
+def _columns(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    table = pa.Table.from_batches(batches)
+    return {k: table.column(k).to_numpy() for k in table.column_names}
+
+
+def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Log ratios of n-grams and contexts by the model and by the one of fold 0 alone (null where that has not seen them)."""
+    for a in whole_contexts(batches, RATED_GRAMS):
+        uniq, where, back = np.unique(a["g"], return_index=True, return_inverse=True)
+        key = [uniq, *(a[k][where] for k in ("h", "low", "lowh"))]
+        n = {k: np.bincount(back, a[k]).astype(np.int64) for k in FOUR}
+        both = estimate(*key, n["t0"] + n["t2"], n["p0"] + n["p2"])
+        first = estimate(*key, n["t0"], n["p0"])
+        for seen, keys, values, some, theirs in ((True, both.grams, both.ratio, first.grams, first.ratio), (False, both.contexts, both.unseen, first.contexts, first.unseen)):
+            early = found(some, theirs, keys, np.nan).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), seen)), pa.array(keys), pa.array(values), pa.array(early, mask=np.isnan(early))], names=["seen", "key", "both", "first"])
+
+
+def gathered(rated: DataFrame) -> tuple[Model, Model]:
+    """(the model, that of fold 0 alone) from the rows of ``_ratios``."""
+    table = rated.toArrow()
+    seen, key, both, first = (table.column(k).to_numpy() for k in ("seen", "key", "both", "first"))
+    order = np.argsort(key)
+    some = {k: order[seen[order] == k] for k in (True, False)}
+    early = {k: x[~np.isnan(first[x])] for k, x in some.items()}
+    return Model(key[some[True]], both[some[True]], key[some[False]], both[some[False]]), Model(key[early[True]], first[early[True]], key[early[False]], first[early[False]])
 
 
 def features(texts: list[str], numbers) -> np.ndarray:
@@ -190,25 +258,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield out()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> pa.RecordBatch:
+            part = pa.Table.from_batches(held)
+            held.clear()
+            owner, g, h, low, lowh = grams(part.column(0).to_pylist())
+            uniq, where, back = np.unique(g, return_index=True, return_inverse=True)
+            sums = [np.bincount(back, part.column(k).to_numpy()[owner]).astype(np.int64) for k in FOUR]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (uniq, h[where], low[where], lowh[where], *sums)], names=["g", "h", "low", "lowh", *FOUR])
+
         for batch in batches:
-            for start in range(0, batch.num_rows, 20_000):
-                part = batch.slice(start, 20_000)
-                ws = part.column(0).to_pylist()
-                if not ws:
-                    continue
-                owner, g, h, low, lowh = grams(ws)
-                uniq, where, back = np.unique(g, return_index=True, return_inverse=True)
-                sums = [np.bincount(back, part.column(k + 1).to_numpy()[owner]).astype(np.int64) for k in range(4)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (uniq, h[where], low[where], lowh[where], *sums)], names=["g", "h", "low", "lowh", "p0", "t0", "p2", "t2"])
-
-    four = [F.sum(c).alias(c) for c in ("p0", "t0", "p2", "t2")]
-    types = rows.select("part", "y", "text").mapInArrow(words, "word string, p0 long, t0 long, p2 long, t2 long").groupBy("word").agg(*four)
+            for start in range(0, batch.num_rows, COUNTED_WORDS):
+                held.append(batch.slice(start, COUNTED_WORDS))
+                if sum(x.num_rows for x in held) >= COUNTED_WORDS:
+                    yield out()
+        if held:
+            yield out()
+
+    types = rows.select("part", "y", "text").mapInArrow(words, "word string, p0 long, t0 long, p2 long, t2 long").groupBy("word").agg(*[F.sum(c).alias(c) for c in FOUR])
     table = types.mapInArrow(count, "g long, h long, low long, lowh long, p0 long, t0 long, p2 long, t2 long")
-    got = table.groupBy("g").agg(F.min("h").alias("h"), F.min("low").alias("low"), F.min("lowh").alias("lowh"), *four).toArrow().to_pydict()
-    a = {k: np.array(v, np.int64) for k, v in got.items()}
-    key = [a[k] for k in ("g", "h", "low", "lowh")]
-    model = estimate(*key, a["t0"] + a["t2"], a["p0"] + a["p2"])
-    first = estimate(*key, a["t0"], a["p0"])
+    model, first = gathered(table.repartition(shuffle_parts(docs.sparkSession), "lowh").sortWithinPartitions("lowh").mapInArrow(_ratios, "seen boolean, key long, both float, first float"))
     # a bounded sample of fold 2 in the order of a hash, taken by a threshold on it
     total = rows.where("part = 2").count()
     sample = rows.where("part = 2")

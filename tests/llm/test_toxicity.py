@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -83,3 +84,26 @@ def test_model_is_a_distribution():
     assert np.isfinite(m.score(["the", "zebra", ""])).all()
     same = tx.estimate(uniq, h[at], low[at], lowh[at], count, count)
     assert np.allclose(same.score(words), 0, atol=1e-6)
+
+
+def test_every_gram_has_a_ratio_of_its_own():
+    """Far more n-grams than a table of 2^20 places holds: none shares its number, and what was not seen is not found."""
+    rng = random.Random(7)
+    words = list({"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(300_000)})
+    _, g, h, low, lowh = tx.grams(words)
+    uniq, at = np.unique(g, return_index=True)
+    assert len(uniq) == len({("\x02" * 5 + w + "\x03")[k : k + 6] for w in words for k in range(len(w) + 1)}) > 1 << 20
+    m = tx.estimate(uniq, h[at], low[at], lowh[at], np.ones(len(uniq), np.int64), np.zeros(len(uniq), np.int64))
+    assert len(m.grams) == len(uniq)
+    other = tx.grams(["ЖЖЖЖЖЖЖЖ", "0123456789"])[1]
+    assert np.isnan(tx.found(m.grams, m.ratio, other, np.nan)).all()
+
+
+def test_tables_grow_with_the_words(spark, corpus, monkeypatch):
+    docs, labels = corpus
+    whole = tx.train(docs, labels)[0]
+    _, g, h, low, lowh = tx.grams(sorted({w for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 for w in tx.WORD.findall(r.text.lower())}))
+    assert set(whole.grams.tolist()) == set(g.tolist()) and set(whole.contexts.tolist()) == set(h.tolist())
+    monkeypatch.setattr(tx, "RATED_GRAMS", 1)
+    cut = tx.train(docs, labels)[0]
+    assert (cut.grams == whole.grams).all() and (cut.ratio == whole.ratio).all() and (cut.unseen == whole.unseen).all()

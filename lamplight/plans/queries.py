@@ -274,6 +274,32 @@ def hybrid_rrf_batch(spark: SparkSession, d: str) -> DataFrame:
     return hybrid(spark, d, 10).select("query_id", "id", F.round("score", 9).alias("score"), "rank")
 
 
+# every row whose id is divisible by 20 is a query
+EVERY_DENSE, EVERY_SPARSE = DENSE.replace("q.vec_id < {n}", "q.vec_id % 20 = 0"), SPARSE.replace("q.id < {n}", "q.id % 20 = 0")
+
+
+def every_query(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(query vectors, tokens of all documents, tokens of queries)."""
+    q, t = tables(spark, d, "embeddings").where("vec_id % 20 = 0"), vectors.postings(tables(spark, d, "documents"))
+    return q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), t, t.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+
+
+@query(f"WITH {EVERY_DENSE} SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM dense")
+def dense_topk_every(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.dense_scores(dense_points(spark, d), every_query(spark, d)[0]).withColumn("score", F.round("score", 6)).select("query_id", "id", "score", "rank")
+
+
+@query(f"WITH {EVERY_SPARSE} SELECT query_id, id, score, rank::INT AS rank FROM sparse")
+def sparse_topk_every(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.sparse_scores(*every_query(spark, d)[1:]).select("query_id", "id", "score", "rank")
+
+
+@query(f"WITH {EVERY_DENSE}, {EVERY_SPARSE}, {FUSED} SELECT query_id, id, round(score, 9) AS score, rank::INT AS rank FROM r WHERE rank <= 10")
+def hybrid_rrf_every(spark: SparkSession, d: str) -> DataFrame:
+    q, t, own = every_query(spark, d)
+    return vectors.hybrid_search(dense_points(spark, d), t, q, own).select("query_id", "id", F.round("score", 9).alias("score"), "rank")
+
+
 @query("""SELECT s_suppkey, replace(replace(regexp_replace(translate(lower(trim(s_name) || '__щука_жар'), 'укаар', 'ukaar'), '_+', '_', 'g'), 'щ', 'shch'), 'ж', 'zh') AS match_id FROM supplier""")
 def translit_ids(spark: SparkSession, d: str) -> DataFrame:
     return tables(spark, d, "supplier").select("s_suppkey", T.match_id(F.concat(F.lit(" "), "s_name", F.lit("__щука_жар "))).alias("match_id"))

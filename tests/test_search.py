@@ -57,3 +57,24 @@ def test_embedder(spark):
     df = spark.createDataFrame([("a b",), (None,)], "text string")
     rows = vectors.embedded(df, vectors.hashing_embedder(8)).collect()
     assert abs(sum(x * x for x in rows[0].dense) - 1) < 1e-6 and set(rows[1].dense) == {0.0}
+
+
+def test_every_row_divisible_by_20_is_a_query(spark, tmp_path):
+    from lamplight.plans.registry import QUERIES
+
+    spark.createDataFrame([(k, [float(k % 7), 1.0]) for k in range(90)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(k, f"w{'abcd'[k % 4]} all") for k in range(130)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = lambda name: {r.query_id for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert asked("dense_topk_every") == set(range(0, 90, 20))
+    assert asked("sparse_topk_every") == asked("hybrid_rrf_every") == set(range(0, 130, 20))
+
+
+def test_sparse_passes_equal_one(spark, monkeypatch):
+    tokens = spark.createDataFrame([(k, f"t{j}") for k in range(30) for j in range(8) if (k * 7 + j) % 3], "id long, token string")
+    queries = tokens.where("id % 2 = 0").withColumnRenamed("id", "query_id")
+    rows = lambda: sorted(map(tuple, vectors.sparse_scores(tokens, queries, 5).collect()))
+    want = rows()
+    taken = []
+    monkeypatch.setattr(vectors, "MOST_QUERIES", 4)
+    monkeypatch.setattr(vectors, "ranked", lambda scores, top, f=vectors.ranked: (taken.append(1), f(scores, top))[1])
+    assert rows() == want and len(taken) > 1

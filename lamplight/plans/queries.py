@@ -87,6 +87,16 @@ def first_wins_dedup(spark: SparkSession, d: str) -> DataFrame:
     return records.first_wins(rows, "key", rows.where("pos % 10 = 3")).withColumnRenamed("doc_id", "source")
 
 
+@query("""WITH f AS (SELECT min(source) AS first FROM documents), r AS (SELECT source, text, doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents, f WHERE source <> f.first)
+    SELECT source, md5(text) AS digest, doc_id AS pos FROM r WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM documents e, f WHERE e.source = f.first AND e.text = r.text)""")
+def first_wins_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts as keys, over all sources at once; the first source is the earlier pass."""
+    docs = tables(spark, d, "documents")
+    rows = docs.crossJoin(F.broadcast(docs.agg(F.min("source").alias("first")))).select(F.lit("documents").alias("doc_id"), F.col("text").alias("key"), F.col("doc_id").alias("pos"), "source", "first")
+    out = records.first_wins(rows.where("source <> first"), "key", rows.where("source = first"))
+    return out.select("source", F.md5("key").alias("digest"), "pos")
+
+
 @query("""SELECT doc_id, CASE WHEN contains(n, 'эссенция') OR contains(n, 'квинтэссенция') THEN 'эссенция' WHEN contains(n, 'эликсир') THEN 'эликсир' WHEN contains(n, 'тинктура') THEN 'тинктура'
     WHEN contains(n, 'капли') OR contains(n, 'жизненные') THEN 'жизненные_капли' WHEN contains(n, 'вода') AND NOT contains(n, 'раневая') THEN 'лечебная_вода' ELSE 'настойка' END AS category
     FROM (SELECT doc_id, lower(CASE doc_id % 7 WHEN 0 THEN 'Эссенция ' WHEN 1 THEN 'Эликсир ' WHEN 2 THEN 'Тинктура ' WHEN 3 THEN 'Капли ' WHEN 4 THEN 'Вода раневая ' WHEN 5 THEN 'Вода ' ELSE '' END || text) AS n FROM documents)""")

@@ -150,3 +150,17 @@ def test_running_start_over_blocks(spark):
         now += others
     for blocks in (1000, 7):
         assert {r.doc_id: r.next for r in records.running_start(df, blocks).collect()} == want
+
+
+def test_texts_that_begin_alike_stay(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lamplight.plans.registry import QUERIES
+
+    same = "a shared masthead of more than forty characters: "
+    rows = [(1, same + "one", "b"), (2, same + "two", "b"), (3, same + "three", "b"), (13, same + "four", "b"), (5, same + "two", "c"), (6, same + "one", "a"), (7, same + "TWO", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.pos: r.digest for r in QUERIES["first_wins_texts"](spark, str(tmp_path)).collect()}
+    want = {r.doc_id: r.m for r in df.select("doc_id", F.md5("text").alias("m")).collect() if r.doc_id in (2, 3, 7, 13)}
+    assert got == want

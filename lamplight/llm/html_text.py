@@ -3,15 +3,17 @@
 A tree builder reads the tags with a stack of open elements: implied end tags close paragraphs, list items, table parts and
 options, stray end tags are ignored, and what is left open ends with the page. Every element writes into a flow, in which
 blocks end lines, paragraphs and the like leave a blank line, list items get their mark and an indent, and table cells
-are laid out in aligned columns. Elements that are not rendered (head, script, style, template, hidden ones) write nothing.
-All other text is kept: menus, banners and footers too.
+are laid out in aligned columns. Elements that are not rendered (head, script, style, template, hidden ones, closed dialogs)
+write nothing, and the text of svg drawings is left out. All other text is kept: formulas, menus, banners and footers too.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,10 +23,13 @@ from lamplight.llm.common import slices
 
 # names of elements by their part in the layout (fixed values of the HTML standard)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head title script style template noscript noembed noframes datalist iframe object audio video canvas svg math dialog".split())
+UNSEEN = frozenset("head title script style template noscript noembed noframes datalist iframe object audio video canvas svg annotation annotation-xml mphantom".split())
 RAW = frozenset("script style textarea title noembed noframes iframe xmp".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl blockquote pre figure fieldset table xmp".split())
-BLOCK = SPACED | frozenset("html body address article aside center details dd dir div dt figcaption footer form header hgroup legend li main nav search section summary caption option optgroup tr thead tbody tfoot td th".split())
+BLOCK = SPACED | frozenset("html body address article aside center details dialog dd dir div dt figcaption footer form header hgroup legend li main nav search section summary caption option optgroup tr thead tbody tfoot td th".split())
+#: Roots of elements that '/>' closes, and those within whose children are HTML again.
+FOREIGN = frozenset("svg math".split())
+INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 SCOPES = frozenset("html body table td th caption object template button".split())
 #: An opening tag ends these open elements, looking no further out than the given ones.
 ENDS = {
@@ -37,13 +42,17 @@ PARAGRAPH_ENDS = (BLOCK | {"hr"}) - frozenset("html body li dt dd td th tr thead
 
 TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|([!?])[^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+\"[^\"]*+(?:\"|\Z)|=\s*+'[^']*+(?:'|\Z)|=)*+)(?:>|\Z))", re.S)
 HIDDEN = re.compile(r"(?:^|[\s/\"'])hidden(?=[\s=/>]|$)(?!\s*=\s*[\"']?until-found)", re.I)
+OPEN = re.compile(r"(?:^|[\s/\"'])open(?=[\s=/>]|$)", re.I)
+QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')")
+UNQUOTED_END = re.compile(r"=\s*\S+\Z")
 STYLE = re.compile(r"(?:^|[\s/\"'])style\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 UNSHOWN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-NUMBER = {k: re.compile(rf"(?:^|[\s/\"']){k}\s*=\s*[\"']?\s*(-?\d{{1,6}})", re.I) for k in ("start", "value", "colspan")}
+NUMBER = {k: re.compile(rf"(?:^|[\s/\"']){k}\s*=\s*[\"']?\s*(-?\d{{1,6}})", re.I) for k in ("start", "value", "colspan", "rowspan")}
 HIDDEN_INPUT = re.compile(r"type\s*=\s*[\"']?hidden", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 GAP = "  "
 MOST_COLUMNS = 1000
+MOST_ROWS = 65534
 
 
 class Flow:
@@ -95,33 +104,50 @@ class Flow:
 
 
 class Element:
-    __slots__ = ("cells", "count", "flow", "mark", "name", "pre", "rows", "span", "unseen")
+    __slots__ = ("cells", "count", "down", "flow", "mark", "name", "pre", "rows", "span", "unseen")
 
     def __init__(self, name: str, unseen: bool, pre: bool):
         self.name, self.unseen, self.pre = name, unseen, pre
         self.flow: Flow | None = None
         self.rows: list | None = None
         self.cells: list | None = None
-        self.count, self.mark, self.span = 0, "", 1
+        self.count, self.mark, self.span, self.down = 0, "", 1, 1
 
 
-def table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of (lines of a cell, columns it spans) in columns as wide as their widest cell that spans no other."""
+def table_lines(rows: list[list[tuple[list[str], int, int]] | None]) -> list[str]:
+    """Rows of (lines of a cell, columns it spans, rows it spans) in columns as wide as their widest cell that spans no other.
+
+    Cells that reach down keep their columns in the rows below, up to the end of the table's part (None among the rows).
+    """
     width: dict[int, int] = {}
+    placed: list[list[tuple[list[str], int]]] = []
+    above: list[tuple[int, int, int]] = []  # first column, column after the last, rows still to go
     for row in rows:
-        at = 0
-        for lines, span in row:
+        if row is None:
+            above = []
+            continue
+        at = passed = 0
+        cells, reach = [], [(a, b, n - 1) for a, b, n in above if n > 1]
+        for lines, span, down in row:
+            while passed < len(above) and above[passed][0] <= at:
+                at = max(at, above[passed][1])
+                passed += 1
             if span == 1:
                 width[at] = max(width.get(at, 0), max(map(len, lines), default=0))
+            if down > 1:
+                reach.append((at, at + span, down - 1))
+            cells.append((lines, at))
             at += span
+        above = sorted(reach)
+        placed.append(cells)
+    known = sorted(width)
+    sums = [0, *accumulate(width[k] for k in known)]
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            s, at, left = "", 0, 0
-            for lines, span in row:
-                s = s.ljust(left) + (lines[k] if k < len(lines) else "")
-                left += sum(width.get(at + j, 0) for j in range(span)) + len(GAP) * span
-                at += span
+    for cells in placed:
+        for k in range(max((len(lines) for lines, _ in cells), default=0)):
+            s = ""
+            for lines, at in cells:
+                s = s.ljust(len(GAP) * at + sums[bisect_left(known, at)]) + (lines[k] if k < len(lines) else "")
             out.append(s.rstrip())
     return out
 
@@ -147,23 +173,28 @@ class Page:
         elif not (self.open and self.open[-1].name in ("table", "tr", "thead", "tbody", "tfoot") and not s.strip(" \t\n\r\f")):
             self.flows[-1].text(s.replace("\0", ""))
 
-    def start(self, name: str, attributes: str) -> None:
+    def foreign(self) -> bool:
+        """Whether what opens here is an element of svg or math."""
+        return next((x.name in FOREIGN for x in reversed(self.open) if x.name in FOREIGN or x.name in INTEGRATION), False)
+
+    def start(self, name: str, attributes: str) -> bool:
+        """Opens an element; whether it is open still."""
         if name in ENDS:
             self.end_any(*ENDS[name])
         if name in PARAGRAPH_ENDS:
             self.end_any({"p"}, SCOPES)
         if name in VOID:
             if self.unseen:
-                return
+                return False
             if name == "br":
                 self.flows[-1].line(keep=True)
             elif name == "hr":
                 self.flows[-1].space()
-            return
+            return False
         if name == "body" and any(e.name == "head" for e in self.open):
             self.end("head")
         style = STYLE.search(attributes) if "style" in attributes or "STYLE" in attributes else None
-        unseen = self.unseen or name in UNSEEN or bool(attributes and HIDDEN.search(re.sub(r"=\s*(?:\"[^\"]*\"|'[^']*')", "=", attributes))) or bool(style and UNSHOWN.search(html.unescape(next(g for g in style.groups() if g is not None))))
+        unseen = self.unseen or name in UNSEEN or name == "dialog" and not OPEN.search(QUOTED.sub("=", attributes)) or bool(attributes and HIDDEN.search(QUOTED.sub("=", attributes))) or bool(style and UNSHOWN.search(html.unescape(next(g for g in style.groups() if g is not None))))
         e = Element(name, unseen, name in ("pre", "textarea", "xmp") or bool(self.open and self.open[-1].pre))
         up = next((x for x in reversed(self.open) if x.name in ("table", "tr") or x.rows is not None), None)
         if not unseen:
@@ -189,10 +220,18 @@ class Page:
             elif name in ("td", "th"):
                 given = NUMBER["colspan"].search(attributes)
                 e.span = min(max(int(given[1]), 1), MOST_COLUMNS) if given else 1
+                given = NUMBER["rowspan"].search(attributes)
+                down = int(given[1]) if given else 1
+                e.down = MOST_ROWS if down == 0 else min(max(down, 1), MOST_ROWS)  # 0: to the end of the part
             if name in ("li", "td", "th", "table", "dd", "blockquote"):
                 e.flow = Flow()
                 self.flows.append(e.flow)
+        # in an unquoted value the slash is part of the value
+        closed = attributes.endswith("/") and (name in FOREIGN or self.foreign()) and not UNQUOTED_END.search(QUOTED.sub("", attributes))
         self.open.append(e)
+        if closed:
+            self.pop()
+        return not closed
 
     def end_any(self, names, limits) -> None:
         for e in reversed(self.open):
@@ -231,21 +270,25 @@ class Page:
             row = next((x for x in reversed(self.open) if x.name == "tr" or x.rows is not None), None)
             table = next((x for x in reversed(self.open) if x.rows is not None), None)
             if row is not None and row.cells is not None:
-                row.cells.append((lines, e.span))
+                row.cells.append((lines, e.span, e.down))
             elif table is not None:
-                table.rows.append([(lines, e.span)])
+                table.rows.append([(lines, e.span, e.down)])
             else:
                 flow.line()
                 flow.put(lines)
         elif name == "tr":
             table = next((x for x in reversed(self.open) if x.rows is not None), None)
-            if e.cells and table is not None:
+            if e.cells is not None and table is not None:
                 table.rows.append(e.cells)
         elif name == "table":
             flow.put(lines)
             flow.put(table_lines(e.rows))
         elif name in BLOCK:
             flow.line()
+        if name in ("thead", "tbody", "tfoot"):
+            table = next((x for x in reversed(self.open) if x.rows is not None), None)
+            if table is not None:
+                table.rows.append(None)
         if name in SPACED and not (name in ("ul", "ol", "menu") and any(x.name == "li" for x in self.open)):
             flow.space()
         return e
@@ -274,8 +317,8 @@ def render(source: str | None) -> str:
         if m[2]:
             page.end(name)
             continue
-        page.start(name, m[4])
-        if name in RAW:
+        opened = page.start(name, m[4])
+        if name in RAW and opened:
             close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
             stop = close.start() if close else n
             body = source[at:stop]

@@ -77,3 +77,19 @@ def test_deep_long_and_repeated(spark):
     got = [tuple(r) for r in html_text(df).collect()]
     assert (1, "a", 1) in got and (None, "b", 1) in got and (2, "", 0) in got and (3, "", 0) in got and len(got) == 6
     assert html_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("source", "want"), [
+    ("a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b", "a x=2 b"),
+    ("<dialog open>yes</dialog><dialog>no</dialog><dialog data-open='open'>no</dialog>", "yes"),
+    ("<button><svg/>Save</button><p>rest", "Save\n\nrest"),
+    ("<svg viewBox='0 0 1 1' /><math/>rest", "rest"),
+    ("<svg><title/><style/><path d='M/'/></svg>rest", "rest"),
+    ("<svg><g href=a/>no</svg>rest", "rest"),
+    ("<div/>a<math><mtext><b/>c</mtext></math>", "ac"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tr><td>a<td rowspan=3 colspan=2>b<td>c<tr><td>d<td>e<tr></tr><tr><td>f<td>g</table>", "a  b    c\nd       e\nf  g"),
+    ("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+])
+def test_foreign_elements_dialogs_and_rowspan(source, want):
+    assert render(source) == want

@@ -134,3 +134,19 @@ def test_recall_of_keys():
     ends = np.cumsum(n)
     good = [k for k in range(400) if nd.aligned(h[ends[k] - n[k] : ends[k]], h[ends[400 + k] - n[400 + k] : ends[400 + k]]) > 0]
     assert len(good) > 200 and all((keys[k] == keys[400 + k]).any() for k in good)
+
+
+def test_sketch_loses_less_than_the_tables():
+    from math import ceil, comb
+
+    refused = sum(comb(nd.BINS, k) * 0.8**k * 0.2 ** (nd.BINS - k) for k in range(ceil(nd.PROMISING * nd.BINS)))
+    assert refused < (1 - 0.8**nd.KEPT) ** nd.TABLES / 100
+
+
+def test_a_pair_of_a_low_estimate_is_verified():
+    import pyarrow as pa
+
+    a = np.ones(nd.BINS, np.uint8)
+    b = np.where(np.arange(nd.BINS) < 0.68 * nd.BINS, 1, 2).astype(np.uint8)
+    batch = pa.RecordBatch.from_arrays([pa.array([9, 9]), pa.array([1, 2]), pa.array([a.tobytes(), b.tobytes()])], names=["key", "rep", "sketch"])
+    assert [x.to_pydict() for x in nd._lead(iter([batch]))] == [{"a": [1], "b": [2]}]

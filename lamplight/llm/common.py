@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a Parquet table in the checkpoint folder: smaller than a checkpoint, and read by column."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -84,12 +92,16 @@ class Lookup(dict):
         return got
 
 
-def slices(batch, text_at: int):
-    """Parts of an Arrow batch that hold a bounded number of rows and bytes of text (one long text may exceed it)."""
+def slices(batch, text_at: int, size=None):
+    """Parts of an Arrow batch that hold a bounded number of rows and bytes of text (one long text may exceed it).
+
+    ``size`` gives the bytes that a compressed text will have.
+    """
     n = batch.num_rows
     if n == 0:
         return
-    sizes = [v or 0 for v in pc.binary_length(batch.column(text_at)).to_pylist()]
+    column = batch.column(text_at)
+    sizes = [v or 0 for v in pc.binary_length(column).to_pylist()] if size is None else [size(v) for v in column.to_pylist()]
     start = total = 0
     for i, size in enumerate(sizes):
         if i > start and (i - start >= SLICE_ROWS or total + size > SLICE_BYTES):

@@ -1,15 +1,20 @@
 """Toxicity by class-conditional Kneser-Ney models (operator 2).
 
-Each class has a Kneser-Ney model over the characters of words (five before each), and both back off to one model of
-continuation counts pooled over the classes, so an expression that is rare in both is scored alike by both. A text's
-score compares the two length-normalised log-likelihoods: over the whole text and its most telling run of words per
-character, over its one and its three most telling words per word. A logistic calibration of those four, fitted on a fold
-that its counts have not seen, gives 0 to 1.
-
-Counts come from all labelled training rows by distributed aggregates: first over words, then over character n-grams, each
-under a 64-bit number of its own. All n-grams that end alike but for their first and last characters meet in one task, which
-holds every count that their probabilities need. Only the log ratios of the n-grams and contexts seen are gathered: sorted
-tables that grow with the corpus, and in which an n-gram that was not seen is not found.
+Each class has a model of expressions: words and pairs of words, counted by the training documents that hold them, so that a
+phrase repeated within one text counts once. A count loses the discount, and what that sets free falls back on the counts of
+both classes together: an expression of few documents is scored alike by both, and one of up to ``DISCOUNT`` documents has
+no say at all. The chance of a word after another is the pair's over the first word's; a pair that is not in the tables falls
+back to its second word. Words outside the tables fall back to their characters: a Kneser-Ney model of each class (five
+characters before each) over shared continuation counts, its evidence bounded.
+
+A text's score compares the two log-likelihoods, length-normalised in two ways: over its three most telling words, and, for
+what exceeds one nat, over all of its words. A logistic calibration of the two, fitted on a fold that its counts have
+not seen, gives 0 to 1.
+
+Counts come from all labelled training rows by distributed aggregates: over words, then pairs of words in the vocabulary,
+and character n-grams, each under a 64-bit number of its own. All n-grams that end alike but for their first and last characters
+meet in one task, which holds every count that their probabilities need. Only log ratios (of n-grams, contexts, words and
+pairs) are gathered: sorted tables that grow with the corpus, and in which what was not seen is not found.
 """
 
 from __future__ import annotations
@@ -17,20 +22,28 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.llm.common import Lookup, shuffle_parts, slices
+from lamplight.llm.common import Lookup, shuffle_parts, slices, written
 
-#: Characters before the predicted one, discount, words of a run, words that tell most.
+#: Characters before the predicted one, and the discount of their counts.
 CONTEXT = 5
-DISCOUNT = 0.9
-RUN = 8
+CHARACTER_DISCOUNT = 0.9
+#: Documents that a word or a pair of words loses in each class.
+DISCOUNT = 2
+#: Weight of the characters' log ratio for words outside the tables, and its bound.
+CHARACTERS_WEIGH = 0.5
+CHARACTERS_SAY = 1.0
+#: Words that tell most, and the log ratio from which a word adds to the text's share of telling ones.
 TELLING = 3
+PLAIN = 1.0
 #: Labelled rows that fit the calibration (four weights and a constant), at most.
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.7
@@ -42,10 +55,15 @@ COUNTED_WORDS = 50_000
 RATED_GRAMS = 200_000
 LONGEST = 48
 WORD = re.compile(r"\w{1,%d}" % LONGEST)
+#: Bits of the filter of labelled ids that is sent to all tasks: 8 MB at any size.
+FILTER_BITS = 1 << 26
+#: Pairs of words that a task holds before it hands them on.
+HELD_PAIRS = 1_000_000
 #: Counts of a word or an n-gram: ordinary and toxic rows of fold 0, and of fold 2.
 FOUR = ("p0", "t0", "p2", "t2")
-#: Scale of the log ratios that the worker cache keeps as integers; the offset keeps them above 0.
-SCALE, OFFSET = 1 << 16, 1 << 40
+NUMBER = {(0, 0): 0, (0, 1): 1, (2, 0): 2, (2, 1): 3}
+#: Scale of the characters' evidence that the worker cache keeps as integers; the offset keeps them above 0.
+SCALE, OFFSET = 1 << 16, 1 << 20
 
 
 def _mix(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -69,14 +87,23 @@ def grams(words: list[str]) -> tuple[np.ndarray, ...]:
     return owner[at], *(h.view(np.int64) for h in (_mix(long, codes[at] + np.uint64(1 << 34)), long, _mix(short, codes[at] + np.uint64(1 << 35)), short))
 
 
+def _none(kind) -> np.ndarray:
+    return field(default_factory=lambda: np.zeros(0, kind))
+
+
 @dataclass
 class Model:
     grams: np.ndarray  # numbers of the n-grams seen, in order
     ratio: np.ndarray  # of each: log P(toxic) - log P(ordinary)
     contexts: np.ndarray  # numbers of the contexts seen, in order
     unseen: np.ndarray  # of each: the same for any character not seen after it
+    words: np.ndarray = _none(np.int64)  # numbers of the vocabulary's words, in order
+    word_ratio: np.ndarray = _none(np.float32)
+    pairs: np.ndarray = _none(np.int64)  # numbers of the pairs of words, in order
+    pair_ratio: np.ndarray = _none(np.float32)
 
     def score(self, words: list[str]) -> np.ndarray:
+        """Log ratios of words by their characters."""
         if not words:
             return np.zeros(0)
         owner, g, h, _, _ = grams(words)
@@ -85,6 +112,59 @@ class Model:
         r[miss] = found(self.contexts, self.unseen, h[miss], 0.0)
         return np.bincount(owner, r, len(words))
 
+    def place(self, words: list[str]) -> list[int]:
+        """Place of each word in the vocabulary; for other words, that many and more: what their characters say."""
+        at = places(self.words, numbers(words))
+        other = np.flatnonzero(at < 0)
+        said = np.clip(self.score([words[k] for k in other.tolist()]) * CHARACTERS_WEIGH, -CHARACTERS_SAY, CHARACTERS_SAY)
+        at[other] = len(self.words) + OFFSET + np.rint(said * SCALE).astype(np.int64)
+        return at.tolist()
+
+    def ratios(self, at: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Log ratio of each word of texts laid end to end, given its place; ``begins`` marks the first words of texts."""
+        n = len(self.words)
+        known = at < n
+        r = np.empty(len(at))
+        r[known] = self.word_ratio[at[known]]
+        r[~known] = (at[~known] - n - OFFSET) / SCALE
+        second = np.flatnonzero(known[1:] & known[:-1] & ~begins[1:]) + 1
+        if len(second) and len(self.pairs):
+            pair = found(self.pairs, self.pair_ratio, pair_numbers(self.words[at[second - 1]], self.words[at[second]]), np.nan)
+            hit = ~np.isnan(pair)
+            second = second[hit]
+            r[second] = pair[hit] - self.word_ratio[at[second - 1]]
+        return r
+
+
+def numbers(words: list[str]) -> np.ndarray:
+    hashed = xxhash.xxh3_64_intdigest
+    return np.fromiter((hashed(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)).view(np.int64)
+
+
+def pair_numbers(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return _mix(_mix(np.full(len(first), 11, np.uint64), first.view(np.uint64)), second.view(np.uint64)).view(np.int64)
+
+
+def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of the wanted in ``keys``, which are in order; -1 where it is not there."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def expression_ratio(plain: Column, toxic: Column, totals: list[int]) -> Column:
+    """log P(toxic) - log P(ordinary) of an expression; null where neither class keeps a document after the discount.
+
+    ``totals`` are the sums over all expressions: documents of ordinary ones, of toxic ones, the same after the discount. A class gives an
+    expression what the discount leaves of its documents, and the share that discounts set free times its part in all documents. What else
+    a class's discounts set free is for expressions outside the tables, which this does not score.
+    """
+    every = float(totals[0] + totals[1]) or 1.0
+    shared = (plain + toxic) * F.lit((1 - (totals[2] + totals[3]) / every) / every)
+    log = [F.log(F.greatest(F.greatest(n - DISCOUNT, F.lit(0)) / F.lit(float(total or 1)) + shared, F.lit(1e-300))) for n, total in ((toxic, totals[1]), (plain, totals[0]))]
+    return F.when((plain > DISCOUNT) | (toxic > DISCOUNT), log[0] - log[1]).cast("float")
+
 
 def found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, otherwise: float) -> np.ndarray:
     """The values of the wanted keys; ``keys`` are in order."""
@@ -111,13 +191,13 @@ def estimate(g: np.ndarray, h: np.ndarray, low: np.ndarray, lowh: np.ndarray, to
     every = np.bincount(lowh[first], kinds)
     branch = np.bincount(lowh[first])
     base = 1 / 256
-    shared = (np.maximum(kinds[low] - DISCOUNT, 0) + DISCOUNT * branch[lowh] * base) / every[lowh]
+    shared = (np.maximum(kinds[low] - CHARACTER_DISCOUNT, 0) + CHARACTER_DISCOUNT * branch[lowh] * base) / every[lowh]
     logs, left = [], []
     for n in (toxic, plain):
         total = np.bincount(h, n, len(contexts))
         types = np.bincount(h, n > 0, len(contexts))
-        mass = np.where(total > 0, DISCOUNT * types / np.maximum(total, 1), 1.0)
-        p = np.where(total[h] > 0, np.maximum(n - DISCOUNT, 0) / np.maximum(total[h], 1), 0) + mass[h] * shared
+        mass = np.where(total > 0, CHARACTER_DISCOUNT * types / np.maximum(total, 1), 1.0)
+        p = np.where(total[h] > 0, np.maximum(n - CHARACTER_DISCOUNT, 0) / np.maximum(total[h], 1), 0) + mass[h] * shared
         logs.append(np.log(np.maximum(p, 1e-12)))
         left.append(np.log(mass))
     order = np.argsort(g)
@@ -157,49 +237,79 @@ def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = estimate(*key, n["t0"], n["p0"])
         for seen, keys, values, some, theirs in ((True, both.grams, both.ratio, first.grams, first.ratio), (False, both.contexts, both.unseen, first.contexts, first.unseen)):
             early = found(some, theirs, keys, np.nan).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), seen)), pa.array(keys), pa.array(values), pa.array(early, mask=np.isnan(early))], names=["seen", "key", "both", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), seen, np.int8)), pa.array(keys), pa.array(values), pa.array(early, mask=np.isnan(early))], names=["kind", "key", "both", "first"])
+
+
+def _kept(number):
+    """Rows of ``FOUR`` that keep a document after the discount, under their number, and a row of totals without one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(8, np.int64)
+        for batch in batches:
+            n = np.stack([batch.column(k).to_numpy() for k in FOUR])
+            both = np.stack([n[0] + n[2], n[1] + n[3]])
+            totals += np.concatenate([both.sum(axis=1), np.maximum(both - DISCOUNT, 0).sum(axis=1), n[:2].sum(axis=1), np.maximum(n[:2] - DISCOUNT, 0).sum(axis=1)])
+            live = np.flatnonzero((both > DISCOUNT).any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(number(batch.column(0).take(pa.array(live)))), *(pa.array(x[live]) for x in n), *[pa.nulls(len(live), pa.int64())] * 4], names=["key", *FOUR, *MORE])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.array([x]) for x in totals)], names=["key", *FOUR, *MORE])
 
+    return run
 
-def gathered(rated: DataFrame) -> tuple[Model, Model]:
-    """(the model, that of fold 0 alone) from the rows of ``_ratios``."""
+
+MORE = ("e4", "e5", "e6", "e7")
+KEPT = "key long, " + ", ".join(f"{c} long" for c in (*FOUR, *MORE))
+
+
+def expressions(kept: DataFrame) -> DataFrame:
+    """(kind 2, key, both, first): log ratios by the model and by fold 0 alone, from the rows of ``_kept``."""
+    totals = [int(x or 0) for x in kept.where("key is null").agg(*[F.sum(c) for c in (*FOUR, *MORE)]).first()]
+    p0, t0, p2, t2 = (F.col(c) for c in FOUR)
+    return kept.where("key is not null").select(
+        F.lit(2).cast("byte").alias("kind"), "key", expression_ratio(p0 + p2, t0 + t2, totals[:4]).alias("both"), expression_ratio(p0, t0, totals[4:]).alias("first")
+    )
+
+
+def gathered(rated: DataFrame) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """For the model and that of fold 0 alone: (keys in order, log ratios) of contexts, n-grams and expressions."""
     table = rated.toArrow()
-    seen, key, both, first = (table.column(k).to_numpy() for k in ("seen", "key", "both", "first"))
+    kind, key, both, first = (table.column(k).to_numpy() for k in ("kind", "key", "both", "first"))
     order = np.argsort(key)
-    some = {k: order[seen[order] == k] for k in (True, False)}
-    early = {k: x[~np.isnan(first[x])] for k, x in some.items()}
-    return Model(key[some[True]], both[some[True]], key[some[False]], both[some[False]]), Model(key[early[True]], first[early[True]], key[early[False]], first[early[False]])
+    out = []
+    for values in (both, first):
+        some = order[~np.isnan(values[order])]
+        out.append([(key[x], values[x]) for x in (some[kind[some] == k] for k in range(3))])
+    return out
 
 
-def features(texts: list[str], numbers) -> np.ndarray:
-    """Rows of log ratios (whole text and best run per character, best word, best three words per word). ``numbers``: words to log ratios."""
+def features(texts: list[str], model: Model, cache: Lookup) -> np.ndarray:
+    """Rows of length-normalised log ratios: of the three most telling words, and of all that exceeds PLAIN over all words."""
     lists = [WORD.findall(t.lower()) for t in texts]
     flat = [w for x in lists for w in x]
     n = np.array([len(x) for x in lists], np.int64)
-    out = np.zeros((len(texts), 4))
+    out = np.zeros((len(texts), 2))
     if not flat:
         return out
-    ratio = numbers(flat)
-    size = np.fromiter(map(len, flat), np.int64, len(flat)) + 1
-    ends = np.cumsum(n)
-    cr, cs = np.concatenate([[0], np.cumsum(ratio)]), np.concatenate([[0], np.cumsum(size)])
     some = n > 0
-    starts = (ends - n)[some]
-    out[some, 0] = (cr[ends] - cr[ends - n])[some] / (cs[ends] - cs[ends - n])[some]
-    at = np.arange(len(flat))
-    to = np.minimum(at + RUN, np.repeat(ends, n))
-    out[some, 1] = np.maximum.reduceat((cr[to] - cr[at]) / (cs[to] - cs[at]), starts)
-    left, owner = ratio.astype(float), np.repeat(np.arange(len(starts)), n[some])
-    for k in range(TELLING):
-        best = np.maximum.reduceat(left, starts)
-        got = np.where(np.isfinite(best), best, 0.0)
-        if k == 0:
-            out[some, 2] = got
-        out[some, 3] += got / TELLING
-        hit = np.flatnonzero(left == best[owner])
-        left[hit[np.unique(owner[hit], return_index=True)[1]]] = -np.inf
+    starts = (np.cumsum(n) - n)[some]
+    begins = np.zeros(len(flat), bool)
+    begins[starts] = True
+    r = model.ratios(cache.numbers(flat), begins)
+    out[some, 1] = np.add.reduceat(np.maximum(r - PLAIN, 0), starts) / n[some]
+    owner = np.repeat(np.arange(len(starts)), n[some])
+    told, tells = np.zeros(len(starts)), np.minimum(n[some], TELLING)
+    for _ in range(TELLING):
+        best = np.maximum.reduceat(r, starts)
+        told += np.where(np.isfinite(best), best, 0.0)
+        hit = np.flatnonzero(r == best[owner])
+        r[hit[np.unique(owner[hit], return_index=True)[1]]] = -np.inf
+    out[some, 0] = told / tells
     return out
 
 
+def _cache(model: Model) -> Lookup:
+    return Lookup(model.place, most=KEPT_WORDS)
+
+
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(weights with the constant last, scale of each feature) by ridge-penalised Newton steps."""
     scale = np.maximum(np.abs(x).max(axis=0, initial=1e-9), 1e-9) if len(x) else np.ones(x.shape[1])
@@ -226,74 +336,169 @@ def fold(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit(""))) % 3
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Model, np.ndarray, np.ndarray]:
-    """(model, calibration weights, their scales) from labelled rows whose fold is not 1.
+def place(id_column: Column) -> Column:
+    return F.pmod(F.xxhash64(id_column), F.lit(FILTER_BITS))
 
-    Null labels and null ids teach nothing; of repeated labels of an id the largest counts. Counts from folds 0 and 2
-    together are the model; those of fold 0 alone score fold 2's rows to fit the calibration.
-    """
-    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
-    marks = marks.where(fold(F.col("id")) != 1)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").where(fold(F.col("id")) != 1).join(marks, "id").select(fold(F.col("id")).cast("int").alias("part"), "y", "text", "id")
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        number = {(0, 0): 0, (0, 1): 1, (2, 0): 2, (2, 1): 3}
+def filter_bits(marks: DataFrame) -> np.ndarray:
+    """A filter of at most FILTER_BITS that holds the place of every labelled id; other ids pass it by chance alone."""
+    at = place(F.col("id"))
+    table = marks.groupBy(F.floor(at / 32).cast("int").alias("k")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(id), {FILTER_BITS}), 32) as int))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[table.column("k").to_numpy()] = table.column("bits").to_numpy().astype(np.uint32)
+    return out
+
 
-        def out() -> pa.RecordBatch:
-            table: dict[str, list[int]] = {}
-            for (k, w), n in seen.items():
-                table.setdefault(w, [0, 0, 0, 0])[k] += n
-            seen.clear()
-            cols = np.array(list(table.values()), np.int64).reshape(-1, 4)
-            return pa.RecordBatch.from_arrays([pa.array(table.keys(), pa.string()), *(pa.array(cols[:, k]) for k in range(4))], names=["word", "p0", "t0", "p2", "t2"])
+def _press(shared):
+    """Ids that may have a label with their texts compressed, for the one shuffle that they take. id, text, place"""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, bits = zstandard.ZstdCompressor(level=3), shared.value
         for batch in batches:
-            for part in slices(batch, 2):
-                for p, y, t in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                    k = number[p, y]
-                    seen.update([(k, w) for w in WORD.findall(t.lower())])
-                if len(seen) > HELD_WORDS:
-                    yield out()
+            at = batch.column(2).to_numpy()
+            batch = batch.take(pa.array(np.flatnonzero(bits[at // 32] >> (at % 32).astype(np.uint32) & 1)))
+            for part in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([press.compress(t.encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()], pa.binary())], names=["id", "z"])
+
+    return run
+
+
+def _texts(part: pa.RecordBatch, at: int) -> list[str]:
+    back = zstandard.ZstdDecompressor()
+    return [back.decompress(z).decode("utf-8", "surrogatepass") for z in part.column(at).to_pylist()]
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with the documents of each kind that hold them. part, y, z"""
+    seen: list[Counter] = [Counter() for _ in FOUR]
+
+    def out() -> pa.RecordBatch:
+        table: dict[str, list[int]] = {}
+        for k, one in enumerate(seen):
+            for w, n in one.items():
+                table.setdefault(w, [0, 0, 0, 0])[k] = n
+            one.clear()
+        cols = np.array(list(table.values()), np.int64).reshape(-1, 4)
+        return pa.RecordBatch.from_arrays([pa.array(table.keys(), pa.string()), *(pa.array(cols[:, k]) for k in range(4))], names=["word", *FOUR])
+
+    for batch in batches:
+        for part in slices(batch, 2, zstandard.frame_content_size):
+            for p, y, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _texts(part, 2), strict=True):
+                seen[NUMBER[p, y]].update(set(WORD.findall(t.lower())))
+            if sum(map(len, seen)) > HELD_WORDS:
+                yield out()
+    yield out()
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Character n-grams of words with their counts."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> pa.RecordBatch:
+        part = pa.Table.from_batches(held)
+        held.clear()
+        owner, g, h, low, lowh = grams(part.column(0).to_pylist())
+        uniq, where, back = np.unique(g, return_index=True, return_inverse=True)
+        sums = [np.bincount(back, part.column(k).to_numpy()[owner]).astype(np.int64) for k in FOUR]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (uniq, h[where], low[where], lowh[where], *sums)], names=["g", "h", "low", "lowh", *FOUR])
+
+    for batch in batches:
+        for start in range(0, batch.num_rows, COUNTED_WORDS):
+            held.append(batch.slice(start, COUNTED_WORDS))
+            if sum(x.num_rows for x in held) >= COUNTED_WORDS:
+                yield out()
+    if held:
         yield out()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+
+def _pairs(shared):
+    """Pairs of vocabulary words that follow each other, with the documents of each kind that hold them. part, y, z"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        n = len(vocabulary)
+        cache = Lookup(lambda ws: np.where((at := places(vocabulary, numbers(ws))) < 0, n, at).tolist(), most=KEPT_WORDS)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            part = pa.Table.from_batches(held)
+            keys, back = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            kinds = np.concatenate([x for _, x in held])
             held.clear()
-            owner, g, h, low, lowh = grams(part.column(0).to_pylist())
-            uniq, where, back = np.unique(g, return_index=True, return_inverse=True)
-            sums = [np.bincount(back, part.column(k).to_numpy()[owner]).astype(np.int64) for k in FOUR]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (uniq, h[where], low[where], lowh[where], *sums)], names=["g", "h", "low", "lowh", *FOUR])
+            return pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.bincount(back, kinds == k, len(keys)).astype(np.int64)) for k in range(4))], names=["g", *FOUR])
 
         for batch in batches:
-            for start in range(0, batch.num_rows, COUNTED_WORDS):
-                held.append(batch.slice(start, COUNTED_WORDS))
-                if sum(x.num_rows for x in held) >= COUNTED_WORDS:
+            for part in slices(batch, 2, zstandard.frame_content_size):
+                lists = [WORD.findall(t.lower()) for t in _texts(part, 2)]
+                flat = [w for x in lists for w in x]
+                if len(flat) < 2:
+                    continue
+                owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+                at = cache.numbers(flat)
+                second = np.flatnonzero((at[1:] < n) & (at[:-1] < n) & (owner[1:] == owner[:-1])) + 1
+                key, who = pair_numbers(vocabulary[at[second - 1]], vocabulary[at[second]]), owner[second]
+                order = np.lexsort((key, who))
+                key, who = key[order], who[order]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])
+                kind = np.array([NUMBER[x] for x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)], np.int8)
+                held.append((key[new], kind[who[new]]))
+                if sum(len(x) for x, _ in held) > HELD_PAIRS:
                     yield out()
         if held:
             yield out()
 
-    types = rows.select("part", "y", "text").mapInArrow(words, "word string, p0 long, t0 long, p2 long, t2 long").groupBy("word").agg(*[F.sum(c).alias(c) for c in FOUR])
-    table = types.mapInArrow(count, "g long, h long, low long, lowh long, p0 long, t0 long, p2 long, t2 long")
-    model, first = gathered(table.repartition(shuffle_parts(docs.sparkSession), "lowh").sortWithinPartitions("lowh").mapInArrow(_ratios, "seen boolean, key long, both float, first float"))
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Model, np.ndarray, np.ndarray]:
+    """(model, calibration weights, their scales) from labelled rows whose fold is not 1.
+
+    Null labels and null ids teach nothing; of repeated labels of an id the largest counts. Counts from folds 0 and 2
+    together are the model; those of fold 0 alone score fold 2's rows to fit the calibration.
+    """
+    spark = docs.sparkSession
+    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
+    marks = marks.where(fold(F.col("id")) != 1)
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), place(F.col(id_col)).alias("place")).where("id is not null and text is not null").where(fold(F.col("id")) != 1)
+    small = texts.mapInArrow(_press(spark.sparkContext.broadcast(filter_bits(marks))), f"id {kind}, z binary")
+    # one join of the same kind at every size; its rows are read thrice below
+    rows = written(small.join(marks.hint("merge"), "id").select(fold(F.col("id")).cast("int").alias("part"), "y", "z", "id"))
+    four = ", ".join(f"{c} long" for c in FOUR)
+    sums = [F.sum(c).alias(c) for c in FOUR]
+    types = rows.select("part", "y", "z").mapInArrow(_words, f"word string, {four}").groupBy("word").agg(*sums)
+    characters = types.mapInArrow(_count, f"g long, h long, low long, lowh long, {four}")
+    rated = characters.repartition(shuffle_parts(spark), "lowh").sortWithinPartitions("lowh").mapInArrow(_ratios, "kind byte, key long, both float, first float")
+    kept = types.mapInArrow(_kept(lambda words: numbers(words.to_pylist())), KEPT)
+    # both from one shuffle of words
+    every = [*FOUR, *MORE]
+    table = written(
+        rated.select("kind", "key", "both", "first", *[F.lit(None).cast("long").alias(c) for c in every])
+        .unionAll(kept.select(F.lit(None).cast("byte"), "key", F.lit(None).cast("float"), F.lit(None).cast("float"), *every))
+    )
+    tables = gathered(table.where("kind is not null").select("kind", "key", "both", "first").unionAll(expressions(table.where("kind is null").select("key", *every))))
+    # a pair that keeps a document after the discount has two words that do
+    vocabulary = spark.sparkContext.broadcast(tables[0][2][0])
+    counted = rows.select("part", "y", "z").mapInArrow(_pairs(vocabulary), f"g long, {four}").groupBy("g").agg(*sums)
+    pairs = gathered(expressions(written(counted.mapInArrow(_kept(lambda keys: keys.to_numpy()), KEPT))))
+    model, first = (Model(*grams, *contexts, *words, *two) for (contexts, grams, words), (_, _, two) in zip(tables, pairs, strict=True))
     # a bounded sample of fold 2 in the order of a hash, taken by a threshold on it
-    total = rows.where("part = 2").count()
     sample = rows.where("part = 2")
+    total = sample.count()
     if total > CALIBRATION_ROWS:
         sample = sample.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * CALIBRATION_ROWS * 0.95 / total))
-    shared = docs.sparkSession.sparkContext.broadcast(first)
+    shared = spark.sparkContext.broadcast(first)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        cache = _cache(model)
         for batch in batches:
-            for part in slices(batch, 1):
-                x = features(part.column(1).to_pylist(), shared.value.score)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x[:, k]) for k in range(4))], names=["y", "a", "b", "c", "d"])
+            for part in slices(batch, 1, zstandard.frame_content_size):
+                x = features(_texts(part, 1), model, cache)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["y", "a", "b"])
 
-    fit = sample.select("y", "text").mapInArrow(rate, "y int, a double, b double, c double, d double").toArrow().to_pydict()
-    x = np.array([fit[k] for k in "abcd"], float).T.reshape(-1, 4)
+    fit = sample.select("y", "z").mapInArrow(rate, "y int, a double, b double").toArrow().to_pydict()
+    x = np.array([fit[k] for k in "ab"], float).T.reshape(-1, 2)
     y = np.array(fit["y"], float)
     order = np.lexsort([*x.T, y])  # sums in one order, whatever order rows came in
     return model, *logistic(x[order], y[order])
@@ -308,11 +513,11 @@ def _rated(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, w, scale = shared.value
-        cache = Lookup(lambda ws: (np.rint(model.score(ws) * SCALE).astype(np.int64) + OFFSET).tolist(), most=KEPT_WORDS)
+        cache = _cache(model)
         for batch in batches:
             for part in slices(batch, 2):
                 texts = [t or "" for t in part.column(2).to_pylist()]
-                score = apply_logistic(features(texts, lambda ws: (cache.numbers(ws) - OFFSET) / SCALE), w, scale)
+                score = apply_logistic(features(texts, model, cache), w, scale)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32)), *(part.column(2 if k == own else 3 + k) for k in range(len(carry)))], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -107,3 +107,64 @@ def test_tables_grow_with_the_words(spark, corpus, monkeypatch):
     monkeypatch.setattr(tx, "RATED_GRAMS", 1)
     cut = tx.train(docs, labels)[0]
     assert (cut.grams == whole.grams).all() and (cut.ratio == whole.ratio).all() and (cut.unseen == whole.unseen).all()
+
+
+def plain_ratios(texts, kinds):
+    """Ratios of words and pairs by their definition, from lists of words and 0 or 1 for each."""
+    from math import log
+
+    def ratios(sets):
+        n = {}
+        for x, y in zip(sets, kinds, strict=True):
+            for e in x:
+                n.setdefault(e, [0, 0])[y] += 1
+        total = [sum(v[y] for v in n.values()) for y in (0, 1)]
+        left = sum(max(c - tx.DISCOUNT, 0) for v in n.values() for c in v)
+        free = 1 - left / sum(total)
+        out = {}
+        for e, v in n.items():
+            if max(v) > tx.DISCOUNT:
+                p = [max(v[y] - tx.DISCOUNT, 0) / total[y] + free * sum(v) / sum(total) for y in (0, 1)]
+                out[e] = log(p[1]) - log(p[0])
+        return out
+
+    words = ratios([set(t) for t in texts])
+    return words, ratios([{p for p in zip(t, t[1:], strict=False) if p[0] in words and p[1] in words} for t in texts])
+
+
+def test_expressions_equal_plain_ones(spark, corpus, monkeypatch):
+    docs, labels = corpus
+    monkeypatch.setattr(tx, "HELD_WORDS", 50)
+    monkeypatch.setattr(tx, "HELD_PAIRS", 50)
+    model = tx.train(docs, labels)[0]
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    rows = [(r.doc_id, tx.WORD.findall(r.text.lower())) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    words, pairs = plain_ratios([t for _, t in rows], [toxic[i] for i, _ in rows])
+    assert len(words) > 100 and len(pairs) > 100
+    assert dict(zip(model.words.tolist(), model.word_ratio.tolist(), strict=True)) == {k: np.float32(v) for k, v in zip(tx.numbers(list(words)).tolist(), words.values(), strict=True)}
+    number = tx.pair_numbers(*(tx.numbers([p[k] for p in pairs]) for k in (0, 1))).tolist()
+    assert np.allclose([dict(zip(model.pairs.tolist(), model.pair_ratio.tolist(), strict=True))[k] for k in number], list(pairs.values()), atol=1e-6) and len(model.pairs) == len(pairs)
+
+
+def test_features_equal_plain_ones(spark, corpus):
+    """A text's two features, word by word: pair over first word, else the word, else its characters."""
+    docs, labels = corpus
+    model = tx.train(docs, labels)[0]
+    word = dict(zip(model.words.tolist(), model.word_ratio.tolist(), strict=True))
+    pair = dict(zip(model.pairs.tolist(), model.pair_ratio.tolist(), strict=True))
+    texts = [r.text for r in docs.limit(40).collect()] + ["", "idiot", "you stupid zebra, STUPID moron", "zzz qqq"]
+    got = tx.features(texts, model, tx._cache(model))
+    for t, g in zip(texts, got, strict=True):
+        ws = tx.WORD.findall(t.lower())
+        ns = tx.numbers(ws)
+        r = []
+        for k, w in enumerate(ws):
+            n = int(ns[k])
+            if n not in word:
+                r.append(min(max(0.5 * float(model.score([w])[0]), -1), 1))
+                continue
+            both = int(tx.pair_numbers(ns[k - 1 : k], ns[k : k + 1])[0]) if k and int(ns[k - 1]) in word else None
+            r.append(pair[both] - word[int(ns[k - 1])] if both in pair else word[n])
+        top = sorted(r, reverse=True)[:3]
+        want = (sum(top) / len(top), sum(max(x - 1, 0) for x in r) / len(r)) if r else (0, 0)
+        assert np.allclose(g, want, atol=1e-4)

@@ -21,10 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``, or the one that the session has set.
+
+    Where neither is set, a session on one machine gets a local one; on a cluster that is an error, as executors would
+    write to disks of their own.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
-        where = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lamplight-checkpoint-")
+        where = spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="lamplight-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -43,6 +51,26 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def integral(df: DataFrame, column: str) -> bool:
+    return df.schema[column].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+
+
+def over_numbers(run, df: DataFrame, id_col: str, others: list[str], back: list[str]) -> DataFrame:
+    """``run(frame, id column)`` for ids that are no integers: over their places in the order of all ids.
+
+    ``others`` are the columns that it reads besides; ``back`` are columns of its result that hold such places, and are ids
+    again in this one's. Nulls stay nulls. Ids are numbered in ranges, so no task sees them all.
+    """
+    raw = df.select(F.col(id_col).alias("__raw"), *[F.col(c).alias(f"__{k}") for k, c in enumerate(others)])
+    ids = raw.where("__raw is not null").select("__raw").distinct().repartitionByRange(shuffle_parts(df.sparkSession), "__raw").sortWithinPartitions("__raw")
+    ids = written(ids.select("__raw", F.monotonically_increasing_id().alias("__number")))
+    out = run(raw.join(ids, "__raw", "left").select(F.col("__number").alias(id_col), *[F.col(f"__{k}").alias(c) for k, c in enumerate(others)]))
+    names = out.columns
+    for c in back:
+        out = out.join(ids.select(F.col("__number").alias(c), F.col("__raw").alias("__id")), c, "left").drop(c).withColumnRenamed("__id", c)
+    return out.select(*names)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

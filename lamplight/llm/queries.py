@@ -65,6 +65,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_suffix_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        s AS (SELECT r, doc_id, i, h[i + 1:i + 50] AS k FROM (SELECT r, doc_id, h, unnest(range(n - 49)) AS i FROM d WHERE n >= 50 AND doc_id IS NOT NULL)),
+        o AS (SELECT k, min(doc_id) AS own FROM s GROUP BY k HAVING min(doc_id) < max(doc_id)),
+        g AS (SELECT r, i FROM s JOIN o ON s.k = o.k WHERE doc_id > own),
+        f AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM g),
+        p AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM f),
+        q AS (SELECT r, span, min(i) AS a, max(i) + 50 AS b FROM p GROUP BY r, span),
+        t AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS e FROM q),
+        k AS (SELECT t.r, sum(b - a)::BIGINT AS removed, count(*) AS spans, string_agg(hex(h[e + 1:a]), '' ORDER BY a) AS left_, max(b) AS last FROM t JOIN d ON d.r = t.r GROUP BY t.r)
+        SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(left_, '') || hex(h[coalesce(last, 0) + 1:n]))) AS kept_sha256 FROM d LEFT JOIN k ON k.r = d.r""",
     "op4_embedding_links": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings

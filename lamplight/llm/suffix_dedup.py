@@ -6,9 +6,12 @@ thus lie at equal places of phrases with equal triggers, and texts need comparin
 
 The parse of a text is its phrases. Their occurrences are dealt out by trigger as hashes. A phrase that also occurs in a lesser
 document is covered whole; highly repetitive text ends there, as its dictionary of phrases is small. What is left are
-phrases that share a trigger but differ, the ends of repeated passages: one of each enters the dictionary with its bytes,
-the suffixes of all dictionary phrases are sorted to the match length, and the parse turns runs of equal suffixes into
-their order by document, whose first one owns the string. All others are removed.
+phrases that share a trigger but differ, the ends of repeated passages. One of each enters the dictionary with its bytes:
+the suffixes that end in a trigger are sorted, so are the suffixes of the parse that begin with it, and a string of
+the match length is an interval of the one order and one of the other. The first document of each such pair owns the string; all others lose it.
+
+No trigger is gathered whole where many texts hold it: phrases of hot triggers are dealt out by phrase, and the strings around a trigger
+with too many different phrases are told apart by digests in an aggregate of their own.
 """
 
 from __future__ import annotations
@@ -23,15 +26,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.llm.common import groups_of
+from lamplight.llm.common import groups_of, integral, over_numbers, written
 
 LENGTH = 50
 #: Bytes of a trigger; longer ones meet less by chance, shorter ones are fewer.
 GRAM = 20
-#: Bytes of text parsed together, dictionary phrases sorted together, bytes of a hash that are dealt out.
-PARSED = 2 << 20
+#: Bytes of text parsed together, dictionary phrases sorted together, occurrences settled together, bytes of a hash that are dealt out.
+PARSED = 1 << 20
 SORTED = 20_000
+SETTLED = 400_000
 HASHED = 6
+#: One document in so many is looked at for hot triggers, and how often one must occur there.
+SAMPLED = 64
+SEEN = 50
 BEFORE = LENGTH - GRAM
 SPAN = BEFORE + LENGTH
 
@@ -138,7 +145,33 @@ def _long(parts: list[bytes]) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _parse(buckets: int):
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Triggers of texts with their counts. text"""
+    for batch in batches:
+        for _, texts in _pieces(batch.column(0), PARSED):
+            sizes = np.array([len(t or b"") for t in texts], np.int64)
+            _, gram, _ = triggers(np.frombuffer(b"".join(t or b"" for t in texts), np.uint8), np.cumsum(sizes) - sizes, sizes)
+            keys, n = np.unique(gram, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["gram", "n"])
+
+
+def hot_triggers(known: DataFrame, parts: int) -> np.ndarray:
+    """Triggers that hold more than a sixteenth of an average bucket in a sample of documents: at most 16 for each bucket.
+
+    They only choose a way for their phrases; both ways give the same.
+    """
+    counts = known.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(_frequent, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = written(counts.where(F.col("n") >= SEEN))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") * (16 * parts) > total).select("gram").toArrow().column(0).to_numpy()
+    return np.sort(_long([_short(hot.astype(np.int64).view(np.uint64))])) if len(hot) else np.zeros(0, np.uint64)
+
+
+def _in(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    return np.isin(wanted, keys) if len(keys) else np.zeros(len(wanted), bool)
+
+
+def _parse(buckets: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids_all = batch.column(0).to_numpy()
@@ -158,7 +191,9 @@ def _parse(buckets: int):
                 least = ids[owner[order]][np.flatnonzero(new)][np.cumsum(new) - 1]
                 known = np.zeros(len(at), bool)
                 known[order] = ids[owner[order]] > least
-                bucket = (gram % np.uint64(buckets)).astype(np.int64)
+                # phrases of one trigger lie together, but those of a hot one are dealt out by phrase
+                deal = np.where(_in(hot, _long([_short(gram)])), _long([_short(phrase)]) >> np.uint64(7), gram)
+                bucket = (deal % np.uint64(buckets)).astype(np.int64)
                 bucket[known] = buckets + bucket[known]  # a bucket of their own, beside
                 order = np.argsort(bucket, kind="stable")
                 edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
@@ -177,14 +212,38 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed for the one shuffle that they take."""
     press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        for first, texts in _pieces(batch.column(1), PARSED * 4):
+        for first, texts in _pieces(batch.column(1), PARSED * 8):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(list(map(mark, texts)), pa.int32()), pa.array([press.compress(t) for t in texts], pa.binary())], names=["id", "mark", "text"])
 
 
-def _settle(buckets: int):
+SPANS = "id long, mark int, spans binary"
+SETTLED_NAMES = ["id", "mark", "spans", "at", "gram", "many"]
+
+
+def _ranges(ids: np.ndarray, marks: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(id, mark, spans) once for each: its ranges of bytes as pairs of numbers, those that meet joined."""
+    if not len(ids):
+        return pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.binary())
+    order = np.lexsort((start, marks, ids))
+    ids, marks, start, stop = ids[order], marks[order], start[order].astype(np.int32), stop[order].astype(np.int32)
+    own = np.concatenate([[True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])])
+    new = np.flatnonzero(own | np.concatenate([[True], start[1:] > stop[:-1]]))  # all are of one length, or runs apart
+    pairs = np.stack([start[new], np.maximum.reduceat(stop, new)], axis=1)
+    first = np.flatnonzero(own[new])
+    offsets = np.append(first, len(new)).astype(np.int32) * 8
+    spans = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(pairs).tobytes())])
+    return pa.array(ids[new][first]), pa.array(marks[new][first]), spans
+
+
+def _settle(buckets: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(ids, marks, at, gram):
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(marks), pa.array(at.astype(np.int32)), pa.array(gram, pa.int64())], names=["id", "mark", "at", "gram"])
+        def gone(ids, marks, at):
+            rows = _ranges(ids, marks, at - BEFORE, at + LENGTH)
+            n = len(rows[0])
+            return pa.RecordBatch.from_arrays([*rows, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names=SETTLED_NAMES)
+
+        def ask(ids, marks, at, gram, many):
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(marks), pa.nulls(len(ids), pa.binary()), pa.array(at), pa.array(gram), pa.array(many)], names=SETTLED_NAMES)
 
         for g in groups_of(batches, 1):
             cols = [g.column(k).to_pylist() for k in range(1, 7)]
@@ -194,42 +253,56 @@ def _settle(buckets: int):
                 ids.append(_unpack(a)[owner])
                 marks.append(np.frombuffer(b, np.int32)[owner])
             ids, marks = np.concatenate(ids), np.concatenate(marks)
-            at = np.concatenate([_unpack(x) for x in cols[3]])
+            at = np.concatenate([_unpack(x).astype(np.int32) for x in cols[3]])
             if g.column(0)[0].as_py() >= buckets:
-                yield out(ids, marks, at, [None] * len(ids))
+                for k in range(0, len(ids), SETTLED):
+                    yield gone(ids[k : k + SETTLED], marks[k : k + SETTLED], at[k : k + SETTLED])
                 continue
             gram, phrase = _long(cols[4]), _long(cols[5])
-            order = np.lexsort((ids, phrase, gram))
-            ids, marks, at, gram, phrase = (x[order] for x in (ids, marks, at, gram, phrase))
-            new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
-            new_phrase = new_gram | np.concatenate([[True], phrase[1:] != phrase[:-1]])
-            first = np.flatnonzero(new_phrase)
-            least = ids[first][np.cumsum(new_phrase) - 1]
-            covered = ids > least
-            if covered.any():
-                yield out(ids[covered], marks[covered], at[covered], [None] * int(covered.sum()))
-            # triggers of several phrases whose least documents differ
-            which = np.cumsum(new_gram) - 1
-            low, high = np.full(which[-1] + 1, np.iinfo(np.int64).max), np.full(which[-1] + 1, np.iinfo(np.int64).min)
-            np.minimum.at(low, which[first], ids[first])
-            np.maximum.at(high, which[first], ids[first])
-            ask = ~covered & (low < high)[which]
-            if ask.any():
-                yield out(ids[ask], marks[ask], at[ask], gram[ask].view(np.int64))
+            del cols
+            # all phrases of a trigger lie in one part of the bucket
+            split = -(-len(ids) // SETTLED)
+            part = (gram >> np.uint64(20)) % np.uint64(split)
+            for k in range(split):
+                some = np.flatnonzero(part == k) if split > 1 else slice(None)
+                yield from settle(*(x[some] for x in (ids, marks, at, gram, phrase)), gone, ask)
+
+    def settle(ids, marks, at, gram, phrase, gone, ask) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((ids, phrase, gram))
+        ids, marks, at, gram, phrase = (x[order] for x in (ids, marks, at, gram, phrase))
+        if not len(ids):
+            return
+        new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
+        new_phrase = new_gram | np.concatenate([[True], phrase[1:] != phrase[:-1]])
+        first = np.flatnonzero(new_phrase)
+        least = ids[first][np.cumsum(new_phrase) - 1]
+        covered = ids > least
+        if covered.any():
+            yield gone(ids[covered], marks[covered], at[covered])
+        # triggers of several phrases whose least documents differ
+        which = np.cumsum(new_gram) - 1
+        low, high = np.full(which[-1] + 1, np.iinfo(np.int64).max), np.full(which[-1] + 1, np.iinfo(np.int64).min)
+        np.minimum.at(low, which[first], ids[first])
+        np.maximum.at(high, which[first], ids[first])
+        apart = _in(hot, gram)
+        left = ~covered & ((low < high)[which] | apart)
+        if left.any():
+            many = apart | (np.bincount(which[left], minlength=which[-1] + 1) > SORTED)[which]
+            yield ask(ids[left], marks[left], at[left], gram[left].view(np.int64), many[left])
 
     return run
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    # id, text, asked: places and grams of one document
+    # id, mark, text, asked: places and grams of one document
     for batch in batches:
         rows: list[tuple] = []
-        for i, text, asked in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for i, m, text, asked in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             text = zstandard.ZstdDecompressor().decompress(text)
             for a in asked:
                 t = a["at"]
                 s = max(t - BEFORE, 0)
-                rows.append((a["gram"], i, a["mark"], s, text[s : t + LENGTH]))
+                rows.append((a["gram"], i, m, t, s, text[s : t + LENGTH]))
             if len(rows) > 50_000:
                 yield _rows(rows)
                 rows = []
@@ -238,49 +311,70 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["gram", "id", "mark", "start", "phrase"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["gram", "id", "mark", "at", "start", "phrase"])
 
 
-def owned(ids: np.ndarray, starts: np.ndarray, phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the phrase, place in it) of each string of the match length that a lesser document owns.
+def _order(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each text among the distinct ones, leading bytes that each distinct one shares with the one before it).
 
-    The dictionary's suffixes are sorted to the match length; of a run of equal ones the least document is the owner.
+    Texts of up to ``width`` bytes, sorted as strings; shorter ones end in a symbol below all bytes.
     """
-    sizes = np.array([len(p) for p in phrases], np.int64)
-    flat = np.frombuffer(b"".join(phrases), np.uint8)
-    count = np.maximum(sizes - LENGTH + 1, 0)
-    index = np.repeat(np.arange(len(phrases)), count)
-    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    if not len(index):
-        return index, place
-    begin = (np.cumsum(sizes) - sizes)[index] + place
-    # eight bytes at a time, big-endian, so that numbers sort as the strings do
-    padded = np.concatenate([flat, np.zeros(8, np.uint8)])
-    width = -(-LENGTH // 8)
-    words = np.zeros((width, len(index)), np.uint64)
-    for k in range(LENGTH):
-        words[k // 8] |= padded[begin + k].astype(np.uint64) << np.uint64(8 * (7 - k % 8))
-    order = np.lexsort((ids[index], *words[::-1]))
-    s = words[:, order]
-    new = np.concatenate([[True], (s[:, 1:] != s[:, :-1]).any(axis=0)])
-    least = ids[index[order]][np.flatnonzero(new)][np.cumsum(new) - 1]
-    hit = order[ids[index[order]] > least]
-    hit.sort()
-    return index[hit], place[hit]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    table = np.zeros((len(texts), width), np.uint16)
+    table[np.arange(width) < sizes[:, None]] = flat.astype(np.uint16) + 1
+    order = np.lexsort(table.T[::-1])
+    t = table[order]
+    differ = t[1:] != t[:-1]
+    new = np.concatenate([[True], differ.any(axis=1)])
+    rank = np.empty(len(texts), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    return rank, np.concatenate([[0], shared])[new]
+
+
+def owned(ids: np.ndarray, lefts: list[bytes], rights: list[bytes], gram: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the occurrence, bytes before its trigger) of each string of the match length that a lesser document owns.
+
+    ``lefts`` are the bytes before a trigger, last one first: in that order stand the dictionary's suffixes that end in the trigger.
+    ``rights`` follow it: in their order stand the suffixes of the parse that begin with it. A string takes some bytes of
+    either, so its class is an interval of the one order and one of the other, by the bytes that neighbours share.
+    """
+    left, left_shared = _order(lefts, BEFORE)
+    right, right_shared = _order(rights, BEFORE)
+    left_size, right_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (lefts, rights))
+    group = np.zeros(len(ids), np.int64) if gram is None else np.unique(gram, return_inverse=True)[1]
+    index, before = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(BEFORE + 1):
+        some = np.flatnonzero((left_size >= k) & (right_size >= BEFORE - k))
+        if len(some) < 2:
+            continue
+        a = (np.cumsum(left_shared < k) if k else np.zeros(len(left_shared), np.int64))[left[some]]
+        b = (np.cumsum(right_shared < BEFORE - k) if k < BEFORE else np.zeros(len(right_shared), np.int64))[right[some]]
+        order = np.lexsort((ids[some], b, a, group[some]))
+        a, b, g, who = a[order], b[order], group[some][order], ids[some][order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (g[1:] != g[:-1])])
+        hit = some[order[who > who[np.flatnonzero(new)][np.cumsum(new) - 1]]]
+        index.append(hit)
+        before.append(np.full(len(hit), k))
+    index, before = np.concatenate(index), np.concatenate(before)
+    order = np.lexsort((-before, index))
+    return index[order], before[order]
+
+
+def _sides(at: np.ndarray, starts: np.ndarray, phrases: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    places = (at - starts).tolist()
+    return [p[:k][::-1] for p, k in zip(phrases, places, strict=True)], [p[k + GRAM :] for p, k in zip(phrases, places, strict=True)]
 
 
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    # gram, id, mark, start, phrase: sorted by gram, so groups may be put together up to a size
+    # gram, id, mark, at, start, phrase: sorted by gram, so groups may be put together up to a size
     def work(tables: list[pa.Table]) -> pa.RecordBatch:
         t = pa.concat_tables(tables)
-        ids, marks, starts = (t.column(k).to_numpy() for k in (1, 2, 3))
-        index, place = owned(ids, starts, t.column(4).to_pylist())
-        s = starts[index].astype(np.int64) + place
-        new = np.ones(len(index), bool)
-        new[1:] = (index[1:] != index[:-1]) | (place[1:] != place[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(index)) - 1 if len(first) else first
-        return pa.RecordBatch.from_arrays([pa.array(ids[index[first]]), pa.array(marks[index[first]]), pa.array(s[first].astype(np.int32)), pa.array((s[last] + LENGTH).astype(np.int32))], names=["id", "mark", "start", "stop"])
+        gram, ids, marks, at, starts = (t.column(k).to_numpy() for k in range(5))
+        index, before = owned(ids, *_sides(at, starts, t.column(5).to_pylist()), gram)
+        start = at[index].astype(np.int64) - before
+        return pa.RecordBatch.from_arrays(list(_ranges(ids[index], marks[index], start, start + LENGTH)), names=SETTLED_NAMES[:3])
 
     held: list[pa.Table] = []
     size = 0
@@ -294,8 +388,26 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work(held)
 
 
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The strings around triggers that have too many different phrases for one task, each under a digest of its own."""
+    # gram, id, mark, at, start, phrase
+    for batch in batches:
+        rows: list[tuple] = []
+        for gram, i, m, t, s, p in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            rows += [(xxhash.xxh3_128_digest(p[k : k + LENGTH], seed=gram & 0xFFFFFFFF), i, m, s + k) for k in range(max(0, t - BEFORE - s), min(t - s, len(p) - LENGTH) + 1)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["string", "id", "mark", "start"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # id, mark, start
+    for batch in batches:
+        ids, marks, start = (batch.column(k).to_numpy() for k in range(3))
+        yield pa.RecordBatch.from_arrays(list(_ranges(ids, marks, start, start + LENGTH)), names=SETTLED_NAMES[:3])
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    # id, text, starts, stops
+    # id, text, lists of spans
     for batch in batches:
         n, removed, spans, digest = [], [], [], []
         for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -307,7 +419,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 spans.append(0)
                 digest.append(hashlib.sha256(text).hexdigest())
                 continue
-            r = np.array([(x["start"], x["stop"]) for x in ranges], np.int64)
+            r = np.frombuffer(b"".join(ranges), np.int32).reshape(-1, 2).astype(np.int64)
             r = r[np.argsort(r[:, 0], kind="stable")]
             s, e = np.maximum(r[:, 0], 0), np.minimum(np.maximum.accumulate(r[:, 1]), size)
             new = np.concatenate([[True], s[1:] > e[:-1]])
@@ -324,25 +436,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Each byte goes that a 50-byte string covers which also starts in a document with a lesser id. Null texts count as empty;
     texts under 50 bytes keep all. Rows with a null id neither lose bytes nor own strings. Rows of one id never take
-    from each other, and equal rows each get the same result. Strings are judged on the input. An empty table gives no rows.
-    Other columns are not read.
+    from each other, and equal rows each get the same result. Ids of any type are compared in their own order. Strings
+    are judged on the input. An empty table gives no rows. Other columns are not read.
     """
+    if not integral(docs, id_col):
+        return over_numbers(lambda df: remove_repeats(df, id_col, text_col), docs, id_col, [text_col], ["doc_id"])
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text"))
     known = rows.where("id is not null")
+    hot = hot_triggers(known, parts)
     # the filter, which an inner join would add for itself, lets both joins share one shuffle
     small = known.mapInArrow(_shrink, "id long, mark int, text binary").where("id is not null and mark is not null")
-    parsed = known.mapInArrow(_parse(parts), "bucket int, ids binary, marks binary, owner binary, places binary, gram binary, phrase binary")
-    settled = parsed.repartition(parts * 2, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(parts), "id long, mark int, at int, gram long")
-    asked = settled.where("gram is not null").groupBy("id", "mark").agg(F.collect_list(F.struct("at", "gram", "mark")).alias("asked"))
-    fetched = (
-        small.join(asked.withColumnsRenamed({"id": "i2", "mark": "m2"}), (F.col("id") == F.col("i2")) & (F.col("mark") == F.col("m2"))).select("id", "text", "asked")
-        .mapInArrow(_fetch, "gram long, id long, mark int, start int, phrase binary")
-    )
-    ends = fetched.repartition(parts * 2, "gram").sortWithinPartitions("gram").mapInArrow(_sort, "id long, mark int, start int, stop int")
-    covered = settled.where("gram is null").select("id", "mark", (F.col("at") - BEFORE).alias("start"), (F.col("at") + LENGTH).alias("stop"))
-    ranges = covered.unionAll(ends).groupBy("id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    parsed = known.mapInArrow(_parse(parts, hot), "bucket int, ids binary, marks binary, owner binary, places binary, gram binary, phrase binary")
+    # read by several branches below, which would each compute it again
+    settled = written(parsed.repartition(parts * 2, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(parts, hot), f"{SPANS}, at int, gram long, many boolean"))
+
+    def fetched(some: DataFrame) -> DataFrame:
+        asked = some.groupBy("id", "mark").agg(F.collect_list(F.struct("at", "gram")).alias("asked")).withColumnsRenamed({"id": "i2", "mark": "m2"})
+        return small.join(asked, (F.col("id") == F.col("i2")) & (F.col("mark") == F.col("m2"))).select("id", "mark", "text", "asked").mapInArrow(_fetch, "gram long, id long, mark int, at int, start int, phrase binary")
+
+    ends = fetched(settled.where("gram is not null and not many")).repartition(parts * 2, "gram").sortWithinPartitions("gram").mapInArrow(_sort, SPANS)
+    if settled.where("many").limit(1).count():
+        strings = written(fetched(settled.where("many")).mapInArrow(_strings, "string binary, id long, mark int, start int"))
+        least = strings.groupBy("string").agg(F.min("id").alias("least")).withColumnRenamed("string", "s2")
+        # a key that is computed anew is shuffled anew, so that adaptive execution may split a string of many documents
+        more = strings.withColumn("string", F.concat("string", F.lit(b""))).join(least, F.col("string") == F.col("s2")).where("id > least")
+        ends = ends.unionAll(more.select("id", "mark", "start").mapInArrow(_packed, SPANS))
+    covered = settled.where("gram is null").select("id", "mark", "spans")
+    ranges = covered.unionAll(ends).groupBy("id", "mark").agg(F.collect_list("spans").alias("ranges"))
     joined = small.join(ranges.withColumnsRenamed({"id": "i2", "mark": "m2"}), (F.col("id") == F.col("i2")) & (F.col("mark") == F.col("m2")), "left").select("id", "text", "ranges")
     alone = rows.where("id is null").mapInArrow(_shrink, "id long, mark int, text binary").select("id", "text", F.lit(None).cast(joined.schema["ranges"].dataType).alias("ranges"))
     return joined.unionAll(alone).mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

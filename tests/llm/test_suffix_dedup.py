@@ -78,3 +78,40 @@ def test_every_string_holds_a_trigger():
     at, _, _ = sd.triggers(b, np.array([0, 1000]), np.array([1000, 2000]))
     for s in [*range(0, 951), *range(1000, 2951)]:
         assert ((at >= s) & (at <= s + sd.LENGTH - sd.GRAM)).any()
+
+
+def test_hot_triggers_give_the_same(spark, monkeypatch):
+    """A passage in most documents, each with surroundings of its own: by phrase, by digest and in one task."""
+    rng = random.Random(4)
+    passage = prose(rng, 25)
+    rows = [f"{prose(rng, 15)} {passage} {prose(rng, 15)}" for _ in range(60)] + [passage, passage[20:90], prose(rng, 60)]
+    ids = list(range(len(rows)))
+    rng.shuffle(ids)
+    docs = documents(spark, rows, ids=ids)
+    check(docs)
+    monkeypatch.setattr(sd, "SORTED", 5)
+    check(docs)
+    monkeypatch.setattr(sd, "SETTLED", 40)
+    check(docs)
+    monkeypatch.setattr(sd, "SAMPLED", 1)
+    monkeypatch.setattr(sd, "SEEN", 1)
+    known = docs.selectExpr("doc_id id", "cast(text as binary) text")
+    assert len(sd.hot_triggers(known, 4)) > 0
+    check(docs)
+
+
+def test_ids_of_other_types(spark):
+    rows = [r for r in texts() if r][:30] * 2
+    ids = [f"d{k:03d}" for k in range(60)]
+    random.Random(2).shuffle(ids)
+    df = spark.createDataFrame(list(zip([*ids, None], [*rows, rows[0]], strict=True)), "doc_id string, text string")
+    check(df)
+
+
+def test_orders_tell_the_bytes_that_neighbours_share():
+    rng = random.Random(1)
+    some = [bytes(rng.choices(b"ab\x00", k=rng.randint(0, 6))) for _ in range(200)]
+    rank, shared = sd._order(some, 6)
+    distinct = sorted(set(some))
+    assert [distinct[k] for k in rank] == some
+    assert shared[1:].tolist() == [len(__import__("os").path.commonprefix([a, b])) for a, b in zip(distinct, distinct[1:], strict=False)]

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.llm.common import components, cut, groups_of, slices
+from lamplight.llm.common import components, cut, groups_of, integral, over_numbers, slices
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -36,8 +36,9 @@ KEPT = 3
 #: texts at the threshold stays under it with odds of 1 in 10^8, so nearly all of what is missed shares no key.
 BINS = 256
 PROMISING = 0.65
-#: Texts of a block of a key, on average.
+#: Texts of a block of a key, on average, where all of a block meet, and where each meets the key's least text alone.
 BLOCK = 2048
+LED = 256
 WORD = re.compile(r"\w+")
 
 
@@ -276,8 +277,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Words are runs of letters, digits and underscores, lower-cased; texts of equal words are linked. Other texts are
     linked by an aligned similarity of at least ``similarity``. Null texts, empty ones and ones without words link with
     nothing, nor do rows with a null id (their class is null). Rows repeated with their id get a row each; rows of one id
-    with different texts are linked by it. An empty table gives no rows. Other columns are not read.
+    with different texts are linked by it. Ids of any type are compared in their own order. An empty table gives no rows. Other columns are not read.
     """
+    if not integral(docs, id_col):
+        return over_numbers(lambda df: near_groups(df, id_col, text_col, similarity), docs, id_col, [text_col], ["doc_id", "class_id"])
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sig = cut(rows.mapInArrow(_sign, "doc_id long, digest binary, keys array<long>, sketch binary"))
@@ -285,20 +288,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = live.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     same = cut(same)
     placed = same.select("rep", F.explode("keys").alias("key"))
-    sizes = placed.groupBy("key").agg(F.count_distinct("rep").alias("size")).where("size > 1").select(F.shiftleft("key", 0).alias("key"))
-    shared = placed.join(sizes, "key", "left_semi").distinct()
+    sizes = placed.groupBy("key").agg(F.count_distinct("rep").alias("size")).where("size > 1").select(F.shiftleft("key", 0).alias("key"), F.ceil(F.col("size") / LED).cast("int").alias("shares"))
+    shared = placed.distinct().join(sizes, "key")
     signs = same.select("rep", "sketch", "keys").dropDuplicates(["rep"])
-    buckets = cut(shared.join(signs.select("rep", "sketch"), "rep"))
+    buckets = cut(shared.join(signs.select("rep", "sketch"), "rep").select("key", "rep", "sketch", "shares"))
     met = buckets.select(F.col("rep").alias("id")).distinct()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    led = cut(buckets.select("key", "rep", "sketch").repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(_lead, "a long, b long").distinct())
+    # a key's least text is an aggregate; it goes to each share of the key's texts, so no key is gathered
+    share = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("shares")).cast("int")
+    least = buckets.groupBy("key").agg(F.min(F.struct("rep", "sketch")).alias("low"), F.max("shares").alias("shares"))
+    least = least.select("key", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "low.rep", "low.sketch")
+    shares = buckets.select("key", share.alias("share"), "rep", "sketch").unionAll(least).select(F.xxhash64("key", "share").alias("key"), "rep", "sketch")
+    led = cut(shares.repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(_lead, "a long, b long").where("a <> b").distinct())
     held = cut(rows.withColumnRenamed("doc_id", "id").join(met, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_hold, "id long, h binary"))
     one = led.join(held.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
     two = one.join(held.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").select("a", "b", "ha", "hb")
     links = cut(two.mapInArrow(_verify(similarity), "a long, b long, similarity double").where("similarity > 0").select("a", "b"))
     comps = components(links)
     # keys whose texts lie in several groups
-    now = cut(buckets.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"), "sketch"))
+    now = cut(buckets.drop("shares").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"), "sketch"))
     open_keys = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high")
     open_keys = open_keys.select(F.shiftleft("key", 0).alias("key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = (

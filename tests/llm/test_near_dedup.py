@@ -150,3 +150,26 @@ def test_a_pair_of_a_low_estimate_is_verified():
     b = np.where(np.arange(nd.BINS) < 0.68 * nd.BINS, 1, 2).astype(np.uint8)
     batch = pa.RecordBatch.from_arrays([pa.array([9, 9]), pa.array([1, 2]), pa.array([a.tobytes(), b.tobytes()])], names=["key", "rep", "sketch"])
     assert [x.to_pydict() for x in nd._lead(iter([batch]))] == [{"a": [1], "b": [2]}]
+
+
+def test_shares_of_a_key_give_the_same(spark, monkeypatch):
+    """Many near copies of one text under text ids, dealt out in shares of two."""
+    rng = random.Random(8)
+    base = prose(rng, 150).split()
+    rows = [edited(rng, base, 0.01) for _ in range(40)] + [prose(rng, 60) for _ in range(10)]
+    ids = [f"n{k:02d}" for k in range(50)]
+    rng.shuffle(ids)
+    df = spark.createDataFrame(list(zip([*ids, None], [*rows, rows[0]], strict=True)), "doc_id string, text string")
+    want = brute_of_any(df.collect())
+    monkeypatch.setattr(nd, "LED", 2)
+    assert classes(df) == want and len({c for _, c in want}) < 30
+
+
+def brute_of_any(rows):
+    """``brute`` over places of the ids in their order."""
+    from collections import namedtuple
+
+    row = namedtuple("row", "doc_id text")
+    order = sorted(r.doc_id for r in rows if r.doc_id is not None)
+    back = dict(enumerate(order)) | {None: None}
+    return sorted(((back[i], back[c]) for i, c in brute([row(None if r.doc_id is None else order.index(r.doc_id), r.text) for r in rows])), key=repr)

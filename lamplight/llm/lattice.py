@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.llm.common import components, cut, groups_of, local_components
+from lamplight.llm.common import components, cut, groups_of, integral, local_components, over_numbers
 
 COSINE = 0.93
 #: Tables, cells besides the nearest, and the lattice's scale: a pair at the threshold shares no cell with odds of 3 in 10^5.
@@ -167,8 +167,10 @@ def link_embeddings(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     Two vectors link when their labels are equal and not null, their lengths are the same and their cosine in double
     precision is at least ``cosine``. Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing, nor do rows with a null id; each is its own component. Rows of one id with different vectors are linked by it. Repeated rows are vectors of their own and link with
-    each other. An empty table gives no rows. Other columns are not read.
+    each other. Ids of any type are compared in their own order. An empty table gives no rows. Other columns are not read.
     """
+    if not integral(vectors, id_col):
+        return over_numbers(lambda df: link_embeddings(df, cosine, id_col, vector_col, label_col, block), vectors, id_col, [vector_col, label_col], ["vec_id", "component_id"])
     sig = cut(
         vectors.select(F.col(id_col).cast("long"), F.col(label_col).cast("string"), F.col(vector_col).cast("array<double>"))
         .mapInArrow(_signatures, "vec_id long, label string, digest binary, dims int, vec binary, cells array<long>")

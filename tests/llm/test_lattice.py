@@ -112,3 +112,10 @@ def test_components(spark, monkeypatch):
     monkeypatch.setattr(common, "CONTRACTED", 40)
     assert sorted(map(tuple, common.components(df).collect())) == want
     assert common.components(df.limit(0)).count() == 0
+
+
+def test_ids_of_other_types(spark):
+    df = vectors(spark, seed=5, groups=12)
+    name = lambda x: None if x is None else f"v{x:05d}"
+    want = sorted(((name(i), n, name(c), k) for i, n, c, k in brute(df.collect())), key=repr)
+    assert sorted(map(tuple, la.link_embeddings(df.withColumn("vec_id", F.when(F.col("vec_id").isNotNull(), F.format_string("v%05d", "vec_id")))).collect()), key=repr) == want

@@ -3,8 +3,12 @@
 A tree builder reads the tags with a stack of open elements: implied end tags close paragraphs, list items, table parts and
 options, stray end tags are ignored, and what is left open ends with the page. Every element writes into a flow, in which
 blocks end lines, paragraphs and the like leave a blank line, list items get their mark and an indent, and table cells
-are laid out in aligned columns. Elements that are not rendered (head, script, style, template, hidden ones, closed dialogs)
-write nothing, and the text of svg drawings is left out. All other text is kept: formulas, menus, banners and footers too.
+are laid out in aligned columns. Elements that are not rendered (head, script, style, template, hidden ones, closed dialogs, and
+noscript, as scripts are taken to run) write nothing, and the text of svg drawings is left out. An element without visibility keeps its
+place, and what is visible within it is shown. All other text is kept: formulas, menus, banners and footers too.
+
+Every tag takes a time that does not depend on how many elements are open. Where more than MOST_FLOWS flows are open, list items and cells
+write into the one that is there, without a further indent or alignment.
 """
 
 from __future__ import annotations
@@ -46,13 +50,17 @@ OPEN = re.compile(r"(?:^|[\s/\"'])open(?=[\s=/>]|$)", re.I)
 QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')")
 UNQUOTED_END = re.compile(r"=\s*\S+\Z")
 STYLE = re.compile(r"(?:^|[\s/\"'])style\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-UNSHOWN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+UNSHOWN = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(hidden|collapse|visible)", re.I)
 NUMBER = {k: re.compile(rf"(?:^|[\s/\"']){k}\s*=\s*[\"']?\s*(-?\d{{1,6}})", re.I) for k in ("start", "value", "colspan", "rowspan")}
 HIDDEN_INPUT = re.compile(r"type\s*=\s*[\"']?hidden", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 GAP = "  "
 MOST_COLUMNS = 1000
 MOST_ROWS = 65534
+MOST_FLOWS = 100
+LISTS = ("ul", "ol", "menu")
+PARTS = ("thead", "tbody", "tfoot")
 
 
 class Flow:
@@ -104,10 +112,11 @@ class Flow:
 
 
 class Element:
-    __slots__ = ("cells", "count", "down", "flow", "mark", "name", "pre", "rows", "span", "unseen")
+    __slots__ = ("cells", "count", "down", "flow", "foreign", "mark", "name", "pre", "rows", "span", "unseen", "veiled")
 
-    def __init__(self, name: str, unseen: bool, pre: bool):
-        self.name, self.unseen, self.pre = name, unseen, pre
+    def __init__(self, name: str, unseen: bool, veiled: bool, pre: bool, foreign: bool):
+        self.name, self.unseen, self.veiled, self.pre = name, unseen, veiled, pre
+        self.foreign = name in FOREIGN or foreign and name not in INTEGRATION  # whether its children are elements of svg or math
         self.flow: Flow | None = None
         self.rows: list | None = None
         self.cells: list | None = None
@@ -159,24 +168,27 @@ class Page:
         self.flow = Flow()
         self.open: list[Element] = []
         self.flows = [self.flow]
+        self.depths: dict[str, list[int]] = {}  # of the open elements of each name
+        self.lists: list[Element] = []
+        self.tables: list[Element] = []  # that take rows
+        self.rowed: list[Element] = []  # rows and such tables
 
     @property
     def unseen(self) -> bool:
         return bool(self.open) and self.open[-1].unseen
 
+    def is_open(self, name: str) -> bool:
+        return bool(self.depths.get(name))
+
     def text(self, s: str) -> None:
-        if not s or self.unseen:
+        if not s or self.unseen or self.open and self.open[-1].veiled:
             return
         s = html.unescape(s) if "&" in s else s
         if self.open and self.open[-1].pre:
             self.flows[-1].pre(s)
-        elif not (self.open and self.open[-1].name in ("table", "tr", "thead", "tbody", "tfoot") and not s.strip(" \t\n\r\f")):
+        elif not (self.open and (self.open[-1].name in ("table", "tr") or self.open[-1].name in PARTS) and not s.strip(" \t\n\r\f")):
             self.flows[-1].text(s.replace("\0", ""))
 
-    def foreign(self) -> bool:
-        """Whether what opens here is an element of svg or math."""
-        return next((x.name in FOREIGN for x in reversed(self.open) if x.name in FOREIGN or x.name in INTEGRATION), False)
-
     def start(self, name: str, attributes: str) -> bool:
         """Opens an element; whether it is open still."""
         if name in ENDS:
@@ -191,31 +203,38 @@ class Page:
             elif name == "hr":
                 self.flows[-1].space()
             return False
-        if name == "body" and any(e.name == "head" for e in self.open):
+        if name == "body" and self.is_open("head"):
             self.end("head")
+        up = self.open[-1] if self.open else None
         style = STYLE.search(attributes) if "style" in attributes or "STYLE" in attributes else None
-        unseen = self.unseen or name in UNSEEN or name == "dialog" and not OPEN.search(QUOTED.sub("=", attributes)) or bool(attributes and HIDDEN.search(QUOTED.sub("=", attributes))) or bool(style and UNSHOWN.search(html.unescape(next(g for g in style.groups() if g is not None))))
-        e = Element(name, unseen, name in ("pre", "textarea", "xmp") or bool(self.open and self.open[-1].pre))
-        up = next((x for x in reversed(self.open) if x.name in ("table", "tr") or x.rows is not None), None)
+        rules = html.unescape(next(g for g in style.groups() if g is not None)) if style else ""
+        bare = QUOTED.sub("=", attributes) if attributes else ""
+        unseen = self.unseen or name in UNSEEN or name == "dialog" and not OPEN.search(bare) or bool(bare and HIDDEN.search(bare)) or bool(rules and UNSHOWN.search(rules))
+        seen = VISIBILITY.findall(rules)
+        veiled = seen[-1].lower() != "visible" if seen else bool(up and up.veiled)
+        e = Element(name, unseen, veiled, name in ("pre", "textarea", "xmp") or bool(up and up.pre), bool(up and up.foreign))
         if not unseen:
             flow = self.flows[-1]
-            if name in SPACED and not (name in ("ul", "ol", "menu") and any(x.name == "li" for x in self.open)):
+            if name in SPACED and not (name in LISTS and self.is_open("li")):
                 flow.space()
             elif name in BLOCK:
                 flow.line()
+            room = len(self.flows) <= MOST_FLOWS
             if name == "li":
-                lists = next((x for x in reversed(self.open) if x.name in ("ul", "ol", "menu")), None)
                 e.mark = "- "
-                if lists is not None and lists.name == "ol":
+                if self.lists and self.lists[-1].name == "ol":
                     given = NUMBER["value"].search(attributes)
-                    lists.count = int(given[1]) if given else lists.count + 1
-                    e.mark = f"{lists.count}. "
+                    self.lists[-1].count = int(given[1]) if given else self.lists[-1].count + 1
+                    e.mark = f"{self.lists[-1].count}. "
+                e.mark = "" if veiled else e.mark
+                if not room and e.mark:
+                    flow.now.append(e.mark)
             elif name == "ol":
                 given = NUMBER["start"].search(attributes)
                 e.count = int(given[1]) - 1 if given else 0
-            elif name == "table":
+            elif name == "table" and room:
                 e.rows = []
-            elif name == "tr" and up is not None:
+            elif name == "tr" and (self.is_open("table") or self.is_open("tr")):
                 e.cells = []
             elif name in ("td", "th"):
                 given = NUMBER["colspan"].search(attributes)
@@ -223,34 +242,49 @@ class Page:
                 given = NUMBER["rowspan"].search(attributes)
                 down = int(given[1]) if given else 1
                 e.down = MOST_ROWS if down == 0 else min(max(down, 1), MOST_ROWS)  # 0: to the end of the part
-            if name in ("li", "td", "th", "table", "dd", "blockquote"):
+            if room and name in ("li", "td", "th", "table", "dd", "blockquote"):
                 e.flow = Flow()
                 self.flows.append(e.flow)
         # in an unquoted value the slash is part of the value
-        closed = attributes.endswith("/") and (name in FOREIGN or self.foreign()) and not UNQUOTED_END.search(QUOTED.sub("", attributes))
+        closed = attributes.endswith("/") and (name in FOREIGN or bool(up and up.foreign)) and not UNQUOTED_END.search(QUOTED.sub("", attributes))
+        self.depths.setdefault(name, []).append(len(self.open))
         self.open.append(e)
+        if name in LISTS:
+            self.lists.append(e)
+        if e.rows is not None:
+            self.tables.append(e)
+        if name == "tr" or e.rows is not None:
+            self.rowed.append(e)
         if closed:
             self.pop()
         return not closed
 
     def end_any(self, names, limits) -> None:
-        for e in reversed(self.open):
-            if e.name in names:
-                while self.pop() is not e:
-                    pass
-                return
-            if e.name in limits:
-                return
+        """Ends the innermost open element of the names, and all within it, if no limit stands further in."""
+        inmost = max((self.depths[n][-1] for n in names if self.depths.get(n)), default=-1)
+        if inmost >= 0 and inmost >= max((self.depths[n][-1] for n in limits if self.depths.get(n)), default=-1):
+            while len(self.open) > inmost:
+                self.pop()
 
     def end(self, name: str) -> None:
         if name == "br":
             self.start("br", "")
             return
-        limits = frozenset() if name in ("html", "body", "table") else frozenset(("table", "td", "th")) - {name} if name not in ("tr", "td", "th", "thead", "tbody", "tfoot", "caption") else frozenset(("table",))
+        if name in ("html", "body", "table"):
+            limits = frozenset()
+        elif name in ("tr", "td", "th", "caption") or name in PARTS:
+            limits = frozenset(("table",))
+        else:
+            limits = frozenset(("table", "td", "th"))
         self.end_any({name}, limits)
 
     def pop(self) -> Element:
         e = self.open.pop()
+        name = e.name
+        self.depths[name].pop()
+        for stack in (self.lists, self.tables, self.rowed):
+            if stack and stack[-1] is e:
+                stack.pop()
         if e.unseen:
             return e
         lines: list[str] = []
@@ -258,8 +292,11 @@ class Page:
             lines = e.flow.close()
             self.flows.pop()
         flow = self.flows[-1]
-        name = e.name
-        if name == "li":
+        if e.flow is None and name in ("td", "th"):
+            flow.text(" ")
+        elif e.flow is None and name in BLOCK:
+            flow.line()
+        elif name == "li":
             flow.line()
             indent = " " * len(e.mark)
             flow.put([(e.mark if k == 0 else indent if x else "") + x for k, x in enumerate(lines)])
@@ -267,8 +304,7 @@ class Page:
             flow.line()
             flow.put(["  " + x if x else "" for x in lines])
         elif name in ("td", "th"):
-            row = next((x for x in reversed(self.open) if x.name == "tr" or x.rows is not None), None)
-            table = next((x for x in reversed(self.open) if x.rows is not None), None)
+            row, table = (x[-1] if x else None for x in (self.rowed, self.tables))
             if row is not None and row.cells is not None:
                 row.cells.append((lines, e.span, e.down))
             elif table is not None:
@@ -276,20 +312,15 @@ class Page:
             else:
                 flow.line()
                 flow.put(lines)
-        elif name == "tr":
-            table = next((x for x in reversed(self.open) if x.rows is not None), None)
-            if e.cells is not None and table is not None:
-                table.rows.append(e.cells)
         elif name == "table":
             flow.put(lines)
             flow.put(table_lines(e.rows))
-        elif name in BLOCK:
-            flow.line()
-        if name in ("thead", "tbody", "tfoot"):
-            table = next((x for x in reversed(self.open) if x.rows is not None), None)
-            if table is not None:
-                table.rows.append(None)
-        if name in SPACED and not (name in ("ul", "ol", "menu") and any(x.name == "li" for x in self.open)):
+        if self.tables and not e.unseen:
+            if name == "tr" and e.cells is not None:
+                self.tables[-1].rows.append(e.cells)
+            elif name in PARTS:
+                self.tables[-1].rows.append(None)
+        if name in SPACED and not (name in LISTS and self.is_open("li")):
             flow.space()
         return e
 

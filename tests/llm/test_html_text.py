@@ -93,3 +93,64 @@ def test_deep_long_and_repeated(spark):
 ])
 def test_foreign_elements_dialogs_and_rowspan(source, want):
     assert render(source) == want
+
+
+@pytest.mark.parametrize(("source", "want"), [
+    ('<div style="visibility:hidden">no<b style="visibility: visible">yes</b>no</div>', "yes"),
+    ('<div style="display:none">no<b style="visibility:visible">no</b></div>yes', "yes"),
+    ("<table><tr><td rowspan=2>A<td>b1<tr><td>b2</table>", "A  b1\n   b2"),
+    ("<ul style='visibility:hidden'><li>no<li style='visibility:visible'>x</ul>", "- x"),
+    ("<p>a<span><table><tr><td>b<p>c</table>d", "a\n\nb\n\nc\n\nd"),
+])
+def test_visibility_and_spans(source, want):
+    assert render(source) == want
+
+
+@pytest.mark.parametrize("tag", ["<div>", "<ul><li>x", "<p>", "<table><tr><td>x", "<blockquote>y", "<li>", "<math><mi>", "<p><table><td><div>"])
+def test_time_grows_in_proportion(tag):
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        assert render(tag * n + "z").rstrip().endswith("z")
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 12 * max(seconds(10_000), 0.05)
+
+
+def grid(rows):
+    """Columns of each cell by the table model of HTML, cell by cell on a grid of taken places."""
+    taken, out = {}, []
+    for r, cells in enumerate(rows):
+        c, line = 0, []
+        for text, across, down in cells:
+            while (r, c) in taken:
+                c += 1
+            line.append((text, c))
+            taken.update({(r + i, c + j): 1 for i in range(down) for j in range(across)})
+            c += across
+        out.append(line)
+    return out
+
+
+def test_tables_equal_a_plain_grid():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(200):
+        rows = [[("x" * rng.randint(1, 5), rng.choice([1, 1, 1, 2]), rng.choice([1, 1, 1, 2, 3])) for _ in range(rng.randint(1, 4))] for _ in range(rng.randint(1, 5))]
+        placed = grid(rows)
+        width = {}
+        for cells, line in zip(rows, placed, strict=True):
+            for (text, across, _), (_, c) in zip(cells, line, strict=True):
+                if across == 1:
+                    width[c] = max(width.get(c, 0), len(text))
+        want = []
+        for line in placed:
+            s = ""
+            for text, c in line:
+                s = s.ljust(2 * c + sum(w for k, w in width.items() if k < c)) + text
+            want.append(s.rstrip())
+        source = "<table>" + "".join("<tr>" + "".join(f"<td colspan={a} rowspan={d}>{t}" for t, a, d in cells) for cells in rows) + "</table>"
+        assert render(source) == "\n".join(want)

@@ -11,6 +11,10 @@ from lamplight.operators import ingredients, records, statistics, store
 from lamplight.sources.readers import fetch_text, read_texts
 
 
+#: Texts left out that are shown; the count tells of the rest.
+SHOWN = 20
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="lamplight", description=__doc__)
     p.add_argument("--file", help="a text file or a folder of them")
@@ -25,8 +29,9 @@ def main(argv: list[str] | None = None) -> int:
     if not a.file:
         p.error("--file or --url is needed")
     good, bad = store.quarantined(read_texts(spark, a.file), store.document_checks())
-    for r in bad.select("error", F.substring("text", 1, 100).alias("preview")).collect():
+    for r in bad.select("error", F.substring("text", 1, 100).alias("preview")).limit(SHOWN).collect():
         print(f"left out: {r.error}: {r.preview}")
+    print(f"left out in all: {bad.count()}")
     rows = store.table_rows(ingredients.with_ingredients(records.main_records(good)))
     if a.sql:
         rows.printSchema()

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 WS = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
+#: The same as characters, and as a class for texts without characters from U+1680 on, which is tested far faster.
+SPACES = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+NEAR_WS = r"[\t\n\x0B\f\r \xA0]"
+
 #: Litres, grams or themselves per historical unit (fixed values).
 UNIT_FACTORS = {
     "штоф": 1.23, "золотник": 4.266, "фунт": 409.5, "ведро": 12.3, "бутыль": 0.75, "стакан": 0.25, "чарка": 0.123,
@@ -27,11 +31,21 @@ LATIN = {
 
 def trim_all(c: Column) -> Column:
     """Strip all white space at both ends, line ends included."""
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
+
+
+def bound(c: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def by_space(c: Column, f) -> Column:
+    """``f(white space class)``: the short class where the text has no space beyond it."""
+    return F.when(c.rlike("[\u1680-\ufeff]"), f(WS)).otherwise(f(NEAR_WS))
 
 
 def collapse(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{WS}+", " ")
+    return by_space(c, lambda ws: F.regexp_replace(c, rf"{ws}++", " "))
 
 
 def prefix_number(c: Column) -> Column:
@@ -41,14 +55,17 @@ def prefix_number(c: Column) -> Column:
 
 def historical_number(c: Column) -> Column:
     """``1 1/2`` to 1.5, ``3/4`` to 0.75, else the number in front, else 0. A zero denominator gives null."""
-    t = trim_all(F.coalesce(c, F.lit("")))
     mixed, simple = rf"(\d+){WS}+(\d+)/(\d+)", r"(\d+)/(\d+)"
-    part = lambda p, k: F.regexp_extract(t, p, k).try_cast("double")
-    return (
-        F.when(t.rlike(mixed), part(mixed, 1) + F.try_divide(part(mixed, 2), part(mixed, 3)))
-        .when(t.rlike(simple), F.try_divide(part(simple, 1), part(simple, 2)))
-        .otherwise(F.coalesce(prefix_number(t), F.lit(0.0)))
-    )
+
+    def read(t: Column) -> Column:
+        part = lambda p, k: F.regexp_extract(t, p, k).try_cast("double")
+        return (
+            F.when(t.rlike(mixed), part(mixed, 1) + F.try_divide(part(mixed, 2), part(mixed, 3)))
+            .when(t.rlike(simple), F.try_divide(part(simple, 1), part(simple, 2)))
+            .otherwise(F.coalesce(prefix_number(t), F.lit(0.0)))
+        )
+
+    return bound(trim_all(F.coalesce(c, F.lit(""))), read)
 
 
 def decimal_comma(c: Column) -> Column:
@@ -110,6 +127,17 @@ def truncate_at_word(c: Column, most: int) -> Column:
     return F.when(F.char_length(c) <= most, c).otherwise(F.concat(cut, F.lit("...")))
 
 
+def embedding_input(template: str, parts: list[Column], most: int = 16_000) -> dict[str, Column]:
+    """The text that a model embeds, and what became of it: ``template`` with a ``%s`` for each part (null counts as empty), cut at a word."""
+    full = F.format_string(template, *[F.coalesce(p, F.lit("")) for p in parts])
+    cut = truncate_at_word(full, most)
+    return {"embedding_text": cut, "was_truncated": F.char_length(full) > most, "original_length": F.char_length(full), "embedding_length": F.char_length(cut)}
+
+
+#: The template of records (a fixed value).
+RECORD_TEMPLATE = "Рецепт: %s\n\nСодержание: %s"
+
+
 def plain_number(c: Column) -> Column:
     """A number as text without a needless fraction: 3, 51.2."""
     return F.when(c == F.floor(c), c.cast("bigint").cast("string")).otherwise(c.cast("string"))
@@ -129,7 +157,7 @@ def term_count(c: Column, term: str) -> Column:
 
 def word_list(c: Column) -> Column:
     """The text split at white space, as a script's ``split`` does it: leading and trailing space give empty words."""
-    return F.split(c, rf"{WS}+", -1)
+    return by_space(c, lambda ws: F.split(c, rf"{ws}++", -1))
 
 
 def first_nonempty(*cs: Column) -> Column:

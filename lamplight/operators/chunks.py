@@ -5,15 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.functions.text import WS, first_nonempty, trim_all, word_list
+from lamplight.functions.text import NEAR_WS, WS, by_space, first_nonempty, trim_all, word_list
+
+
+#: White space without line ends, and line ends, by the class of white space.
+BLANK = {WS: r"[ \t\x0B\f\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000\uFEFF]", NEAR_WS: r"[ \t\x0B\f\xA0]"}
+ENDS = {WS: r"[\n\r\u2028\u2029]", NEAR_WS: r"[\n\r]"}
 
 
 def clean_scan(c: Column, keep_paragraphs: bool = False) -> Column:
-    """Undo what scanning does to a text. As given, blank lines vanish with the space around lines; ``keep_paragraphs`` keeps one."""
-    t = F.regexp_replace(c, "  +", " ")
-    blank = WS.replace(r"\s", r" \t\x0B\f\r") if keep_paragraphs else WS
-    t = F.regexp_replace(t, rf"(?m)^{blank}+|{blank}+$", "")
-    t = F.regexp_replace(t, r"([а-яё])\n([а-яё])", "$1 $2")
+    """Undo what scanning does to a text. As given, blank lines vanish with the space around lines; ``keep_paragraphs`` keeps one.
+
+    A run of white space within the text is looked at once: it goes if its last line end follows another, else that line end stays.
+    """
+
+    def lines(ws: str) -> Column:
+        t, end, blank = trim_all(F.regexp_replace(c, "  +", " ")), ENDS[ws], BLANK[ws]
+        if keep_paragraphs:
+            wide = ws.replace(r"\s", r" \t\x0B\f\r").replace(r"\n", "")
+            return F.regexp_replace(t, rf"(?m)^{wide}++|(?={wide})(?<!{wide}){wide}++$", "")
+        t = F.regexp_replace(t, rf"(?={ws})(?<!{ws}){ws}*{end}{end}{blank}*+(?!{ws})", "")
+        return F.regexp_replace(t, rf"(?={ws})(?<!{ws}){ws}*({end}){blank}*+(?!{ws})", "$1")
+
+    t = F.regexp_replace(by_space(c, lines), r"([а-яё])\n([а-яё])", "$1 $2")
     return trim_all(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
@@ -28,7 +42,7 @@ def token_estimate(n_words: Column) -> Column:
 
 def chunked(docs: DataFrame, max_words: int, text_col: str = "text") -> DataFrame:
     """Chunks of at most ``max_words`` words joined by single spaces: chunk_index (from 1), total_chunks, text. One array
-    of words per document and slices of it: no shuffle."""
+    of words per document and slices of it: no shuffle. A null text has no chunks; ``quarantined`` keeps such rows."""
     ws = word_list(F.col(text_col))
     total = F.ceil(F.size("__w") / max_words).cast("int")
     out = docs.withColumn("__w", ws).withColumn("__n", total)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.functions.text import UNIT_FACTORS, WS, clean_name, collapse, decimal_comma, historical_number, plain_number, trim_all
+from lamplight.functions.text import UNIT_FACTORS, WS, bound, clean_name, collapse, decimal_comma, historical_number, plain_number, trim_all
 
 SCHEMA = "array<struct<name:string,amount:double,unit:string,modern_amount:double,modern_unit:string>>"
 
@@ -56,24 +56,35 @@ def with_keywords(text: Column, found: Column) -> Column:
     """Add the main ingredients that keywords tell and whose exact name is not there yet."""
     for name, unit, modern_unit, pattern in KEYWORDS:
         amount = historical_number(F.regexp_extract(text, pattern, 1))
-        new = F.array(item(F.lit(name), amount, unit, amount * UNIT_FACTORS[unit], modern_unit)).cast(SCHEMA)
-        add = text.rlike(pattern) & ~F.array_contains(F.transform(found, lambda i: F.lower(i["name"])), F.lit(name))
-        found = F.when(add, F.concat(found, new)).otherwise(found)
+        found = bound(found, _grown(text, pattern, name, bound(amount, _new(name, unit, modern_unit))))
     return found
 
 
+def _new(name: str, unit: str, modern_unit: str):
+    return lambda x: F.array(item(F.lit(name), x, unit, x * UNIT_FACTORS[unit], modern_unit)).cast(SCHEMA)
+
+
+def _grown(text: Column, pattern: str, name: str, new: Column):
+    there = lambda f: F.coalesce(F.exists(f, lambda i: F.lower(i["name"]) == name), F.lit(False))
+    return lambda f: F.when(text.rlike(pattern) & ~there(f), F.concat(f, new)).otherwise(f)
+
+
 def merged(items: Column) -> Column:
     """One item per lower-cased name, in order of first place; modern amounts of the first one's modern unit are summed, others dropped."""
     cleaned = F.transform(F.filter(items, lambda i: F.char_length(i["name"]) > 1), lambda i: i.withField("name", clean_name(i["name"])))
-    names = F.array_distinct(F.transform(cleaned, lambda i: F.lower(i["name"])))
+    keyed = F.transform(cleaned, lambda i: F.struct(F.lower(i["name"]).alias("k"), i.alias("i")))
 
-    def one(n: Column) -> Column:
-        mine = F.filter(cleaned, lambda i: F.lower(i["name"]) == n)
-        first = F.get(mine, F.lit(0))
-        sums = F.aggregate(F.filter(mine, lambda i: i["modern_unit"].eqNullSafe(first["modern_unit"])), F.lit(0.0), lambda a, i: a + i["modern_amount"])
-        return first.withField("modern_amount", sums)
+    def one(n: Column, every: Column) -> Column:
+        mine = F.filter(every, lambda x: x["k"] == n)
+        return bound(
+            F.struct(mine.alias("mine"), F.get(mine, F.lit(0))["i"].alias("first")),
+            lambda p: p["first"].withField("modern_amount", F.aggregate(
+                F.filter(p["mine"], lambda x: x["i"]["modern_unit"].eqNullSafe(p["first"]["modern_unit"])), F.lit(0.0), lambda a, x: a + x["i"]["modern_amount"]
+            )),
+        )
 
-    return F.transform(names, one).cast(SCHEMA)
+    # names are cleaned once, whatever the number of items that share them
+    return bound(keyed, lambda every: F.transform(F.array_distinct(F.transform(every, lambda x: x["k"])), lambda n: one(n, every))).cast(SCHEMA)
 
 
 def spirit_volume(items: Column, text: Column) -> Column:
@@ -100,14 +111,19 @@ def description(text: Column) -> Column:
     return F.when(text.rlike(step), collapse(trim_all(F.regexp_extract(text, step, 1)))).when(text.rlike(take), collapse(trim_all(F.regexp_extract(text, take, 1)))).otherwise(trim_all(text))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once, however many later ones are made of it: a generator, which the optimizer never copies."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def with_ingredients(records: DataFrame, strict: bool = True) -> DataFrame:
     """Records with ingredients, ingredients_per_liter, description and historical_measures; records without ingredients go.
 
     ``strict`` keeps the double count of a drink that both a jug and a keyword name.
     """
     text = F.col("content")
-    found = records.withColumn("__found", measured(text))
-    items = with_keywords(text, F.col("__found")) if strict else F.col("__found")
-    out = found.withColumn("ingredients", merged(items)).where(F.size("ingredients") > 0)
-    out = out.withColumn("base_volume", spirit_volume(F.col("ingredients"), text))
+    out = once(records, "__found", measured(text))
+    items = merged(with_keywords(text, F.col("__found")) if strict else F.col("__found"))
+    out = out.select("*", F.explode(F.filter(F.array(items), lambda i: F.size(i) > 0)).alias("ingredients"))
+    out = once(out, "base_volume", spirit_volume(F.col("ingredients"), text))
     return out.select(*records.columns, "ingredients", per_litre(F.col("ingredients"), F.col("base_volume")).alias("ingredients_per_liter"), description(text).alias("description"), measures(F.col("ingredients")).alias("historical_measures"))

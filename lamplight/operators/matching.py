@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lamplight.functions.text import first_nonempty, match_id, positional_similarity
 
-#: Bytes of ids that are broadcast at most; above it only candidates that share an anchor are compared.
+#: Bytes of ids that are broadcast at most; above it both sides are dealt out in a grid of blocks.
 BROADCAST_BYTES = 8 << 20
 SIMILAR = 0.8
 
@@ -38,9 +38,9 @@ def match_texts(records: DataFrame, texts: DataFrame, id_col: str = "id") -> Dat
         left = probe.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         pairs = left.join(ids.withColumn("__b", F.pmod(F.xxhash64("t_pos"), F.lit(n)).cast("int")), "__b")
     inside = F.when(F.contains("t_id", "__r") | F.contains("__r", "t_id"), F.least(F.char_length("t_id"), F.char_length("__r"))).otherwise(F.lit(0))
-    scored = pairs.select("__r", "t_pos", inside.alias("inside"), positional_similarity(F.col("t_id"), F.col("__r")).alias("similar")).where((F.col("inside") > 0) | (F.col("similar") > SIMILAR))
-    best = scored.groupBy("__r").agg(F.min(F.struct((-F.col("inside")).alias("a"), F.when(F.col("inside") > 0, 0.0).otherwise(-F.col("similar")).alias("b"), "t_pos")).alias("best")).select(F.col("__r").alias("__q"), F.col("best.t_pos").alias("t_pos"))
-    found = best.join(t.select("t_pos", "t_text"), "t_pos").drop("t_pos").withColumn("__hit", F.lit(True))
+    scored = pairs.select("__r", "t_pos", "t_id", inside.alias("inside"), positional_similarity(F.col("t_id"), F.col("__r")).alias("similar")).where((F.col("inside") > 0) | (F.col("similar") > SIMILAR))
+    best = scored.groupBy("__r").agg(F.min(F.struct((-F.col("inside")).alias("a"), F.when(F.col("inside") > 0, 0.0).otherwise(-F.col("similar")).alias("b"), "t_pos", "t_id")).alias("best")).select(F.col("__r").alias("__q"), F.col("best.t_id").alias("t_id"))
+    found = best.join(first, "t_id").drop("t_id").withColumn("__hit", F.lit(True))
     fuzzy = rest.join(found, F.col("__r") == F.col("__q"), "left").drop("__q")
     both = done.withColumn("__hit", F.lit(True)).unionByName(fuzzy)
     fallback = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("category", F.lit("")))

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from lamplight.plans import queries  # noqa: E402,F401
+from lamplight.plans import queries, rendered  # noqa: E402,F401

@@ -12,8 +12,18 @@ from lamplight.sources.readers import tables
 
 BODY = "Истолочь и настаивать две недели, потом перегнать на тихом огне и слить. Хранить в тёмном месте, плотно закупорив; через месяц напиток готов к столу и не мутнеет."
 SIZE = len(BODY)
-N, NAME = F.col("s_suppkey").cast("string"), F.col("s_name")
-EVEN = F.col("s_suppkey") % 2 == 0
+
+
+def key_text() -> Column:
+    return F.col("s_suppkey").cast("string")
+
+
+def supplier_name() -> Column:
+    return F.col("s_name")
+
+
+def is_even() -> Column:
+    return F.col("s_suppkey") % 2 == 0
 
 
 def books(spark: SparkSession, d: str, piece: Column) -> DataFrame:
@@ -23,7 +33,7 @@ def books(spark: SparkSession, d: str, piece: Column) -> DataFrame:
 
 
 def starred(closing: str) -> Column:
-    return F.concat(F.lit("**"), N, F.lit(". "), NAME, F.lit(closing), F.lit(BODY))
+    return F.concat(F.lit("**"), key_text(), F.lit(". "), supplier_name(), F.lit(closing), F.lit(BODY))
 
 
 @query(f"SELECT s_nationkey::BIGINT AS doc_id, s_suppkey::INT AS number, s_name AS name, {SIZE}::INT AS chars FROM supplier")
@@ -41,9 +51,9 @@ def starred_family(spark: SparkSession, d: str) -> DataFrame:
     CASE WHEN s_suppkey % 2 = 0 THEN 'paragraph_liqueur' ELSE 'liqueur_dot_pattern' END AS source_pattern FROM supplier""")
 def liqueur_family(spark: SparkSession, d: str) -> DataFrame:
     """Numbers in brackets, and numbers with a dot whose name tells a liqueur."""
-    even = F.concat(F.lit("**"), N, F.lit(") "), NAME, F.lit(".** Состав: "), F.lit(BODY))
-    odd = F.concat(F.lit("**"), N, F.lit(". Ликёр "), NAME, F.lit(".** Состав: "), F.lit(BODY))
-    return records.liqueur_records(books(spark, d, F.when(EVEN, even).otherwise(odd))).select("doc_id", "original_number", "name", F.char_length("content").alias("chars"), "source_pattern")
+    even = F.concat(F.lit("**"), key_text(), F.lit(") "), supplier_name(), F.lit(".** Состав: "), F.lit(BODY))
+    odd = F.concat(F.lit("**"), key_text(), F.lit(". Ликёр "), supplier_name(), F.lit(".** Состав: "), F.lit(BODY))
+    return records.liqueur_records(books(spark, d, F.when(is_even(), even).otherwise(odd))).select("doc_id", "original_number", "name", F.char_length("content").alias("chars"), "source_pattern")
 
 
 @query("""WITH s AS (SELECT *, s_suppkey % 2 = 0 AS even FROM supplier), n AS (SELECT *, greatest(coalesce(max(s_suppkey) FILTER (even) OVER (PARTITION BY s_nationkey), 0), 209) + 1
@@ -51,13 +61,13 @@ def liqueur_family(spark: SparkSession, d: str) -> DataFrame:
     SELECT s_nationkey::BIGINT AS doc_id, number, 'recipe_' || number AS id, CASE WHEN even THEN s_name ELSE 'Ликёр ' || s_name END AS name, CASE WHEN even THEN 'водка' ELSE 'ликёр' END AS category FROM k""")
 def numbered_book(spark: SparkSession, d: str) -> DataFrame:
     """Vodkas under their numbers, liqueurs numbered on behind the last of them or behind 209."""
-    odd = F.concat(F.lit("**"), N, F.lit(") "), NAME, F.lit(".** Состав: "), F.lit(BODY))
-    return records.vodka_book(books(spark, d, F.when(EVEN, starred(".**\n")).otherwise(odd))).select("doc_id", "number", "id", "name", "category")
+    odd = F.concat(F.lit("**"), key_text(), F.lit(") "), supplier_name(), F.lit(".** Состав: "), F.lit(BODY))
+    return records.vodka_book(books(spark, d, F.when(is_even(), starred(".**\n")).otherwise(odd))).select("doc_id", "number", "id", "name", "category")
 
 
 @query("SELECT s_nationkey::BIGINT AS doc_id, s_suppkey::INT AS number, s_name AS name, 'строка первая' || chr(10) || 'строка вторая' AS content, s_suppkey BETWEEN 1 AND 350 AS valid FROM supplier")
 def scanned_books(spark: SparkSession, d: str) -> DataFrame:
-    piece = F.concat(N, F.lit(". "), NAME, F.lit(".\n\n  строка первая \nстрока вторая"))
+    piece = F.concat(key_text(), F.lit(". "), supplier_name(), F.lit(".\n\n  строка первая \nстрока вторая"))
     return records.scanned_lines(books(spark, d, piece)).select("doc_id", "number", "name", "content", "valid")
 
 
@@ -65,31 +75,31 @@ def scanned_books(spark: SparkSession, d: str) -> DataFrame:
     {SIZE + 7}::INT AS chars, CASE WHEN s_suppkey % 2 = 0 THEN 'elixir_numbered' ELSE 'elixir_simple' END AS source_pattern FROM supplier""")
 def elixir_family(spark: SparkSession, d: str) -> DataFrame:
     """Numbered elixirs, and simple ones for paragraphs that hold no numbered one."""
-    head = F.when(EVEN, F.concat((F.col("s_suppkey") + 1).cast("string"), F.lit(". "), NAME)).otherwise(NAME)
-    piece = F.concat(F.lit("§ "), N, F.lit(".\n"), head, F.lit(".\n\nВозьми "), F.lit(BODY))
+    head = F.when(is_even(), F.concat((F.col("s_suppkey") + 1).cast("string"), F.lit(". "), supplier_name())).otherwise(supplier_name())
+    piece = F.concat(F.lit("§ "), key_text(), F.lit(".\n"), head, F.lit(".\n\nВозьми "), F.lit(BODY))
     return records.elixir_records(books(spark, d, piece)).select("doc_id", "original_paragraph", "original_recipe_number", "name", "category", F.char_length("content").alias("chars"), "source_pattern")
 
 
 @query(f"""SELECT s_nationkey::BIGINT AS doc_id, s_suppkey::INT AS original_paragraph, (s_suppkey + 1)::INT AS original_recipe_number, 'Вода ' || s_name AS name, 'Eau' AS french_name, {SIZE + 7}::INT AS chars,
     length('Вода ' || s_name) + {SIZE + 13}::INT AS full_chars FROM supplier""")
 def perfume_family(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.when(EVEN, F.lit("Вода ")).otherwise(F.lit("")), NAME)
-    piece = F.concat(F.lit("§ "), N, F.lit(".\n"), (F.col("s_suppkey") + 1).cast("string"), F.lit(". "), raw, F.lit(".\nEau.\n\nВозьми "), F.lit(BODY))
+    raw = F.concat(F.when(is_even(), F.lit("Вода ")).otherwise(F.lit("")), supplier_name())
+    piece = F.concat(F.lit("§ "), key_text(), F.lit(".\n"), (F.col("s_suppkey") + 1).cast("string"), F.lit(". "), raw, F.lit(".\nEau.\n\nВозьми "), F.lit(BODY))
     out = records.perfume_records(books(spark, d, piece))
     return out.select("doc_id", "original_paragraph", "original_recipe_number", "name", "french_name", F.char_length("content").alias("chars"), F.char_length("full_text").cast("long").alias("full_chars"))
 
 
 @query(f"SELECT s_nationkey::BIGINT AS doc_id, s_suppkey::INT AS original_paragraph, 'Масло ' || s_name AS name, {SIZE + 7}::INT AS chars FROM supplier")
 def oil_family(spark: SparkSession, d: str) -> DataFrame:
-    piece = F.concat(F.lit("§ "), N, F.lit(".\nМасло "), NAME, F.lit(".\n\nВозьми "), F.lit(BODY))
+    piece = F.concat(F.lit("§ "), key_text(), F.lit(".\nМасло "), supplier_name(), F.lit(".\n\nВозьми "), F.lit(BODY))
     return records.oil_records(books(spark, d, piece)).select("doc_id", "original_paragraph", "name", F.char_length("content").alias("chars"))
 
 
 @query(f"SELECT s_nationkey::BIGINT AS doc_id, s_suppkey::INT AS original_recipe_number, 'Ликёр ' || s_name AS name, {2 * SIZE + 8}::INT AS chars FROM supplier")
 def french_family(spark: SparkSession, d: str) -> DataFrame:
     """A section for each record; of its body the first line counts."""
-    name = F.concat(F.when(EVEN, F.lit("Вода ")).otherwise(F.lit("")), NAME)
-    piece = F.concat(F.lit("§ "), N, F.lit(".\n"), N, F.lit(". "), name, F.lit(".\nВозьми "), F.lit(f"{BODY} {BODY}"), F.lit("\nвторая строка"))
+    name = F.concat(F.when(is_even(), F.lit("Вода ")).otherwise(F.lit("")), supplier_name())
+    piece = F.concat(F.lit("§ "), key_text(), F.lit(".\n"), key_text(), F.lit(". "), name, F.lit(".\nВозьми "), F.lit(f"{BODY} {BODY}"), F.lit("\nвторая строка"))
     return records.french_records(books(spark, d, piece)).select("doc_id", "original_recipe_number", "name", F.char_length("content").alias("chars"))
 
 
@@ -166,7 +176,7 @@ def upsert_points(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT 'recipe_' || s_suppkey AS recipe_id, lower(s_name) AS name_lower, s_suppkey % 2 = 0 AS is_liqueur, s_suppkey % 3 = 0 AS is_vodka, CASE WHEN s_suppkey % 2 = 0 THEN length(s_name) ELSE 0 END::INT AS content_length, 'pattern' AS source_pattern, '' AS source_book FROM supplier""")
 def payload_variants(spark: SparkSession, d: str) -> DataFrame:
     s = tables(spark, d, "supplier")
-    name = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("Водка "), NAME)).otherwise(NAME)
-    rows = s.select(F.concat(F.lit("recipe_"), N).alias("id"), F.col("s_suppkey").alias("number"), name.alias("name"), F.when(EVEN, NAME).alias("content"), F.lit("").alias("full_text"), F.when(EVEN, "ликёр").alias("category"), F.lit("pattern").alias("source_pattern"))
+    name = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("Водка "), supplier_name())).otherwise(supplier_name())
+    rows = s.select(F.concat(F.lit("recipe_"), key_text()).alias("id"), F.col("s_suppkey").alias("number"), name.alias("name"), F.when(is_even(), supplier_name()).alias("content"), F.lit("").alias("full_text"), F.when(is_even(), "ликёр").alias("category"), F.lit("pattern").alias("source_pattern"))
     out = store.variant_payload(rows, "suppliers", "legacy")
     return out.select("recipe_id", F.regexp_replace("name_lower", "^водка ", "").alias("name_lower"), "is_liqueur", "is_vodka", "content_length", "source_pattern", "source_book")

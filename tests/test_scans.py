@@ -82,3 +82,13 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert "left out: too short: x" in told and "left out in all: 1" in told and "12 Водка анисовая" in told and "recipe_number" in told
     assert cli.main(["--file", str(tmp_path), "--out", str(tmp_path / "out")]) == 0
     assert "'success': 1" in capsys.readouterr().out
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) > 50 and e.oracle_sql()"], cwd=root, capture_output=True, text=True, check=False)
+    assert done.returncode == 0, done.stderr

@@ -13,12 +13,15 @@ not seen, gives 0 to 1.
 
 Counts come from all labelled training rows by distributed aggregates: over words, then pairs of words in the vocabulary,
 and character n-grams, each under a 64-bit number of its own. All n-grams that end alike but for their first and last characters
-meet in one task, which holds every count that their probabilities need. Only log ratios (of n-grams, contexts, words and
-pairs) are gathered: sorted tables that grow with the corpus, and in which what was not seen is not found.
+meet in one task, which holds every count that their probabilities need. Log ratios (of n-grams, contexts, words and
+pairs) are sorted tables that grow with the corpus, and in which what was not seen is not found. Up to ``HELD_RATIOS`` rows
+of them are sent to all tasks. Larger tables stay in Spark: the words of each distinct text are joined with them, and
+nothing of the model is gathered. Both ways give a text the same two figures.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -57,6 +60,8 @@ LONGEST = 48
 WORD = re.compile(r"\w{1,%d}" % LONGEST)
 #: Bits of the filter of labelled ids that is sent to all tasks: 8 MB at any size.
 FILTER_BITS = 1 << 26
+#: Rows of log ratios (12 bytes each, 96 MB) that the driver gathers and sends to all tasks, for words and n-grams and again for pairs.
+HELD_RATIOS = 1 << 23
 #: Pairs of words that a task holds before it hands them on.
 HELD_PAIRS = 1_000_000
 #: Counts of a word or an n-gram: ordinary and toxic rows of fold 0, and of fold 2.
@@ -450,7 +455,103 @@ def _pairs(shared):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Model, np.ndarray, np.ndarray]:
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their numbers, each at least once. z"""
+    seen: set[str] = set()
+
+    def out() -> pa.RecordBatch:
+        words = list(seen)
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(numbers(words)), pa.array(words, pa.string())], names=["w", "word"])
+
+    for batch in batches:
+        for part in slices(batch, 0, zstandard.frame_content_size):
+            for t in _texts(part, 0):
+                seen.update(WORD.findall(t.lower()))
+            if len(seen) > HELD_WORDS:
+                yield out()
+    yield out()
+
+
+def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """N-grams and contexts of words. w, word"""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 2_000):
+            part = batch.slice(k, 2_000)
+            owner, g, h, _, _ = grams(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(g), pa.array(h)], names=["w", "g", "h"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each word of a text: the number of the word, of the one before it (null at the start), of the pair. key, z"""
+    for batch in batches:
+        for part in slices(batch, 1, zstandard.frame_content_size):
+            lists = [WORD.findall(t.lower()) for t in _texts(part, 1)]
+            owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            w = numbers([x for one in lists for x in one])
+            if not len(w):
+                continue
+            start = np.concatenate([[True], owner[1:] != owner[:-1]])
+            before = np.concatenate([w[:1], w[:-1]])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(w), pa.array(before, mask=start), pa.array(pair_numbers(before, w), mask=start)], names=["key", "w", "before", "pair"])
+
+
+def _anew(column: str) -> Column:
+    """A key that is computed anew is shuffled anew, so that adaptive execution may split the rows of a frequent one."""
+    return F.shiftleft(column, 0).alias(column)
+
+
+def spread_features(texts: DataFrame, tables: DataFrame, pairs: DataFrame, value: str) -> DataFrame:
+    """(key, a, b): the figures of ``features`` for texts ``(key, z)`` with distinct keys, by joins; texts without words have no row.
+
+    ``tables`` has kind, key and log ratios in column ``value``, ``pairs`` has key and ``value``. A word gets its ratio once for
+    the whole corpus; then the rows of words are joined with words, with pairs and with the words before them.
+    """
+
+    def kind(k: int, name: str) -> DataFrame:
+        return tables.where((F.col("kind") == k) & F.col(value).isNotNull()).select(F.col("key").alias(name), F.col(value).cast("double").alias(f"of_{name}"))
+
+    types = written(texts.select("z").mapInArrow(_distinct, "w long, word string").groupBy("w").agg(F.min("word").alias("word")))
+    rated = types.select("w").join(kind(2, "w"), "w")
+    other = types.join(rated, "w", "left_anti").mapInArrow(_word_grams, "w long, g long, h long")
+    other = other.join(kind(1, "g"), "g", "left").join(kind(0, "h"), "h", "left").groupBy("w").agg(F.sum(F.coalesce("of_g", "of_h", F.lit(0.0))).alias("said"))
+    said = F.rint(F.greatest(F.least(F.col("said") * CHARACTERS_WEIGH, F.lit(CHARACTERS_SAY)), F.lit(-CHARACTERS_SAY)) * SCALE) / SCALE
+    say = written(rated.unionAll(other.select("w", said)).withColumnRenamed("of_w", "r"))
+    rows = texts.select("key", "z").mapInArrow(_placed, "key binary, w long, before long, pair long")
+    rows = rows.select("key", _anew("w"), "before", "pair").join(say, "w")
+    two = pairs.where(F.col(value).isNotNull()).select(F.col("key").alias("pair"), F.col(value).cast("double").alias("of_pair"))
+    rows = written(rows.select("key", "r", "before", _anew("pair")).join(two, "pair", "left").select("key", "r", "before", "of_pair"))
+    # only words after another that a pair is known of need the ratio of that one
+    alone = rows.where("of_pair is null").select("key", "r")
+    after = rows.where("of_pair is not null").select("key", "of_pair", _anew("before")).join(say.select(F.col("w").alias("before"), F.col("r").alias("first")), "before")
+    every = alone.unionAll(after.select("key", (F.col("of_pair") - F.col("first")).alias("r")))
+    told = F.aggregate(F.slice(F.sort_array(F.collect_list("r"), asc=False), 1, TELLING), F.lit(0.0), lambda x, y: x + y)
+    return every.groupBy("key").agg((told / F.least(F.count("*"), F.lit(TELLING))).alias("a"), (F.sum(F.greatest(F.col("r") - PLAIN, F.lit(0.0))) / F.count("*")).alias("b"))
+
+
+def _spread_pairs(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(g, FOUR) of pairs whose words both are in ``vocabulary`` (column w), by joins."""
+    kinds = [((F.col("part") == p) & (F.col("y") == y)).cast("long") for p, y in NUMBER]
+    placed = rows.select(F.to_binary(F.concat_ws(":", "part", "y", F.monotonically_increasing_id()), F.lit("utf-8")).alias("key"), "z").mapInArrow(_placed, "key binary, w long, before long, pair long")
+    once = placed.where("pair is not null").distinct().select("w", "before", "pair", F.split(F.col("key").cast("string"), ":").alias("k"))
+    once = once.select("w", "before", "pair", F.col("k")[0].cast("int").alias("part"), F.col("k")[1].cast("int").alias("y"))
+    counted = once.groupBy("pair", "w", "before").agg(*[F.sum(k).alias(c) for k, c in zip(kinds, FOUR, strict=True)])
+    both = counted.join(vocabulary, "w", "left_semi").join(vocabulary.withColumnRenamed("w", "before"), "before", "left_semi")
+    return both.groupBy(F.col("pair").alias("g")).agg(*[F.sum(c).alias(c) for c in FOUR])
+
+
+@dataclass
+class Spread:
+    """A model whose tables stay in Spark."""
+
+    tables: DataFrame  # kind, key, both, first
+    pairs: DataFrame  # kind, key, both, first
+
+    def features(self, texts: DataFrame, value: str = "both") -> DataFrame:
+        return spread_features(texts, self.tables, self.pairs, value)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Model | Spread, np.ndarray, np.ndarray]:
     """(model, calibration weights, their scales) from labelled rows whose fold is not 1.
 
     Null labels and null ids teach nothing; of repeated labels of an id the largest counts. Counts from folds 0 and 2
@@ -476,38 +577,70 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         rated.select("kind", "key", "both", "first", *[F.lit(None).cast("long").alias(c) for c in every])
         .unionAll(kept.select(F.lit(None).cast("byte"), "key", F.lit(None).cast("float"), F.lit(None).cast("float"), *every))
     )
-    tables = gathered(table.where("kind is not null").select("kind", "key", "both", "first").unionAll(expressions(table.where("kind is null").select("key", *every))))
+    tables = table.where("kind is not null").select("kind", "key", "both", "first").unionAll(expressions(table.where("kind is null").select("key", *every)))
+    small_enough = table.count() <= HELD_RATIOS
     # a pair that keeps a document after the discount has two words that do
-    vocabulary = spark.sparkContext.broadcast(tables[0][2][0])
-    counted = rows.select("part", "y", "z").mapInArrow(_pairs(vocabulary), f"g long, {four}").groupBy("g").agg(*sums)
-    pairs = gathered(expressions(written(counted.mapInArrow(_kept(lambda keys: keys.to_numpy()), KEPT))))
-    model, first = (Model(*grams, *contexts, *words, *two) for (contexts, grams, words), (_, _, two) in zip(tables, pairs, strict=True))
+    if small_enough:
+        held = gathered(tables)
+        vocabulary = spark.sparkContext.broadcast(held[0][2][0])
+        counted = rows.select("part", "y", "z").mapInArrow(_pairs(vocabulary), f"g long, {four}").groupBy("g").agg(*sums)
+    else:
+        counted = _spread_pairs(rows, tables.where("kind = 2 and both is not null").select(F.col("key").alias("w")))
+    two = written(counted.mapInArrow(_kept(lambda keys: keys.to_numpy()), KEPT))
+    pairs = expressions(two)
+    small_enough = small_enough and two.count() <= HELD_RATIOS
     # a bounded sample of fold 2 in the order of a hash, taken by a threshold on it
     sample = rows.where("part = 2")
     total = sample.count()
     if total > CALIBRATION_ROWS:
         sample = sample.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * CALIBRATION_ROWS * 0.95 / total))
-    shared = spark.sparkContext.broadcast(first)
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        cache = _cache(model)
-        for batch in batches:
-            for part in slices(batch, 1, zstandard.frame_content_size):
-                x = features(_texts(part, 1), model, cache)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["y", "a", "b"])
-
-    fit = sample.select("y", "z").mapInArrow(rate, "y int, a double, b double").toArrow().to_pydict()
+    if small_enough:
+        model, first = (Model(*grams, *contexts, *words, *both) for (contexts, grams, words), (_, _, both) in zip(held, gathered(pairs), strict=True))
+        shared = spark.sparkContext.broadcast(first)
+
+        def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = shared.value
+            cache = _cache(model)
+            for batch in batches:
+                for part in slices(batch, 1, zstandard.frame_content_size):
+                    x = features(_texts(part, 1), model, cache)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["y", "a", "b"])
+
+        fit = sample.select("y", "z").mapInArrow(rate, "y int, a double, b double")
+    else:
+        model = Spread(tables, pairs)
+        sample = written(sample.select("y", "z", F.unhex(F.sha2("z", 256)).alias("key")))
+        fit = sample.select("y", "key").join(model.features(sample.dropDuplicates(["key"]), "first"), "key", "left")
+        fit = fit.select("y", F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("b", F.lit(0.0)).alias("b"))
+    fit = fit.toArrow().to_pydict()
     x = np.array([fit[k] for k in "ab"], float).T.reshape(-1, 2)
     y = np.array(fit["y"], float)
     order = np.lexsort([*x.T, y])  # sums in one order, whatever order rows came in
     return model, *logistic(x[order], y[order])
 
 
+def _press_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed under the digests of their own. text"""
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for part in slices(batch, 0):
+            texts = [t.encode("utf-8", "surrogatepass") for t in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(map(press.compress, texts), pa.binary())], names=["key", "z"])
+
+
 def _rated(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, threshold: float, carry: list[str]) -> DataFrame:
     """doc_id, held_out, score, predicted and c0, c1, ... for the carried columns. A carried text is sent to Python once."""
     own = carry.index(text_col) if text_col in carry and docs.schema[text_col].dataType.simpleString() == "string" else None
     model, weights, scale = train(docs, labels, id_col, text_col, label_col)
+    if isinstance(model, Spread):
+        text = F.col(text_col).cast("string")
+        texts = written(docs.select(text.alias("text")).where("text <> ''").mapInArrow(_press_all, "key binary, z binary").dropDuplicates(["key"]))
+        known = model.features(texts)
+        z = (F.coalesce("a", F.lit(0.0)) / F.lit(float(scale[0]))) * F.lit(float(weights[0])) + (F.coalesce("b", F.lit(0.0)) / F.lit(float(scale[1]))) * F.lit(float(weights[1])) + F.lit(float(weights[2]))
+        score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+        rows = docs.select(F.col(id_col).alias("doc_id"), (fold(F.col(id_col)) == 1).alias("held_out"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])
+        rows = rows.join(known, "key", "left").select("doc_id", "held_out", score.alias("score"), *[f"c{k}" for k in range(len(carry))])
+        return rows.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[f"c{k}" for k in range(len(carry))])
     shared = docs.sparkSession.sparkContext.broadcast((model, weights, scale))
     names = ["doc_id", "held_out", "score", "predicted", *(f"c{k}" for k in range(len(carry)))]
 

@@ -168,3 +168,23 @@ def test_features_equal_plain_ones(spark, corpus):
         top = sorted(r, reverse=True)[:3]
         want = (sum(top) / len(top), sum(max(x - 1, 0) for x in r) / len(r)) if r else (0, 0)
         assert np.allclose(g, want, atol=1e-4)
+
+
+def test_tables_that_stay_in_spark(spark, corpus, monkeypatch):
+    """Joins give every text the score that tables in the tasks give it: repeated, empty, null and wordless texts too."""
+    docs, labels = corpus
+    odd = documents(spark, ["", None, "...", "You STUPID moron", "zzz qqq", "you", "x" * 5000] * 2).withColumn("doc_id", F.col("doc_id") + 10_000)
+    docs = docs.unionByName(odd)
+    want = {r.doc_id: r for r in tx.toxicity(docs, labels).collect()}
+    small = {r.doc_id for r in tx.drop_toxic(docs, labels).collect()}
+    sizes = (0, tx.train(docs, labels)[0].pairs.size + 8)
+    for most in sizes:  # no table is held, or only the one of pairs would be
+        monkeypatch.setattr(tx, "HELD_RATIOS", most)
+        assert isinstance(tx.train(docs, labels)[0], tx.Spread)
+        got = tx.toxicity(docs, labels).collect()
+        assert len(got) == len(want)
+        for r in got:
+            w = want[r.doc_id]
+            assert abs(r.score - w.score) < 1e-6 and (r.held_out, r.predicted) == (w.held_out, w.predicted)
+        kept = tx.drop_toxic(docs, labels)
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == small

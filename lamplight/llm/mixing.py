@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lamplight.llm.common import cut
+from lamplight.llm.common import cut, written
 
 SEED = "mix-1"
 MAX_REPEAT = 1.5
@@ -70,12 +70,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     string. An empty table gives no rows.
     """
     count = words(F.col(text_col)) if tokens is None else tokens
-    hashed = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(count.cast("long"), F.lit(0)).alias("tokens"), hashed.alias("__order"),
-        *[F.col(c).alias(f"__carry_{k}") for k, c in enumerate(carry or [])],
-    )
-    narrow = rows.select("doc_id", "source", "tokens", "__order")
+    names = {"doc_id": F.col(id_col), "source": F.col(source_col).cast("string"), "tokens": F.coalesce(count.cast("long"), F.lit(0))}
+    rows = docs.select(*[c.alias(k) for k, c in names.items()], *[F.col(c).alias(f"__carry_{k}") for k, c in enumerate(carry or [])])
+    # texts are cut into words once for all that follows; only rows that carry texts on read them again
+    narrow = written(rows.select(*names))
+    if not carry:
+        rows = narrow
+    hashed = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    rows, narrow = rows.withColumn("__order", hashed), narrow.withColumn("__order", hashed)
     sources = cut(narrow.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")))
     size = sources.agg(F.count("*"), F.sum("docs"), F.sum("tokens"), F.min(F.when(F.col("tokens") > 0, F.col("tokens"))), F.max("tokens")).first()
     blocks = max(1, -(-(size[1] or 0) // BLOCK_DOCS))

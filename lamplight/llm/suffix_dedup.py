@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -31,11 +32,15 @@ from lamplight.llm.common import groups_of, integral, over_numbers, written
 LENGTH = 50
 #: Bytes of a trigger; longer ones meet less by chance, shorter ones are fewer.
 GRAM = 20
-#: Bytes of text parsed together, dictionary phrases sorted together, occurrences settled together, bytes of a hash that are dealt out.
+#: Bytes of text parsed together and hashed together, dictionary phrases sorted together, occurrences settled together, bytes of a hash that are dealt out.
 PARSED = 1 << 20
+WINDOW = 1 << 17
 SORTED = 20_000
 SETTLED = 400_000
 HASHED = 6
+#: Documents whose phrases are cut out together, and phrases whose strings are.
+FETCHED = 250
+DIGESTED = 2_000
 #: One document in so many is looked at for hot triggers, and how often one must occur there.
 SAMPLED = 64
 SEEN = 50
@@ -62,7 +67,25 @@ def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
 
 
 def triggers(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions of triggers, their hashes, hashes of their phrases) in texts laid end to end."""
+    """(positions of triggers, their hashes, hashes of their phrases) in texts laid end to end.
+
+    Whether a place is a trigger, and its phrase, hang on the bytes of one phrase around it, so windows that overlap by as much
+    see what the whole would show; memory does not grow with a text's length.
+    """
+    n = len(buffer)
+    parts = []
+    for a in range(0, max(n, 1), WINDOW):
+        low, high = max(a - BEFORE, 0), min(a + WINDOW + LENGTH, n)
+        some = slice(np.searchsorted(starts + sizes, low, side="right"), np.searchsorted(starts, high))
+        begin = np.maximum(starts[some], low)
+        at, gram, phrase = _triggers(buffer[low:high], begin - low, np.minimum(starts[some] + sizes[some], high) - begin)
+        own = (at >= a - low) & (at < a - low + WINDOW)
+        parts.append((at[own] + low, gram[own], phrase[own]))
+    at, gram, phrase = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return at, gram, phrase
+
+
+def _triggers(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     n = len(buffer)
     if n < LENGTH:
@@ -105,17 +128,15 @@ def triggers(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple
 
 
 def _pieces(column, most: int):
-    """(first row, rows) of runs of rows with at most ``most`` bytes together, or one row."""
-    texts = column.to_pylist()
+    """(first row, texts) of runs of rows with at most ``most`` bytes together, or one row; only one run's texts are held."""
     start = total = 0
-    for i, t in enumerate(texts):
-        size = len(t or b"")
+    for i, size in enumerate(pc.binary_length(column).fill_null(0).to_pylist()):
         if i > start and total + size > most:
-            yield start, texts[start:i]
+            yield start, column.slice(start, i - start).to_pylist()
             start, total = i, 0
         total += size
-    if len(texts) > start:
-        yield start, texts[start:]
+    if len(column) > start:
+        yield start, column.slice(start).to_pylist()
 
 
 def mark(text: bytes | None) -> int:
@@ -293,9 +314,16 @@ def _settle(buckets: int, hot: np.ndarray):
     return run
 
 
+def _rows_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches of a bounded number of rows, as a row here becomes many Python objects."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, most):
+            yield batch.slice(k, most)
+
+
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # id, mark, text, asked: places and grams of one document
-    for batch in batches:
+    for batch in _rows_of(batches, FETCHED):
         rows: list[tuple] = []
         for i, m, text, asked in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             text = zstandard.ZstdDecompressor().decompress(text)
@@ -391,7 +419,7 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The strings around triggers that have too many different phrases for one task, each under a digest of its own."""
     # gram, id, mark, at, start, phrase
-    for batch in batches:
+    for batch in _rows_of(batches, DIGESTED):
         rows: list[tuple] = []
         for gram, i, m, t, s, p in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
             rows += [(xxhash.xxh3_128_digest(p[k : k + LENGTH], seed=gram & 0xFFFFFFFF), i, m, s + k) for k in range(max(0, t - BEFORE - s), min(t - s, len(p) - LENGTH) + 1)]

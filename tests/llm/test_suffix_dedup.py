@@ -115,3 +115,15 @@ def test_orders_tell_the_bytes_that_neighbours_share():
     distinct = sorted(set(some))
     assert [distinct[k] for k in rank] == some
     assert shared[1:].tolist() == [len(__import__("os").path.commonprefix([a, b])) for a, b in zip(distinct, distinct[1:], strict=False)]
+
+
+@pytest.mark.parametrize("window", [1, 37, 1000])
+def test_windows_show_what_the_whole_shows(monkeypatch, window):
+    rng = np.random.default_rng(window)
+    for most, letters in ((5, 2), (60, 4), (300, 2), (900, 250)):
+        sizes = rng.integers(0, most, 12)
+        text = rng.integers(0, letters, int(sizes.sum())).astype(np.uint8)
+        want = sd._triggers(text, np.cumsum(sizes) - sizes, sizes)
+        monkeypatch.setattr(sd, "WINDOW", window)
+        got = sd.triggers(text, np.cumsum(sizes) - sizes, sizes)
+        assert all(a.tolist() == b.tolist() for a, b in zip(want, got, strict=True))

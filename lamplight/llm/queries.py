@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lamplight.llm.common import table
 from lamplight.llm.exact_dedup import exact_groups
@@ -17,6 +18,7 @@ from lamplight.llm.suffix_dedup import remove_repeats
 from lamplight.llm.token_counts import token_counts
 from lamplight.llm.toxicity import toxicity
 from lamplight.llm.url_rules import judge_urls
+from lamplight.llm.word_transducer import decode_bpe, digests, encode_bpe
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +61,14 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, ids, decoded = digests(F.col("ids"), F.col("decoded"))
+    return decode_bpe(encode_bpe(table(spark, sf_dir, "documents"))).select("doc_id", n.alias("n_tokens"), ids.alias("ids_sha256"), decoded.alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_toxicity, op3_suffix_dedup, op4_embedding_links, op5_source_mix, op6_html_text, op7_url_rules, op8_exact_dedup, op9_pieces, op10_near_dedup)
+    for f in (op1_token_counts, op2_toxicity, op3_suffix_dedup, op4_embedding_links, op5_source_mix, op6_html_text, op7_url_rules, op8_exact_dedup, op9_pieces, op10_near_dedup, op12_bpe_codec)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -71,6 +71,23 @@ def over_numbers(run, df: DataFrame, id_col: str, others: list[str], back: list[
     return out.select(*names)
 
 
+def dense_ids(df: DataFrame, order: list[Column], name: str, first: int = 0) -> DataFrame:
+    """Adds the place of each row in an order, from ``first`` on without gaps, and cuts the lineage.
+
+    Rows are ordered in ranges; only the sizes of the ranges, a few at most per partition, are gathered.
+    """
+    spark = df.sparkSession
+    at = written(df.repartitionByRange(shuffle_parts(spark), *order).sortWithinPartitions(*order).withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
+    # the upper bits of the increasing id are the partition again
+    at = at.withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = sorted((r[0], r[1]) for r in at.groupBy("__range").count().collect())
+    before, n = {}, first
+    for k, size in sizes:
+        before[k], n = n, n + size
+    starts = spark.createDataFrame(list(before.items()), "__range int, __before long")
+    return at.join(F.broadcast(starts), "__range").withColumn(name, F.col("__before") + F.col("__at")).drop("__range", "__at", "__before")
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,6 +13,7 @@ from lamplight.llm.html_text import html_text
 from lamplight.llm.lattice import link_embeddings
 from lamplight.llm.mixing import mix
 from lamplight.llm.near_dedup import near_groups
+from lamplight.llm.phrases import collocations
 from lamplight.llm.piece_fst import encode_pieces
 from lamplight.llm.suffix_dedup import remove_repeats
 from lamplight.llm.token_counts import token_counts
@@ -61,6 +62,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, ids, decoded = digests(F.col("ids"), F.col("decoded"))
     return decode_bpe(encode_bpe(table(spark, sf_dir, "documents"))).select("doc_id", n.alias("n_tokens"), ids.alias("ids_sha256"), decoded.alias("decoded_sha256"))
@@ -68,7 +73,7 @@ def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_toxicity, op3_suffix_dedup, op4_embedding_links, op5_source_mix, op6_html_text, op7_url_rules, op8_exact_dedup, op9_pieces, op10_near_dedup, op12_bpe_codec)
+    for f in (op1_token_counts, op2_toxicity, op3_suffix_dedup, op4_embedding_links, op5_source_mix, op6_html_text, op7_url_rules, op8_exact_dedup, op9_pieces, op10_near_dedup, op11_collocations, op12_bpe_codec)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -130,4 +135,20 @@ ORACLE_SQL: dict[str, str] = {
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d""",
+    "op11_collocations": r"""
+        WITH p AS (SELECT doc_id, r, coalesce(lang, 'und') AS lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece, generate_subscripts(string_split_regex(t, '[.,;:!?\x0A-\x0D]'), 1) AS k
+              FROM (SELECT doc_id, row_number() OVER () AS r, lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
+        w AS (SELECT lang, [x FOR x IN string_split_regex(piece, '[ \t]+') IF x <> ''] AS w FROM p),
+        t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, w[i:i + k - 1] AS g, k FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) v(k) WHERE len(w) >= k)),
+        f AS MATERIALIZED (SELECT lang, g, k, count(*) AS f FROM g GROUP BY lang, g, k HAVING count(*) >= 10),
+        s AS (SELECT *, g[1:cut] AS lg, g[cut + 1:k] AS rg FROM f, (VALUES (1), (2)) v(cut) WHERE cut < k),
+        c AS (SELECT s.lang, s.g, s.k AS size, s.f AS a, cut, l.f AS l, r.f AS r, ((1000000::HUGEINT * s.f * s.f) // (l.f::HUGEINT * r.f))::BIGINT AS score
+              FROM s JOIN f l ON l.lang = s.lang AND l.g = s.lg JOIN f r ON r.lang = s.lang AND r.g = s.rg),
+        b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+        d AS (SELECT lang, g[1:2] AS g, max(f) AS f FROM (SELECT lang, g, f FROM f WHERE k = 3 UNION ALL SELECT lang, g[2:3], f FROM f WHERE k = 3) GROUP BY ALL),
+        k AS (SELECT b.* FROM b LEFT JOIN d ON d.lang = b.lang AND d.g = b.g WHERE size = 3 OR d.f IS NULL OR 100 * d.f < 50 * a),
+        o AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM k),
+        z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+        SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score FROM z JOIN t USING (lang) WHERE rank <= 2000""",
 }

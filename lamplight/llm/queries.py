@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamplight.llm.common import table
+from lamplight.llm.divergence import source_divergence
 from lamplight.llm.exact_dedup import exact_groups
 from lamplight.llm.html_text import html_text
 from lamplight.llm.lattice import link_embeddings
@@ -71,9 +72,13 @@ def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_bpe(encode_bpe(table(spark, sf_dir, "documents"))).select("doc_id", n.alias("n_tokens"), ids.alias("ids_sha256"), decoded.alias("decoded_sha256"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_toxicity, op3_suffix_dedup, op4_embedding_links, op5_source_mix, op6_html_text, op7_url_rules, op8_exact_dedup, op9_pieces, op10_near_dedup, op11_collocations, op12_bpe_codec)
+    for f in (op1_token_counts, op2_toxicity, op3_suffix_dedup, op4_embedding_links, op5_source_mix, op6_html_text, op7_url_rules, op8_exact_dedup, op9_pieces, op10_near_dedup, op11_collocations, op12_bpe_codec, op13_source_divergence)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -151,4 +156,20 @@ ORACLE_SQL: dict[str, str] = {
         o AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM k),
         z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
         SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score FROM z JOIN t USING (lang) WHERE rank <= 2000""",
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+        o AS (SELECT lang, source, r, term, count(*) AS n FROM (SELECT lang, source, r, unnest(w) AS term FROM d) GROUP BY ALL),
+        k AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM o GROUP BY lang, term HAVING count(*) >= 10),
+        l AS (SELECT lang, count(*)::HUGEINT AS v, sum(n) AS total FROM k GROUP BY lang),
+        s AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT o.lang, o.source, o.term, sum(o.n)::HUGEINT AS n FROM o JOIN k USING (lang, term) GROUP BY ALL),
+        t AS (SELECT s.lang, s.source, coalesce(sum(c.n), 0)::HUGEINT AS total FROM s LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        g AS (SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (t.total + 2 * l.v) AS p, 1 + (1000000000 * (k.n + 2)) // (l.total + 2 * l.v) AS q
+              FROM t JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source
+                     LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM g WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM x QUALIFY part = 'pair' OR rank <= 10""",
 }

@@ -28,10 +28,15 @@ from lamplight.llm.token_counts import SPECIAL, TOKENIZER, frequent, library, pa
 #: Words in the transducer, and the UTF-8 bytes of the longest: its file stays under 16 MB.
 WORDS = 1 << 16
 LONGEST_WORD = 64
-#: Merged words that a Python worker keeps, and the bytes of the longest of them.
-KEPT, LONGEST_KEPT = 100_000, 80
-#: From so many symbols on a word is merged through a heap.
+#: From so many bytes on a word is merged on its own through a heap, shorter ones all at once.
 HEAPED = 48
+NEVER = 1 << 30
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one range after the other."""
+    stop = np.cumsum(sizes)
+    return np.repeat(starts - (stop - sizes), sizes) + np.arange(int(stop[-1]) if len(stop) else 0)
 
 
 class Merges:
@@ -43,35 +48,87 @@ class Merges:
         model, shown = whole_file["model"], shown_bytes()
         ids, end = model["vocab"], model["end_of_word_suffix"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.inside = [ids[chr(shown[b])] for b in range(256)]
-        self.last = [ids[chr(shown[b]) + end] for b in range(256)]
+        self.inside = np.array([ids[chr(shown[b])] for b in range(256)], np.int64)
+        self.last = np.array([ids[chr(shown[b]) + end] for b in range(256)], np.int64)
         self.rules = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.specials = {t["content"]: t["id"] for t in whole_file["added_tokens"]}
         self.tokens = [""] * (max([*ids.values(), *self.specials.values()]) + 1)
         for token, k in [*ids.items(), *self.specials.items()]:
             self.tokens[k] = token
-
-    def encode(self, word: bytes) -> tuple[int, ...]:
-        """Ids of one word: the adjacent pair of least rank, of those the leftmost, is merged until none has a rule."""
-        s = [self.inside[b] for b in word[:-1]]
-        s.append(self.last[word[-1]])
-        if len(s) >= HEAPED:
-            return self._heaped(s)
-        rules = self.rules
-        found = [rules.get(p) for p in zip(s, s[1:])]
-        while True:
-            best = min((r for r in found if r), default=None)
-            if best is None:
-                return tuple(s)
-            i = found.index(best)
-            s[i : i + 2] = [best[1]]
-            del found[i]
-            if i < len(found):
-                found[i] = rules.get((s[i], s[i + 1]))
-            if i:
-                found[i - 1] = rules.get((s[i - 1], s[i]))
-
-    def _heaped(self, s: list[int]) -> tuple[int, ...]:
+        # the rules once more, in the order of their pairs: (left id, right id) to rank, and rank to the merged id
+        pair = np.array([a << 32 | b for a, b in self.rules], np.int64)
+        order = np.argsort(pair)
+        self.pair, self.rank = pair[order], np.array([r for r, _ in self.rules.values()], np.int64)[order]
+        self.merged = np.zeros(len(pairs) + 1, np.int64)
+        self.merged[self.rank] = np.array([k for _, k in self.rules.values()], np.int64)[order]
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, NEVER for those without a rule."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, self.rank[at], NEVER)
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, ids of all words one after the other).
+
+        In every round each word merges its adjacent pair of least rank, of those the leftmost, until none has a rule.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        text = np.frombuffer(b"".join(words), np.uint8)
+        ids = self.inside[text]
+        ids[np.cumsum(sizes) - 1] = self.last[text[np.cumsum(sizes) - 1]]
+        long = np.flatnonzero(sizes >= HEAPED)
+        if len(long):
+            at = np.cumsum(sizes) - sizes
+            apart = {k: self._heaped(ids[at[k] : at[k] + sizes[k]].tolist()) for k in long.tolist()}
+            short = np.flatnonzero(sizes < HEAPED)
+            n, rest = self._rounds(ids[ranges(at[short], sizes[short])], sizes[short])
+            every = np.zeros(len(words), np.int64)
+            every[short] = n
+            for k, got in apart.items():
+                every[k] = len(got)
+            out, to = np.zeros(int(every.sum()), np.int64), np.cumsum(every) - every
+            out[ranges(to[short], n)] = rest
+            for k, got in apart.items():
+                out[to[k] : to[k] + len(got)] = got
+            return every, out
+        return self._rounds(ids, sizes)
+
+    def _rounds(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        rank = np.full(len(ids), NEVER)
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        rank[inner] = self.ranks(ids[inner], ids[inner + 1])
+        while len(ids):
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(ids)), starts)
+            some = best >> 32 < NEVER
+            # words without a rule are done and leave
+            n = np.diff(np.append(starts, len(ids)))
+            stays = np.repeat(some, n)
+            done.append((word[~stays], ids[~stays]))
+            at = best[some] & 0xFFFFFFFF
+            ids[at] = self.merged[rank[at]]
+            rank[at] = rank[at + 1]
+            stays[at + 1] = False
+            # places after the merged symbols have left
+            now = np.cumsum(stays) - 1
+            at = now[at]
+            ids, word, rank = ids[stays], word[stays], rank[stays]
+            marked = np.zeros(len(ids) + 1, bool)
+            marked[at] = marked[at - 1] = True  # a first symbol marks the spare last place
+            again = np.flatnonzero(marked[: max(len(ids) - 1, 0)])
+            inside = word[again] == word[again + 1]
+            rank[again[~inside]] = NEVER
+            again = again[inside]
+            rank[again] = self.ranks(ids[again], ids[again + 1])
+            if len(ids):
+                rank[-1] = NEVER
+        which, out = (np.concatenate(x) for x in zip(*done)) if done else (np.empty(0, np.int64), ids)
+        return np.bincount(which, minlength=len(sizes)), out[np.argsort(which, kind="stable")]
+
+    def _heaped(self, s: list[int]) -> list[int]:
         rules, n = self.rules, len(s)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         heap = [(r[0], i, s[i], s[i + 1], r[1]) for i in range(n - 1) if (r := rules.get((s[i], s[i + 1])))]
@@ -89,7 +146,7 @@ class Merges:
                     heapq.heappush(heap, (r[0], i, new, s[k], r[1]))
             if (h := before[i]) >= 0 and (r := rules.get((s[h], new))):
                 heapq.heappush(heap, (r[0], h, s[h], new, r[1]))
-        return tuple(x for x in s if x >= 0)
+        return [x for x in s if x >= 0]
 
 
 @lru_cache
@@ -161,7 +218,7 @@ class Lexicon:
     """A compiled transducer, mapped from its file."""
 
     def __init__(self, path: str):
-        mapped = np.memmap(path, np.uint8, "r")
+        mapped = np.asarray(np.memmap(path, np.uint8, "r"))
         head = mapped[:112].view(np.int64).reshape(7, 2)
         parts, at = [], 112
         for n, size in head.tolist():
@@ -170,48 +227,42 @@ class Lexicon:
         (self.start, self.first), self.keys, self.to, self.out, self.ends, self.pool_at, self.pool = parts[0].tolist(), *parts[1:]
         self.states = len(self.ends)
 
-    def sequence(self, k: int) -> tuple[int, ...]:
-        return tuple(self.pool[self.pool_at[k] : self.pool_at[k + 1]].tolist())
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether the transducer holds each word, its number of ids, ids of all words one after the other).
 
-    def encode(self, words: list[bytes]) -> list[tuple[int, ...] | None]:
-        """Ids of words, None for those that the transducer does not hold; all words take a step at a time."""
+        All words take a step at a time; what their arcs write is put together at the end.
+        """
         n = len(words)
-        if not n or not len(self.keys):
-            return [None] * n
         sizes = np.fromiter(map(len, words), np.int64, n)
         text = np.frombuffer(b"".join(words), np.uint8)
-        at = np.cumsum(sizes) - sizes
+        begin = np.cumsum(sizes) - sizes
         state, live = np.full(n, self.start, np.int64), np.flatnonzero(sizes <= LONGEST_WORD)
-        written: list[tuple[np.ndarray, np.ndarray]] = []
-        done: list[np.ndarray] = []
-        step = 0
-        while len(live):
+        last = np.full(n, -1, np.int64)
+        written = [(live, np.full(len(live), self.first, np.int64))]
+        for step in range(LONGEST_WORD + 1):
             over = sizes[live] == step
-            done.append(live[over])
+            last[live[over]] = self.ends[state[live[over]]]
             live = live[~over]
-            key = state[live] << 8 | text[at[live] + step]
+            if not len(live) or not len(self.keys):
+                break
+            key = state[live] << 8 | text[begin[live] + step]
             arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             hit = self.keys[arc] == key
             live, arc = live[hit], arc[hit]
             state[live] = self.to[arc]
-            out = self.out[arc]
-            some = out > 0
-            written.append((live[some], out[some]))
-            step += 1
-        ended = np.concatenate(done) if done else np.empty(0, np.int64)
-        last = self.ends[state[ended]]
-        ended, last = ended[last >= 0], last[last >= 0]
-        written.append((ended[last > 0], last[last > 0]))
-        result: list[tuple[int, ...] | None] = [None] * n
-        first = self.sequence(self.first)
-        for i in ended.tolist():
-            result[i] = first
+            some = self.out[arc] > 0
+            written.append((live[some], self.out[arc[some]].astype(np.int64)))
+        held = last >= 0
+        ended = np.flatnonzero(last > 0)
+        written.append((ended, last[ended]))
         which, what = (np.concatenate(x) for x in zip(*written))
-        parts = {k: self.sequence(k) for k in set(what.tolist())}
-        for i, k in zip(which.tolist(), what.tolist()):
-            if result[i] is not None:
-                result[i] += parts[k]
-        return result
+        keep = held[which]
+        which, what = which[keep], what[keep]
+        order = np.argsort(which, kind="stable")
+        which, what = which[order], what[order]
+        lengths = (self.pool_at[what + 1] - self.pool_at[what]).astype(np.int64)
+        count = np.bincount(which, lengths, minlength=n).astype(np.int64)
+        return held, count, self.pool[ranges(self.pool_at[what].astype(np.int64), lengths)]
 
 
 @lru_cache(maxsize=4)
@@ -219,24 +270,20 @@ def _lexicon(name: str) -> Lexicon:
     return Lexicon(SparkFiles.get(name))
 
 
-_merged: dict[str, dict[bytes, tuple[int, ...]]] = {}
-
-
-def encode_words(path: str, lexicon: Lexicon, words: list[bytes]) -> list[tuple[int, ...]]:
-    """Ids of words by the transducer, else by the merge rules; a worker keeps some of the words that it merged."""
-    rules, kept = merges(path), _merged.setdefault(path, {})
-    if len(kept) > KEPT:
-        kept.clear()
-    found = lexicon.encode(words)
-    for i, ids in enumerate(found):
-        if ids is None:
-            ids = kept.get(words[i])
-            if ids is None:
-                ids = rules.encode(words[i])
-                if len(words[i]) <= LONGEST_KEPT:
-                    kept[words[i]] = ids
-            found[i] = ids
-    return found
+def encode_words(path: str, lexicon: Lexicon, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of ids of each word, ids of all words one after the other): by the transducer, else by the merge rules."""
+    held, n, ids = lexicon.encode(words)
+    missed = np.flatnonzero(~held)
+    if not len(missed):
+        return n, ids
+    more, others = merges(path).encode([words[k] for k in missed.tolist()])
+    every = n.copy()
+    every[missed] = more
+    at = np.cumsum(every) - every
+    out = np.zeros(int(every.sum()), np.int64)
+    out[ranges(at[held], n[held])] = ids
+    out[ranges(at[missed], more)] = others
+    return every, out
 
 
 @lru_cache
@@ -245,13 +292,13 @@ def _byte_of() -> dict[int, int]:
 
 
 def split_text(path: str, text: str) -> list[str | bytes | int]:
-    """The words of a text, and the ids of special strings in it, in order.
+    """Stretches of a text between white space, or its words as bytes and the ids of special strings in it, in order.
 
     A text with a character from U+0300 on is split by the library's normaliser and pre-tokeniser, as Python's rules differ
-    there; its words come as bytes.
+    there; its words come as bytes. Words of other texts never cross white space, so its stretches are split when they are new.
     """
     if not whole(text):
-        return patterns()[1].findall(text.lower())
+        return text.lower().split()
     lib, byte_of, specials = library(path), _byte_of(), merges(path).specials
     out: list[str | bytes | int] = []
     at = 0
@@ -265,8 +312,33 @@ def split_text(path: str, text: str) -> list[str | bytes | int]:
     return out
 
 
-def _bytes(word: str | bytes) -> bytes:
-    return word if isinstance(word, bytes) else word.encode()
+def encode_stretches(path: str, lexicon: Lexicon, stretches: list[str | bytes | int]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of ids of each stretch, ids of all one after the other)."""
+    split = patterns()[1].findall
+    place: dict[str | bytes, int] = {}
+    words: list[int] = []
+    counts, special = np.ones(len(stretches), np.int64), []
+    for k, x in enumerate(stretches):
+        if isinstance(x, int):
+            special.append(k)
+            counts[k] = 0
+        elif isinstance(x, bytes) or x.isalpha():
+            words.append(place.setdefault(x, len(place)))
+        else:
+            found = split(x)
+            counts[k] = len(found)
+            words += [place.setdefault(w, len(place)) for w in found]
+    n, ids = encode_words(path, lexicon, [w if isinstance(w, bytes) else w.encode() for w in place])
+    at = np.array(words, np.int64)
+    flat = ids[ranges((np.cumsum(n) - n)[at], n[at])]
+    total = np.concatenate([[0], np.cumsum(n[at])])
+    ends = np.cumsum(counts)
+    sizes = total[ends] - total[ends - counts]
+    if special:
+        # a special string is one id between those of its neighbours
+        flat = np.insert(flat, total[ends[special]], [stretches[k] for k in special])
+        sizes[special] = 1
+    return sizes, flat
 
 
 def publish(spark: SparkSession, data: bytes) -> str:
@@ -290,9 +362,10 @@ def encode_bpe(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc
     changes no id: a word that it does not hold is merged.
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
-    rules = merges(path)
-    hot = [w.encode() for w in frequent(docs, text_col, words)]
-    name = publish(docs.sparkSession, compile_words({w: rules.encode(w) for w in hot if len(w) <= LONGEST_WORD}))
+    hot = sorted({w.encode() for w in frequent(docs, text_col, words) if len(w.encode()) <= LONGEST_WORD})
+    n, ids = merges(path).encode(hot)
+    flat, ends = ids.tolist(), np.cumsum(n).tolist()
+    name = publish(docs.sparkSession, compile_words({w: tuple(flat[e - k : e]) for w, e, k in zip(hot, ends, n.tolist())}))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _lexicon(name)
@@ -303,19 +376,11 @@ def encode_bpe(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc
                 for x in lists:
                     flat += x
                 place = {w: k for k, w in enumerate(dict.fromkeys(flat))}
-                kinds = list(place)
-                spelled = [k for k, w in enumerate(kinds) if not isinstance(w, int)]
-                ids: list[tuple[int, ...]] = [(w,) if isinstance(w, int) else () for w in kinds]
-                for k, got in zip(spelled, encode_words(path, lexicon, [_bytes(kinds[k]) for k in spelled]), strict=True):
-                    ids[k] = got
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                pool = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
+                sizes, ids = encode_stretches(path, lexicon, list(place))
                 at = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
                 n = sizes[at]
-                stop = np.cumsum(n)
-                total = int(stop[-1]) if len(stop) else 0
-                out = pool[np.repeat((np.cumsum(sizes) - sizes)[at] - (stop - n), n) + np.arange(total)]
-                ends = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)]
+                out = ids[ranges((np.cumsum(sizes) - sizes)[at], n)]
+                ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32()))], names=["doc_id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()

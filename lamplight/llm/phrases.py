@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from lamplight.llm.common import dense_ids, groups_of, shuffle_parts, slices, written
 
 #: Text of a block, distinct words of a block, bytes of text that become objects at once.
-BLOCK_BYTES, BLOCK_WORDS, PIECE_BYTES = 32 << 20, 1 << 19, 4 << 20
+BLOCK_BYTES, BLOCK_WORDS, PIECE_BYTES = 16 << 20, 1 << 18, 4 << 20
 #: Keys of a range, one sampled key of a run in so many, samples that are gathered at most, ranges at most.
-RANGE_KEYS, STRIDE, SAMPLES, RANGES = 1 << 21, 1 << 15, 1 << 20, 1 << 18
+RANGE_KEYS, STRIDE, SAMPLES, RANGES = 1 << 20, 1 << 14, 1 << 20, 1 << 18
 #: Bits of an id; three of them are a key.
 ID_BITS = 40
 LEAST, TOP, DROP_SHARE = 10, 2000, 50

@@ -1,15 +1,97 @@
-"""Fuzzy matching of records to texts by their ids."""
+"""Fuzzy matching of records to texts by their ids: candidates by shared grams and blocks, then an exact check."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamplight.functions.text import first_nonempty, match_id, positional_similarity
 
-#: Bytes of ids that are broadcast at most; above it both sides are dealt out in a grid of blocks.
+#: Bytes of a table of frequent keys that is broadcast at most; a larger one is joined.
 BROADCAST_BYTES = 8 << 20
 SIMILAR = 0.8
+#: Rows of a key from which on they are dealt out by salt.
+HOT = 1000
+#: Lengths of grams: an id has a signature of the longest that fits into it.
+GRAMS = (1, 2, 3, 5, 8)
+#: Ids up to this length are compared by pairs of blocks, longer ones by single blocks.
+PAIRED = 40
+
+
+def dealt_join(few: DataFrame, many: DataFrame, key: str) -> DataFrame:
+    """Inner join on ``key``; rows of ``many`` with a key that more than HOT of them have are dealt out by salt, and meet copies of ``few``."""
+    hot = many.groupBy(key).agg(F.ceil(F.count("*") / HOT).cast("int").alias("__salts")).where(F.col("__salts") > 1)
+    # a row of the table is a short key and a number
+    size = hot.agg(F.sum(F.octet_length(F.col(key).cast("string")) + 24)).first()[0] or 0
+    if not size:
+        return few.join(many, key)
+    if size <= BROADCAST_BYTES:
+        hot = F.broadcast(hot)
+    salts = F.coalesce("__salts", F.lit(1))
+    left = few.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    right = many.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*[c for c in many.columns if c != key]), salts).cast("int")).drop("__salts")
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
+def grams(text: Column, width: int) -> Column:
+    """The distinct substrings of a length; none where the text is shorter."""
+    n = F.char_length(text)
+    return F.when(n >= width, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(width)) - width + 1), lambda i: F.substr(text, i, F.lit(width)))))
+
+
+def contained_pairs(small: DataFrame, large: DataFrame) -> DataFrame:
+    """(s, l): each ``s`` with the ``l`` that contain it and are longer. Both are tables of distinct texts that are not empty.
+
+    A text has one signature: of its grams of the longest length in GRAMS that fits, the one that the fewest ``l`` hold. If one of
+    them is in no ``l``, neither is the text. ``l`` are looked up by all their grams, the candidates checked.
+    """
+    held = large.select("l", F.explode(F.flatten(F.filter(F.array(*[grams(F.col("l"), w) for w in GRAMS]), lambda g: g.isNotNull()))).alias("gram"))
+    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
+    own = F.coalesce(*[grams(F.col("s"), w) for w in reversed(GRAMS)])
+    asked = small.select("s", F.size(own).alias("k"), F.explode(own).alias("gram")).join(counts, "gram")
+    signed = asked.groupBy("s").agg(F.count("*").alias("found"), F.first("k").alias("k"), F.min(F.struct("n", "gram")).alias("g")).where("found = k").select("s", F.col("g.gram").alias("gram"))
+    return dealt_join(signed, held, "gram").where((F.char_length("l") > F.char_length("s")) & F.contains("l", "s")).select("s", "l")
+
+
+def block_keys(text: Column, size: Column) -> Column:
+    """Keys of a text within length class ``size``: texts whose longer one has that length and that differ in less than a fifth of its places share one.
+
+    Place p belongs to block p modulo the number of blocks, so that a common beginning spreads over all of them. Of texts with d differing places at least
+    blocks - d blocks agree: with d + 2 blocks a pair of them is a key, for long texts with d + 1 blocks a single one. Blocks that
+    reach beyond the text differ anyway and give no key.
+    """
+    paired = size <= PAIRED
+    blocks = F.floor((size - 1) / 5).cast("int") + F.when(paired, 2).otherwise(1)
+    whole = F.filter(F.sequence(F.lit(0), blocks - 1), lambda b: b + blocks * F.floor((size - 1 - b) / blocks) < F.char_length(text))
+    letters = F.split(text, "")
+    places = F.sequence(F.lit(0), size - 1)
+
+    def key(a: Column, b: Column) -> Column:
+        held = F.filter(places, lambda p: F.pmod(p, blocks).isin(a, b))
+        return F.concat_ws("/", size.cast("string"), a.cast("string"), b.cast("string"), F.array_join(F.transform(held, lambda p: F.get(letters, p)), ""))
+
+    pairs = F.flatten(F.transform(whole, lambda a: F.transform(F.filter(whole, lambda b: b > a), lambda b: key(a, b))))
+    return F.when(paired, pairs).otherwise(F.transform(whole, lambda a: key(a, a)))
+
+
+def similar_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(l, r, similar): texts of two tables, none in both, with a positional similarity above 0.8.
+
+    With M characters in the longer text, fewer than M / 5 places differ. Texts of M characters meet equally long and shorter ones
+    in class M by a key of ``block_keys``; classes go up to a quarter above a text's own length.
+    """
+
+    def keyed(df: DataFrame, c: str, first: int, last: Column | int) -> DataFrame:
+        n = F.char_length(c)
+        classes = F.when(n + first <= last, F.sequence(n + first, last))
+        return df.where(n > 4).withColumn("size", F.explode(classes)).select(c, F.explode(block_keys(F.col(c), F.col("size"))).alias("key"))
+
+    longest = lambda c: F.floor((5 * F.char_length(c) - 1) / 4).cast("int")
+    # the longer text is on the right, or on the left and strictly longer
+    one = dealt_join(keyed(left, "l", 0, longest("l")), keyed(right, "r", 0, F.char_length("r")), "key")
+    two = dealt_join(keyed(left, "l", 0, F.char_length("l")), keyed(right, "r", 1, longest("r")), "key")
+    both = one.unionByName(two).withColumn("similar", positional_similarity(F.col("r"), F.col("l")))
+    return both.where(F.col("similar") > SIMILAR).select("l", "r", "similar")
 
 
 def match_texts(records: DataFrame, texts: DataFrame, id_col: str = "id") -> DataFrame:
@@ -18,8 +100,8 @@ def match_texts(records: DataFrame, texts: DataFrame, id_col: str = "id") -> Dat
     Equal ids are a hash join. What is left goes to the text whose id contains the record's or is contained in it, the
     longer containment first, else to the most similar above 0.8; ties go to the first text. Ids that are null or
     empty match nothing, and fall back to name and category. Adds full_text and text_found.
-    The fuzzy leg compares every id left with every text: the texts' ids are broadcast if a count of their bytes allows it, else both
-    sides are dealt out in a grid of blocks.
+    No id is compared with all others: containment is looked for by the rarest gram, similarity, for what has none, by blocks of places of which
+    some must agree; frequent grams and blocks are dealt out.
     """
     t = texts.where(first_nonempty(F.col(id_col)).isNotNull()).select(match_id(F.col(id_col)).alias("t_id"), F.col("full_text").alias("t_text"), F.col("pos").alias("t_pos"))
     r = records.drop("full_text").withColumn("__r", match_id(F.coalesce(F.col(id_col), F.lit(""))))
@@ -29,20 +111,26 @@ def match_texts(records: DataFrame, texts: DataFrame, id_col: str = "id") -> Dat
     rest = equal.where("t_id is null").drop("t_id", "t_text")
     # the answer depends on the compared form alone, so each form is looked up once
     probe = rest.where("__r <> ''").select("__r").distinct()
-    ids = t.groupBy("t_id").agg(F.min("t_pos").alias("t_pos"))
-    size = ids.agg(F.sum(F.octet_length("t_id") + 24)).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        pairs = probe.join(F.broadcast(ids), F.lit(True))
-    else:
-        n = -(-size // BROADCAST_BYTES)
-        left = probe.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        pairs = left.join(ids.withColumn("__b", F.pmod(F.xxhash64("t_pos"), F.lit(n)).cast("int")), "__b")
-    inside = F.when(F.contains("t_id", "__r") | F.contains("__r", "t_id"), F.least(F.char_length("t_id"), F.char_length("__r"))).otherwise(F.lit(0))
-    scored = pairs.select("__r", "t_pos", "t_id", inside.alias("inside"), positional_similarity(F.col("t_id"), F.col("__r")).alias("similar")).where((F.col("inside") > 0) | (F.col("similar") > SIMILAR))
-    best = scored.groupBy("__r").agg(F.min(F.struct((-F.col("inside")).alias("a"), F.when(F.col("inside") > 0, 0.0).otherwise(-F.col("similar")).alias("b"), "t_pos", "t_id")).alias("best")).select(F.col("__r").alias("__q"), F.col("best.t_id").alias("t_id"))
+    ids = t.where("t_id <> ''").groupBy("t_id").agg(F.min("t_pos").alias("t_pos"))
+    best = best_matches(probe, ids)
     found = best.join(first, "t_id").drop("t_id").withColumn("__hit", F.lit(True))
     fuzzy = rest.join(found, F.col("__r") == F.col("__q"), "left").drop("__q")
     both = done.withColumn("__hit", F.lit(True)).unionByName(fuzzy)
     fallback = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("category", F.lit("")))
     keep = [c for c in records.columns if c != "full_text"]
     return both.select(*keep, F.coalesce(first_nonempty(F.col("t_text")), fallback).alias("full_text"), F.coalesce("__hit", F.lit(False)).alias("text_found"))
+
+
+def best_matches(probe: DataFrame, ids: DataFrame) -> DataFrame:
+    """(__q, t_id): for each ``__r`` of ``probe`` the best of ``ids`` (t_id, t_pos), if there is one; texts are distinct, not empty, and none is in both."""
+    records, names = probe.select(F.col("__r").alias("r")), ids.select("t_id")
+    around = contained_pairs(records.withColumnRenamed("r", "s"), names.withColumnRenamed("t_id", "l")).select(F.col("s").alias("r"), F.col("l").alias("t_id"))
+    within = contained_pairs(names.withColumnRenamed("t_id", "s"), records.withColumnRenamed("r", "l")).select(F.col("l").alias("r"), F.col("s").alias("t_id"))
+    # of the containments of a record the longest counts; positions are joined to those alone that are left
+    length = F.least(F.char_length("t_id"), F.char_length("r"))
+    inside = around.unionByName(within).join(ids, "t_id").groupBy("r").agg(F.min(F.struct((-length).alias("a"), "t_pos", "t_id")).alias("best"))
+    left = records.join(inside.select("r"), "r", "left_anti")
+    alike = similar_pairs(left.withColumnRenamed("r", "l"), names.withColumnRenamed("t_id", "r"))
+    alike = alike.select(F.col("l").alias("r"), F.col("r").alias("t_id"), "similar").join(ids, "t_id").groupBy("r").agg(F.min(F.struct((-F.col("similar")).alias("a"), "t_pos", "t_id")).alias("best"))
+    picked = lambda df: df.select(F.col("r").alias("__q"), F.col("best.t_id").alias("t_id"))
+    return picked(inside).unionByName(picked(alike))

@@ -137,7 +137,7 @@ class Lookup(dict):
         return got
 
 
-def slices(batch, text_at: int, size=None):
+def slices(batch, text_at: int, size=None, rows: int = SLICE_ROWS, most: int = SLICE_BYTES):
     """Parts of an Arrow batch that hold a bounded number of rows and bytes of text (one long text may exceed it).
 
     ``size`` gives the bytes that a compressed text will have.
@@ -149,7 +149,7 @@ def slices(batch, text_at: int, size=None):
     sizes = [v or 0 for v in pc.binary_length(column).to_pylist()] if size is None else [size(v) for v in column.to_pylist()]
     start = total = 0
     for i, size in enumerate(sizes):
-        if i > start and (i - start >= SLICE_ROWS or total + size > SLICE_BYTES):
+        if i > start and (i - start >= rows or total + size > most):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += size

@@ -31,6 +31,8 @@ LONGEST_WORD = 64
 #: From so many bytes on a word is merged on its own through a heap, shorter ones all at once.
 HEAPED = 48
 NEVER = 1 << 30
+#: Rows and bytes of text whose words are looked up together.
+PART_ROWS, PART_BYTES = 5000, 8 << 20
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -370,7 +372,7 @@ def encode_bpe(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _lexicon(name)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, rows=PART_ROWS, most=PART_BYTES):
                 lists = [split_text(path, t) if t else [] for t in part.column(1).to_pylist()]
                 flat: list[str | bytes | int] = []
                 for x in lists:
@@ -401,16 +403,18 @@ def decode_bpe(encoded: DataFrame, tokenizer: str | None = None, ids_col: str =
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
-                texts = []
-                for ids in part.column(at):
-                    flat = ids.values
-                    if flat is None:
-                        texts.append(None)
-                        continue
-                    ids = flat.to_pylist()
-                    if flat.null_count or ids and not 0 <= min(ids) <= max(ids) < known:
-                        ids = [i for i in ids if i is not None and 0 <= i < known]
-                    texts.append(" ".join([tokens[i] for i in ids]))
+                lists = part.column(at)
+                flat = lists.flatten()
+                numbers = flat.to_numpy(zero_copy_only=False)
+                if flat.null_count or len(numbers) and not 0 <= numbers.min() <= numbers.max() < known:
+                    texts = [None if x is None else " ".join(tokens[i] for i in x if i is not None and 0 <= i < known) for x in lists.to_pylist()]
+                else:
+                    words = list(map(tokens.__getitem__, numbers.tolist()))
+                    sizes = lists.value_lengths().to_pylist()
+                    texts, at_word = [], 0
+                    for n in sizes:
+                        texts.append(None if n is None else " ".join(words[at_word : at_word + n]))
+                        at_word += n or 0
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_col])
 
     return encoded.mapInArrow(decode, StructType([*encoded.schema.fields, StructField(out_col, StringType())]))

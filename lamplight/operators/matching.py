@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamplight.functions.text import first_nonempty, match_id, positional_similarity
+from lamplight.sources.shared import stored
 
 #: Bytes of a table of frequent keys that is broadcast at most; a larger one is joined.
 BROADCAST_BYTES = 8 << 20
@@ -18,9 +19,13 @@ GRAMS = (1, 2, 3, 5, 8)
 PAIRED = 40
 
 
-def dealt_join(few: DataFrame, many: DataFrame, key: str) -> DataFrame:
-    """Inner join on ``key``; rows of ``many`` with a key that more than HOT of them have are dealt out by salt, and meet copies of ``few``."""
-    hot = many.groupBy(key).agg(F.ceil(F.count("*") / HOT).cast("int").alias("__salts")).where(F.col("__salts") > 1)
+def dealt_join(few: DataFrame, many: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
+    """Inner join on ``key``; rows of ``many`` with a key that more than HOT of them have are dealt out by salt, and meet copies of ``few``.
+
+    ``counts`` (key, n) may give the rows of each key in ``many``; without it they are counted here.
+    """
+    counts = many.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    hot = counts.where(F.col("n") > HOT).select(key, F.ceil(F.col("n") / HOT).cast("int").alias("__salts"))
     # a row of the table is a short key and a number
     size = hot.agg(F.sum(F.octet_length(F.col(key).cast("string")) + 24)).first()[0] or 0
     if not size:
@@ -39,18 +44,23 @@ def grams(text: Column, width: int) -> Column:
     return F.when(n >= width, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(width)) - width + 1), lambda i: F.substr(text, i, F.lit(width)))))
 
 
-def contained_pairs(small: DataFrame, large: DataFrame) -> DataFrame:
-    """(s, l): each ``s`` with the ``l`` that contain it and are longer. Both are tables of distinct texts that are not empty.
+def contained_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(l, r): texts of two tables, none in both, of which one contains the other. The texts of a table are distinct and not empty.
 
-    A text has one signature: of its grams of the longest length in GRAMS that fits, the one that the fewest ``l`` hold. If one of
-    them is in no ``l``, neither is the text. ``l`` are looked up by all their grams, the candidates checked.
+    A text has one signature on the other side: of its grams of the longest length in GRAMS that fits, the one that the fewest texts there hold.
+    If one of them is in no text there, nothing there contains it. Texts are looked up by all their grams, the candidates checked.
     """
-    held = large.select("l", F.explode(F.flatten(F.filter(F.array(*[grams(F.col("l"), w) for w in GRAMS]), lambda g: g.isNotNull()))).alias("gram"))
-    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
-    own = F.coalesce(*[grams(F.col("s"), w) for w in reversed(GRAMS)])
-    asked = small.select("s", F.size(own).alias("k"), F.explode(own).alias("gram")).join(counts, "gram")
-    signed = asked.groupBy("s").agg(F.count("*").alias("found"), F.first("k").alias("k"), F.min(F.struct("n", "gram")).alias("g")).where("found = k").select("s", F.col("g.gram").alias("gram"))
-    return dealt_join(signed, held, "gram").where((F.char_length("l") > F.char_length("s")) & F.contains("l", "s")).select("s", "l")
+    sides = left.select(F.col("l").alias("text"), F.lit("l").alias("side")).unionByName(right.select(F.col("r").alias("text"), F.lit("r").alias("side")))
+    other = F.when(F.col("side") == "l", "r").otherwise("l")
+    held = sides.select(F.col("text").alias("whole"), F.explode(F.flatten(F.filter(F.array(*[grams(F.col("text"), w) for w in GRAMS]), lambda g: g.isNotNull()))).alias("gram"), "side")
+    # the side of the containing text is part of the key
+    held = held.select("whole", F.concat("side", "gram").alias("gram"))
+    counts = stored(held.groupBy("gram").agg(F.count("*").alias("n")))
+    own = F.coalesce(*[grams(F.col("text"), w) for w in reversed(GRAMS)])
+    asked = sides.select("text", "side", F.size(own).alias("k"), F.explode(own).alias("gram")).withColumn("gram", F.concat(other, "gram")).join(counts, "gram")
+    signed = asked.groupBy("text", "side").agg(F.count("*").alias("found"), F.first("k").alias("k"), F.min(F.struct("n", "gram")).alias("g")).where("found = k").select("text", "side", F.col("g.gram").alias("gram"))
+    pairs = dealt_join(signed, held, "gram", counts).where((F.char_length("whole") > F.char_length("text")) & F.contains("whole", "text"))
+    return pairs.select(F.when(F.col("side") == "l", F.col("text")).otherwise(F.col("whole")).alias("l"), F.when(F.col("side") == "l", F.col("whole")).otherwise(F.col("text")).alias("r"))
 
 
 def block_keys(text: Column, size: Column) -> Column:
@@ -81,17 +91,15 @@ def similar_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     in class M by a key of ``block_keys``; classes go up to a quarter above a text's own length.
     """
 
-    def keyed(df: DataFrame, c: str, first: int, last: Column | int) -> DataFrame:
+    def keyed(df: DataFrame, c: str, own: tuple[str, ...], longer: str) -> DataFrame:
         n = F.char_length(c)
-        classes = F.when(n + first <= last, F.sequence(n + first, last))
-        return df.where(n > 4).withColumn("size", F.explode(classes)).select(c, F.explode(block_keys(F.col(c), F.col("size"))).alias("key"))
+        # the mark tells whose own length the class is: both texts', the left one's or the right one's
+        classes = F.transform(F.sequence(n, F.floor((5 * n - 1) / 4).cast("int")), lambda m: F.struct(m.alias("size"), F.when(m == n, F.array(*map(F.lit, own))).otherwise(F.array(F.lit(longer))).alias("marks")))
+        each = df.where(n > 4).select(c, F.explode(classes).alias("k")).select(c, "k.size", F.explode("k.marks").alias("mark"))
+        return each.select(c, F.explode(block_keys(F.col(c), F.col("size"))).alias("key"), "mark").select(c, F.concat("mark", "key").alias("key"))
 
-    longest = lambda c: F.floor((5 * F.char_length(c) - 1) / 4).cast("int")
-    # the longer text is on the right, or on the left and strictly longer
-    one = dealt_join(keyed(left, "l", 0, longest("l")), keyed(right, "r", 0, F.char_length("r")), "key")
-    two = dealt_join(keyed(left, "l", 0, F.char_length("l")), keyed(right, "r", 1, longest("r")), "key")
-    both = one.unionByName(two).withColumn("similar", positional_similarity(F.col("r"), F.col("l")))
-    return both.where(F.col("similar") > SIMILAR).select("l", "r", "similar")
+    met = dealt_join(keyed(left, "l", ("b", "l"), "r"), keyed(right, "r", ("b", "r"), "l"), "key")
+    return met.withColumn("similar", positional_similarity(F.col("r"), F.col("l"))).where(F.col("similar") > SIMILAR).select("l", "r", "similar")
 
 
 def match_texts(records: DataFrame, texts: DataFrame, id_col: str = "id") -> DataFrame:
@@ -110,8 +118,8 @@ def match_texts(records: DataFrame, texts: DataFrame, id_col: str = "id") -> Dat
     done = equal.where("t_id is not null").drop("t_id")
     rest = equal.where("t_id is null").drop("t_id", "t_text")
     # the answer depends on the compared form alone, so each form is looked up once
-    probe = rest.where("__r <> ''").select("__r").distinct()
-    ids = t.where("t_id <> ''").groupBy("t_id").agg(F.min("t_pos").alias("t_pos"))
+    probe = stored(rest.where("__r <> ''").select("__r").distinct())
+    ids = stored(t.where("t_id <> ''").groupBy("t_id").agg(F.min("t_pos").alias("t_pos")))
     best = best_matches(probe, ids)
     found = best.join(first, "t_id").drop("t_id").withColumn("__hit", F.lit(True))
     fuzzy = rest.join(found, F.col("__r") == F.col("__q"), "left").drop("__q")
@@ -123,14 +131,15 @@ def match_texts(records: DataFrame, texts: DataFrame, id_col: str = "id") -> Dat
 
 def best_matches(probe: DataFrame, ids: DataFrame) -> DataFrame:
     """(__q, t_id): for each ``__r`` of ``probe`` the best of ``ids`` (t_id, t_pos), if there is one; texts are distinct, not empty, and none is in both."""
-    records, names = probe.select(F.col("__r").alias("r")), ids.select("t_id")
-    around = contained_pairs(records.withColumnRenamed("r", "s"), names.withColumnRenamed("t_id", "l")).select(F.col("s").alias("r"), F.col("l").alias("t_id"))
-    within = contained_pairs(names.withColumnRenamed("t_id", "s"), records.withColumnRenamed("r", "l")).select(F.col("l").alias("r"), F.col("s").alias("t_id"))
-    # of the containments of a record the longest counts; positions are joined to those alone that are left
-    length = F.least(F.char_length("t_id"), F.char_length("r"))
-    inside = around.unionByName(within).join(ids, "t_id").groupBy("r").agg(F.min(F.struct((-length).alias("a"), "t_pos", "t_id")).alias("best"))
-    left = records.join(inside.select("r"), "r", "left_anti")
-    alike = similar_pairs(left.withColumnRenamed("r", "l"), names.withColumnRenamed("t_id", "r"))
-    alike = alike.select(F.col("l").alias("r"), F.col("r").alias("t_id"), "similar").join(ids, "t_id").groupBy("r").agg(F.min(F.struct((-F.col("similar")).alias("a"), "t_pos", "t_id")).alias("best"))
-    picked = lambda df: df.select(F.col("r").alias("__q"), F.col("best.t_id").alias("t_id"))
-    return picked(inside).unionByName(picked(alike))
+    records, names = probe.select(F.col("__r").alias("l")), ids.select(F.col("t_id").alias("r"))
+    inside = contained_pairs(records, names).withColumn("a", -F.least(F.char_length("l"), F.char_length("r")))
+    # of the containments of a record the longest counts
+    inside = stored(best_of(inside, ids))
+    left = records.join(inside.select(F.col("__q").alias("l")), "l", "left_anti")
+    return inside.unionByName(best_of(similar_pairs(left, names).withColumn("a", -F.col("similar")), ids))
+
+
+def best_of(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Of each ``l`` the ``r`` with the least ``a``, then the least position."""
+    best = pairs.join(ids.withColumnRenamed("t_id", "r"), "r").groupBy("l").agg(F.min(F.struct("a", "t_pos", "r")).alias("best"))
+    return best.select(F.col("l").alias("__q"), F.col("best.r").alias("t_id"))

@@ -9,6 +9,7 @@ from lamplight.functions import text as T
 from lamplight.operators import chunks, ingredients, matching, records, statistics, store, vectors
 from lamplight.plans.registry import query
 from lamplight.sources.readers import tables
+from lamplight.sources.shared import stored
 
 
 @query("SELECT doc_id, length(text)::INT AS chars FROM documents WHERE length(text) >= 100")
@@ -290,13 +291,14 @@ EVERY_DENSE, EVERY_SPARSE = DENSE.replace("q.vec_id < {n}", "q.vec_id % 20 = 0")
 
 def every_query(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(query vectors, tokens of all documents, tokens of queries)."""
-    q, t = tables(spark, d, "embeddings").where("vec_id % 20 = 0"), vectors.postings(tables(spark, d, "documents"))
+    q, t = tables(spark, d, "embeddings").where("vec_id % 20 = 0"), stored(vectors.postings(tables(spark, d, "documents")))
     return q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), t, t.where("id % 20 = 0").withColumnRenamed("id", "query_id")
 
 
 @query(f"WITH {EVERY_DENSE} SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM dense")
 def dense_topk_every(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.dense_scores(dense_points(spark, d), every_query(spark, d)[0]).withColumn("score", F.round("score", 6)).select("query_id", "id", "score", "rank")
+    asked = tables(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vectors.dense_scores(dense_points(spark, d), asked).withColumn("score", F.round("score", 6)).select("query_id", "id", "score", "rank")
 
 
 @query(f"WITH {EVERY_SPARSE} SELECT query_id, id, score, rank::INT AS rank FROM sparse")

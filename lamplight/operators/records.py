@@ -193,9 +193,10 @@ def oil_records(docs: DataFrame) -> DataFrame:
 
 
 def french_records(docs: DataFrame) -> DataFrame:
-    """Liqueurs of sections of at least 200 characters; a record's content is the first line after its title that is not blank."""
+    """Liqueurs of sections of at least 200 characters; a record's content is the first line after its title that is not blank. ``pos`` counts the matches of a document."""
     sections = docs.select("doc_id", F.posexplode(F.split("text", rf"(?=§{WS}*\d+\.)", -1)).alias("section", "text")).where(F.char_length("text") >= 200)
-    m = matches(sections, FRENCH, at="place").withColumn("pos", F.col("section") * 100_000 + F.col("place"))
+    w = Window.partitionBy("doc_id").orderBy("section", "place")
+    m = matches(sections, FRENCH, at="place").withColumn("pos", F.row_number().over(w) - 1)
     m = m.select("doc_id", "pos", group(FRENCH, 1).try_cast("int").alias("r"), trim_all(group(FRENCH, 2)).alias("raw"), trim_all(group(FRENCH, 3)).alias("content"))
     m = m.where(F.col("content").rlike(FRENCH_INGREDIENTS) & (F.char_length("content") >= 80))
     name = F.when(F.col("raw").startswith("Вода "), F.concat(F.lit("Ликёр "), F.substring("raw", 6, 1_000_000))).otherwise(F.concat(F.lit("Ликёр "), "raw"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from lamplight.functions import text as T
 from lamplight.operators import chunks, ingredients, matching, records, statistics, store, vectors
 from lamplight.plans.registry import query
 from lamplight.sources.readers import tables
-from lamplight.sources.shared import stored
+from lamplight.sources.shared import shared_folder, stored
+from lamplight.streaming import parts
 
 
 @query("SELECT doc_id, length(text)::INT AS chars FROM documents WHERE length(text) >= 100")
@@ -367,6 +370,18 @@ def upsert_latest_wins(spark: SparkSession, d: str) -> DataFrame:
     return state.select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
 
 
+@query("""SELECT user_id, event_id, event_type, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1""")
+def upsert_in_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The events of the earlier half of their time, then those of the later one, upserted into a table in parts."""
+    e = tables(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    first, last = e.agg(F.min("ts"), F.max("ts")).first()
+    path = f"{shared_folder(spark)}/upserts-{uuid.uuid4().hex}"
+    later = F.col("ts") >= F.lit(first + (last - first) / 2 if first else None)
+    for name, batch in (("earlier", e.where(~F.coalesce(later, F.lit(False)))), ("later", e.where(later))):
+        parts.upsert_parts(spark, path, batch, ["user_id"], [F.col("ts"), F.col("event_id")], name, 8)
+    return parts.read_parts(spark, path).select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
+
+
 @query("SELECT conv_id, turn, role, length(text)::INT AS chars FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 2")
 def chat_memory_window(spark: SparkSession, d: str) -> DataFrame:
     return store.turns_in_memory(tables(spark, d, "conversations"), 2).select("conv_id", "turn", "role", F.char_length("text").alias("chars"))

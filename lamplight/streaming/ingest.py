@@ -1,41 +1,29 @@
-"""Streaming ingest: each micro-batch is upserted into a Parquet table of points, latest wins."""
+"""Streaming ingest: each micro-batch is upserted into a table of points in parts, latest wins."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from lamplight.operators.store import upsert
-
-
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Finished versions of a table, by the marker that a writer leaves when it is done."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(where):
-        return []
-    found = [s.getPath() for s in fs.listStatus(where)]
-    return sorted(int(p.getName()[2:]) for p in found if p.getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+from lamplight.streaming.parts import PARTS, read_parts, upsert_parts
 
 
 def current(spark: SparkSession, path: str) -> DataFrame | None:
-    have = versions(spark, path)
-    return spark.read.parquet(f"{path}/v={have[-1]}") if have else None
+    have = read_parts(spark, path)
+    return have.drop("part") if have is not None else None
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame], key: list[str], order: list[Column]) -> StreamingQuery:
-    """Start the query. A batch writes version ``batch id``; a batch that is run again writes the same version anew, so each
-    row counts once however often it comes."""
+def ingest(stream: DataFrame, path: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame], key: list[str], order: list[Column], parts: int = PARTS) -> StreamingQuery:
+    """Start the query. A batch rewrites the parts of the table that its keys fall into and commits them together; a batch of the same query
+    that is run again after its commit changes nothing. Parts that no commit of late names are cleared by ``parts.clear``."""
+    query = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = [v for v in versions(spark, path) if v < batch_id]
-        old = spark.read.parquet(f"{path}/v={before[-1]}") if before else None
-        upsert(old, prepare(batch), key, order).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        upsert_parts(batch.sparkSession, path, prepare(batch), key, order, f"{query}-{batch_id}", parts)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

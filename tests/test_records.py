@@ -164,3 +164,11 @@ def test_texts_that_begin_alike_stay(spark, tmp_path):
     got = {r.pos: r.digest for r in QUERIES["first_wins_texts"](spark, str(tmp_path)).collect()}
     want = {r.doc_id: r.m for r in df.select("doc_id", F.md5("text").alias("m")).collect() if r.doc_id in (2, 3, 7, 13)}
     assert got == want
+
+
+def test_many_sections_of_a_text(spark):
+    """A text of more sections than a product of numbers would hold keeps the order of its records."""
+    piece = lambda k: f"§ {k}. Введение {'слово ' * 40}\n{k}. Вода мятная.\nВозьми мяту и {BODY} {BODY}\n"
+    text = "".join(piece(k) if k in (1, 21_600) else f"§ {k}. x\n" for k in range(1, 21_601))
+    got = records.french_records(docs(spark, text)).orderBy("pos").collect()
+    assert [(r.pos, r.original_recipe_number) for r in got] == [(0, 1), (1, 21_600)]

@@ -32,7 +32,7 @@ LONGEST_WORD = 64
 HEAPED = 48
 NEVER = 1 << 30
 #: Rows and bytes of text whose words are looked up together.
-PART_ROWS, PART_BYTES = 5000, 8 << 20
+PART_ROWS, PART_BYTES = 1200, 4 << 20
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -378,11 +378,13 @@ def encode_bpe(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc
                 for x in lists:
                     flat += x
                 place = {w: k for k, w in enumerate(dict.fromkeys(flat))}
-                sizes, ids = encode_stretches(path, lexicon, list(place))
                 at = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
+                counts = [len(x) for x in lists]
+                del lists, flat
+                sizes, ids = encode_stretches(path, lexicon, list(place))
                 n = sizes[at]
                 out = ids[ranges((np.cumsum(sizes) - sizes)[at], n)]
-                ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)]
+                ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32()))], names=["doc_id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.llm.common import components, cut, groups_of, integral, over_numbers, slices
+from lamplight.llm.common import components, cut, groups_of, integral, over_numbers, slices, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -285,6 +285,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sig = cut(rows.mapInArrow(_sign, "doc_id long, digest binary, keys array<long>, sketch binary"))
     live = sig.where("digest is not null and doc_id is not null")
+    if live.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").limit(1).count():
+        return _of_rows(rows, similarity)
     same = live.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     same = cut(same)
     placed = same.select("rep", F.explode("keys").alias("key"))
@@ -321,17 +323,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = links.unionAll(more_links)
     comps = components(links)
     ids = live.select("doc_id", "digest").join(same.select(F.concat("digest", F.lit(b"")).alias("digest"), "rep"), "digest").select("doc_id", "rep").distinct()
-    # rows of one id with different texts tie their classes together
-    more = ids.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
-    tied = cut(ids.join(more.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    if tied.limit(1).count():
-        comps = components(links.unionAll(tied))
     classes = ids.join(comps.withColumnRenamed("id", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("comp", "rep")).alias("class"))
     out = sig.select("doc_id").join(classes, "doc_id", "left")
     class_id = F.coalesce("class", "doc_id")
     return out.select("doc_id", class_id.alias("class_id"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
 
 
+def _of_rows(rows: DataFrame, similarity: float) -> DataFrame:
+    """``near_groups`` of rows (doc_id, text) some of whose ids have several texts: rows are compared as documents of their own, then classes that share an id are one."""
+    numbered = written(rows.where("doc_id is not null").withColumn("number", F.monotonically_increasing_id()))
+    found = near_groups(numbered, "number", "text", similarity).select(F.col("doc_id").alias("number"), "class_id")
+    of_class = written(numbered.select("number", "doc_id").join(found, "number").select("doc_id", "class_id"))
+    low = of_class.groupBy("class_id").agg(F.min("doc_id").alias("low"))
+    comps = components(of_class.join(low.select(F.shiftleft("class_id", 0).alias("class_id"), "low"), "class_id").select(F.col("doc_id").alias("a"), F.col("low").alias("b")))
+    out = rows.select("doc_id").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    class_id = F.coalesce("comp", "doc_id")
+    return out.select("doc_id", class_id.alias("class_id"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The input's rows and columns without all but one document of each class; cases as in ``near_groups``.
 

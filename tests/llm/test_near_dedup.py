@@ -173,3 +173,15 @@ def brute_of_any(rows):
     order = sorted(r.doc_id for r in rows if r.doc_id is not None)
     back = dict(enumerate(order)) | {None: None}
     return sorted(((back[i], back[c]) for i, c in brute([row(None if r.doc_id is None else order.index(r.doc_id), r.text) for r in rows])), key=repr)
+
+
+def test_links_of_every_text_of_an_id(spark):
+    """Rows (1, A), (1, B), (2, near A), (3, near B) are one class: each text of an id keeps its links."""
+    rng = random.Random(77)
+    a, b, c = (prose(rng, 300) for _ in range(3))
+    near = lambda t: " ".join(["other", *t.split()[1:]])
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (5, c), (6, near(c)), (6, "short text of its own"), (7, None), (7, near(c)), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.class_id, r.kept) for r in nd.near_groups(df).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (5, 5, True), (6, 5, False), (7, 5, False), (None, None, True)}
+    assert nd.near_groups(df).count() == len(rows)

@@ -239,6 +239,20 @@ def sparse_tf_vectors(spark: SparkSession, d: str) -> DataFrame:
     return long.select("doc_id", "space", "idx", F.round("weight", 6).alias("weight"))
 
 
+#: A vocabulary of five spaces and 300 terms by a rule: two letters after another, and each of them with a third.
+WIDE_TERMS = {space: [a + b + c for a in first for b in "aeinorst" for c in ("", "e", "n")][:60] for space, first in zip(("ingredients", "spices_herbs", "techniques", "categories", "measurements"), ("det", "sal", "mir", "non", "unc"))}
+WIDE_VALUES = ", ".join(f"('{space}', {k}, '{t}', {vectors.SPACE_WEIGHTS[space]})" for space, terms in WIDE_TERMS.items() for k, t in enumerate(terms))
+
+
+@query(f"""WITH v(space, idx, term, weight) AS (VALUES {WIDE_VALUES}),
+    c AS (SELECT doc_id, space, idx::INT AS idx, weight, ((length(t) - length(replace(t, term, ''))) / length(term))::INT AS n FROM (SELECT doc_id, lower(text || ' ' || source) AS t FROM documents), v)
+    SELECT doc_id, space, idx, round(n * weight::DOUBLE, 6) AS weight FROM c WHERE n > 0""")
+def sparse_tf_wide(spark: SparkSession, d: str) -> DataFrame:
+    v = vectors.vocabulary_vectors(tables(spark, d, "documents"), WIDE_TERMS, F.col("text"), F.col("source"))
+    long = v.select("doc_id", F.explode("sparse").alias("space", "m")).select("doc_id", "space", F.explode("m").alias("idx", "weight"))
+    return long.select("doc_id", "space", "idx", F.round("weight", 6).alias("weight"))
+
+
 def dense_points(spark: SparkSession, d: str) -> DataFrame:
     return tables(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 

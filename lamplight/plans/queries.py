@@ -12,7 +12,7 @@ from lamplight.operators import chunks, ingredients, matching, records, statisti
 from lamplight.plans.registry import query
 from lamplight.sources.readers import tables
 from lamplight.sources.shared import shared_folder, stored
-from lamplight.streaming import parts
+from lamplight.streaming import ingest, memory, parts
 
 
 @query("SELECT doc_id, length(text)::INT AS chars FROM documents WHERE length(text) >= 100")
@@ -401,6 +401,16 @@ def chat_memory_window(spark: SparkSession, d: str) -> DataFrame:
     return store.turns_in_memory(tables(spark, d, "conversations"), 2).select("conv_id", "turn", "role", F.char_length("text").alias("chars"))
 
 
+@query("SELECT conv_id, turn, role, length(text)::INT AS chars FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations WHERE text IS NOT NULL) WHERE k <= 2")
+def chat_memory_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same memory kept by a stream over the conversations (a pattern names them, be they a file or a folder)."""
+    at = f"{shared_folder(spark)}/memory-{uuid.uuid4().hex}"
+    turns = tables(spark, d, "conversations")
+    stream = ingest.chat_stream(spark, f"{d}/conversations.parquet*", turns.schema.simpleString()[7:-1].replace(":", " "))
+    memory.remember(stream, 2, f"{at}/table", f"{at}/checkpoint", parts=8).awaitTermination()
+    return memory.memory(spark, f"{at}/table").select("conv_id", F.col("turn").cast(turns.schema["turn"].dataType).alias("turn"), "role", F.char_length("text").alias("chars"))
+
+
 @query("""SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 'no content' WHEN length(text) < 400 THEN 'too short' END AS error FROM documents""")
 def quarantine_split(spark: SparkSession, d: str) -> DataFrame:
     good, bad = store.quarantined(tables(spark, d, "documents").select("doc_id", "text"), store.document_checks(400))

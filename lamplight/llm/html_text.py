@@ -17,6 +17,7 @@ import html
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from itertools import accumulate
 
 import pyarrow as pa
@@ -130,13 +131,22 @@ def table_lines(rows: list[list[tuple[list[str], int, int]] | None]) -> list[str
     """
     width: dict[int, int] = {}
     placed: list[list[tuple[list[str], int]]] = []
-    above: list[tuple[int, int, int]] = []  # first column, column after the last, rows still to go
-    for row in rows:
+    # columns that cells from above hold: [first column, column after the last, row at which they are free], those side by side that end together as one
+    above: list[list[int]] = []
+    free_at: list[int] = []
+    stop = 0
+    for number, row in enumerate(rows):
+        if number == stop:
+            above, free_at = [], []
+            stop = next((k for k in range(number, len(rows)) if rows[k] is None), len(rows)) + (row is None)
         if row is None:
-            above = []
             continue
+        if free_at and free_at[0] <= number:
+            above = [x for x in above if x[2] > number]
+            while free_at and free_at[0] <= number:
+                heappop(free_at)
         at = passed = 0
-        cells, reach = [], [(a, b, n - 1) for a, b, n in above if n > 1]
+        cells, reach = [], []
         for lines, span, down in row:
             while passed < len(above) and above[passed][0] <= at:
                 at = max(at, above[passed][1])
@@ -144,10 +154,17 @@ def table_lines(rows: list[list[tuple[list[str], int, int]] | None]) -> list[str
             if span == 1:
                 width[at] = max(width.get(at, 0), max(map(len, lines), default=0))
             if down > 1:
-                reach.append((at, at + span, down - 1))
+                # beyond the part's end all are alike
+                reach.append([at, at + span, min(number + down, stop)])
             cells.append((lines, at))
             at += span
-        above = sorted(reach)
+        for x in reach:
+            k = bisect_left(above, x)
+            if k and above[k - 1][1] == x[0] and above[k - 1][2] == x[2]:
+                above[k - 1][1] = x[1]
+            else:
+                above.insert(k, x)
+                heappush(free_at, x[2])
         placed.append(cells)
     known = sorted(width)
     sums = [0, *accumulate(width[k] for k in known)]

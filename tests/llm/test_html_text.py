@@ -154,3 +154,17 @@ def test_tables_equal_a_plain_grid():
             want.append(s.rstrip())
         source = "<table>" + "".join("<tr>" + "".join(f"<td colspan={a} rowspan={d}>{t}" for t, a, d in cells) for cells in rows) + "</table>"
         assert render(source) == "\n".join(want)
+
+
+@pytest.mark.parametrize("cell", ["<td rowspan=0>", "<td rowspan=60000>", "<td rowspan=9>x<td rowspan=3>"])
+def test_many_spanning_rows(cell):
+    """Rows whose cells reach down take time in proportion, be they ever so many."""
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        render("<table>" + f"<tr>{cell}" * n + "</table>")
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 6 * max(seconds(4000), 0.05)

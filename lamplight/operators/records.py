@@ -76,12 +76,17 @@ def main_records(docs: DataFrame) -> DataFrame:
     return shaped(m.where(F.char_length("content") >= 100), number=F.col("number"), name=F.col("name"), content=F.col("content"))
 
 
+def capped(rows: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` rows of each document, by ``pos``."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).where(F.col("rank") <= most).drop("rank")
+
+
 def starred_records(docs: DataFrame, most: int = 300) -> DataFrame:
     """Starred headings that are no chapter headings, at most ``most`` accepted ones a document (a limit of the format)."""
     m = matches(docs.where(F.col("text").contains("**")), STARRED)
     m = m.select("doc_id", "pos", group(STARRED, 1).try_cast("int").alias("number"), bare_name(group(STARRED, 2)).alias("name"), trim_all(group(STARRED, 3)).alias("content"))
     m = m.where(~contains_any(F.col("name"), HEADINGS) & (F.char_length("content") >= 100) & (F.char_length("name") > 3))
-    m = m.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).where(F.col("rank") <= most)
+    m = capped(m, most)
     return shaped(m, id=F.col("number").cast("string"), number=F.col("number"), name=F.col("name"), content=F.col("content"), source_pattern=F.lit("main_pattern"))
 
 

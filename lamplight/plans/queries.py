@@ -125,11 +125,8 @@ def category_histogram(spark: SparkSession, d: str) -> DataFrame:
     a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rank FROM l WHERE length(line) > 20)
     SELECT doc_id, pos::INT AS pos, length(line)::INT AS chars FROM a WHERE rank <= 5""")
 def cap_per_document(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     lines = tables(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.char_length("line") > 20)
-    ranked = lines.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).where("rank <= 5")
-    return ranked.select("doc_id", "pos", F.char_length("line").alias("chars"))
+    return records.capped(lines, 5).select("doc_id", "pos", F.char_length("line").alias("chars"))
 
 
 @query("""SELECT p_partkey, p_size + (p_partkey % 7)::DOUBLE / (p_partkey % 5 + 1) AS mixed, (p_partkey % 7)::DOUBLE / (p_partkey % 5 + 1) AS fraction,

@@ -58,7 +58,7 @@ def table_rows(records: DataFrame, source_type: str = "historical", most_text: i
 
 
 def write_table(rows: DataFrame, path: str, mode: str = "overwrite") -> dict[str, int]:
-    """Write good rows and put bad ones beside them; counts of both, observed in the same pass. Row groups are sorted by number."""
+    """Write good rows and put bad ones beside them, a job each over the rows; counts of both are observed as they are written. Row groups are sorted by number."""
     good, bad = quarantined(rows, {"no name": F.col("name").isNotNull(), "no ingredients": F.col("ingredients").isNotNull()})
     a, b = Observation("good"), Observation("bad")
     good.observe(a, F.count("*").alias("n")).sortWithinPartitions("recipe_number").write.mode(mode).partitionBy("source_type").parquet(f"{path}/rows")

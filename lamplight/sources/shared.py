@@ -19,8 +19,19 @@ def shared_folder(spark: SparkSession) -> str:
     return where
 
 
+def steps_folder(spark: SparkSession) -> str:
+    """Where this application keeps the tables of its steps."""
+    return f"{shared_folder(spark)}/steps-{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The rows through a Parquet table in the shared folder: computed once, read by column, and there when an executor is lost."""
-    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    """The rows through a Parquet table in the shared folder: computed once, read by column, and there when an executor is lost. It stays until ``release``."""
+    path = f"{steps_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> bool:
+    """Delete the tables of this application's steps, once no result that reads them is wanted any more; whether there were any."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(steps_folder(spark))
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))

@@ -47,3 +47,11 @@ def test_streaming_upsert_is_idempotent(spark, tmp_path):
         got = sorted((r.conv_id, r.text) for r in ingest.current(spark, out).collect())
         assert got == [(1, "b"), (2, "c")]
     assert readers.probe(spark).count() == 1
+
+
+def test_steps_are_stored_and_released(spark):
+    from lamplight.sources import shared
+
+    kept = shared.stored(spark.range(5))
+    assert kept.count() == 5 and all("/steps-" in f for f in kept.inputFiles())
+    assert shared.release(spark) and not shared.release(spark)

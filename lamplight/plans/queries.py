@@ -12,7 +12,7 @@ from lamplight.operators import chunks, ingredients, matching, records, statisti
 from lamplight.plans.registry import query
 from lamplight.sources.readers import tables
 from lamplight.sources.shared import shared_folder, stored
-from lamplight.streaming import ingest, memory, parts
+from lamplight.streaming import grams, ingest, memory, parts
 
 
 @query("SELECT doc_id, length(text)::INT AS chars FROM documents WHERE length(text) >= 100")
@@ -205,6 +205,16 @@ def search_by_element(spark: SparkSession, d: str) -> DataFrame:
     return statistics.search_by_element(order_parts(spark, d), "brand#1").select("id", "name", "recipe_number", F.array_join("matching_ingredients", "|").alias("matching"))
 
 
+@query(f"""WITH {ORDER_PARTS} SELECT id, 'order ' || id AS name, id::INT AS recipe_number, coalesce(string_agg(brand, '|' ORDER BY n, brand, q, u) FILTER (brand ILIKE '%brand#13%'), '') AS matching
+    FROM o GROUP BY id HAVING bool_or(brand ILIKE '%brand#13%')""")
+def search_stored_element(spark: SparkSession, d: str) -> DataFrame:
+    """The search over a stored table, by its postings."""
+    path = f"{shared_folder(spark)}/search-{uuid.uuid4().hex}"
+    parts.upsert_parts(spark, path, order_parts(spark, d), ["id"], [F.col("recipe_number")], "orders", 16, indexed="ingredients")
+    out = statistics.search_by_element(grams.rows_with(spark, path, "brand#13"), "brand#13")
+    return out.select("id", "name", "recipe_number", F.array_join("matching_ingredients", "|").alias("matching"))
+
+
 @query("SELECT l_orderkey AS id, count(*)::INT AS n_items FROM lineitem GROUP BY l_orderkey ORDER BY n_items DESC, id LIMIT 5")
 def top_by_array_length(spark: SparkSession, d: str) -> DataFrame:
     return statistics.top_by_items(order_parts(spark, d), 5).select("id", "n_items")

@@ -1,6 +1,7 @@
 """A table of points in key-hash parts under a manifest: an upsert rewrites only the parts that its keys fall into.
 
     path/parts/part=<k>/by=<commit>/*.parquet     rows of one part as one commit wrote them
+    path/grams/part=<k>/by=<commit>/*.parquet     postings of the same rows, where a column is indexed
     path/commits/<number>.json                    the manifest of a commit: which directory holds each part
 
 A commit is one file that is put in its place by a rename that fails where the name is taken, so readers see all of a commit or
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lamplight.operators.store import latest, upsert
+from lamplight.streaming.grams import write_postings
 
 #: Parts of a new table.
 PARTS = 64
@@ -87,12 +89,12 @@ def part_of(key: list[str], parts: int) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")
 
 
-def upsert_parts(spark: SparkSession, path: str, batch: DataFrame, key: list[str], order: list[Column], name: str | None = None, parts: int = PARTS) -> dict:
+def upsert_parts(spark: SparkSession, path: str, batch: DataFrame, key: list[str], order: list[Column], name: str | None = None, parts: int = PARTS, indexed: str | None = None) -> dict:
     """Put a batch into the table, latest wins, and commit; the manifest after it.
 
     Only the parts that the batch's keys fall into are read and written anew; the others' directories are taken over as they are. ``name`` tells a batch that is run again: if a
     commit has it, nothing is done. A failure before the commit leaves the table as it was; what was written lies about until ``clear``.
-    The number of parts is fixed by the first commit.
+    The number of parts is fixed by the first commit, as is ``indexed``, a column whose substrings ``grams.rows_with`` finds.
     """
     before = manifest(spark, path)
     if before and name is not None and name in before["batches"]:
@@ -110,10 +112,18 @@ def upsert_parts(spark: SparkSession, path: str, batch: DataFrame, key: list[str
     if touched:
         # a task holds parts as a whole, so a part is one file; Spark's own commit puts all of them in place at once
         out.repartition(len(touched), "part").withColumn("by", F.lit(mine)).write.mode("append").partitionBy("part", "by").parquet(f"{path}/parts")
+    indexed = before.get("indexed") if before else indexed
+    if touched and indexed is not None:
+        written = spark.read.schema(out.withColumn("by", F.lit(mine)).schema).option("basePath", f"{path}/parts").parquet(*[f"{path}/parts/part={k}/by={mine}" for k in touched])
+        write_postings(written, path, key, indexed)
+    fs, at = _fs(spark, path)
+    # a part whose texts are all short has no postings; others must be there when they are read
+    grams = {k: d for k, d in ((before.get("grams") or {}) if before else {}).items() if int(k) not in touched}
+    grams |= {str(k): d for k in touched if indexed is not None and fs.exists(at(f"{path}/{(d := f'grams/part={k}/by={mine}')}"))}
     schema = json.loads(out.schema.json())
     dirs = dict(before["parts"]) if before else {}
     dirs |= {str(k): f"parts/part={k}/by={mine}" for k in touched}
-    after = {"number": number, "of": count, "parts": dirs, "schema": schema, "wrote": len(touched), "batches": [*(before["batches"] if before else []), *([name] if name is not None else [])][-BATCHES:]}
+    after = {"number": number, "of": count, "parts": dirs, "schema": schema, "wrote": len(touched), "key": key, "indexed": indexed, "grams": grams, "batches": [*(before["batches"] if before else []), *([name] if name is not None else [])][-BATCHES:]}
     _commit(spark, path, number, after)
     return after
 
@@ -127,12 +137,13 @@ def clear(spark: SparkSession, path: str, keep: int = 2) -> int:
     have = commits(spark, path)
     live = {d for k in have[-keep:] for d in manifest(spark, path, k)["parts"].values()}
     gone = 0
-    root = at(f"{path}/parts")
-    for part in fs.listStatus(root) if fs.exists(root) else []:
-        if part.getPath().getName().startswith("part="):
-            for by in fs.listStatus(part.getPath()):
-                if f"parts/{part.getPath().getName()}/{by.getPath().getName()}" not in live:
-                    gone += bool(fs.delete(by.getPath(), True))
+    for kind in ("parts", "grams"):
+        root = at(f"{path}/{kind}")
+        for part in fs.listStatus(root) if fs.exists(root) else []:
+            if part.getPath().getName().startswith("part="):
+                for by in fs.listStatus(part.getPath()):
+                    if f"parts/{part.getPath().getName()}/{by.getPath().getName()}" not in live:
+                        gone += bool(fs.delete(by.getPath(), True)) and kind == "parts"
     for k in have[:-keep]:
         fs.delete(at(f"{path}/commits/{k}.json"), False)
     return gone

@@ -20,7 +20,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 LENGTH = 3
 #: Characters of a batch's texts whose grams are found together.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 19
 #: Small row groups, so that their statistics tell grams apart.
 GROUP_BYTES = 4 << 20
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -156,6 +158,26 @@ def slices(batch, text_at: int, size=None, rows: int = SLICE_ROWS, most: int = S
     yield batch.slice(start, n - start)
 
 
+def give_back() -> None:
+    """Return to the machine what this Python worker has freed: Spark uses workers again, and they keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """A function of batches whose worker gives memory back before it begins, as an earlier step may have left some, and at its end."""
+
+    @functools.wraps(run)
+    def bounded(batches):
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return bounded
+
+
 #: Edges that one task contracts.
 CONTRACTED = 500_000
 

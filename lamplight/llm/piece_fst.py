@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.llm.common import slices
+from lamplight.llm.common import lean, slices
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -403,6 +403,7 @@ def encode_pieces(docs: DataFrame, model: str | None = None, id_col: str = "doc_
     """
     path = model or public_tokenizers.path(MODEL)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = load(path)
         for batch in batches:

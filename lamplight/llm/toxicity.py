@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.llm.common import Lookup, shuffle_parts, slices, written
+from lamplight.llm.common import Lookup, lean, shuffle_parts, slices, written
 
 #: Characters before the predicted one, and the discount of their counts.
 CONTEXT = 5
@@ -357,6 +357,7 @@ def filter_bits(marks: DataFrame) -> np.ndarray:
 def _press(shared):
     """Ids that may have a label with their texts compressed, for the one shuffle that they take. id, text, place"""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, bits = zstandard.ZstdCompressor(level=3), shared.value
         for batch in batches:
@@ -373,6 +374,7 @@ def _texts(part: pa.RecordBatch, at: int) -> list[str]:
     return [back.decompress(z).decode("utf-8", "surrogatepass") for z in part.column(at).to_pylist()]
 
 
+@lean
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words with the documents of each kind that hold them. part, y, z"""
     seen: list[Counter] = [Counter() for _ in FOUR]
@@ -395,6 +397,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+@lean
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Character n-grams of words with their counts."""
     held: list[pa.RecordBatch] = []
@@ -419,6 +422,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pairs(shared):
     """Pairs of vocabulary words that follow each other, with the documents of each kind that hold them. part, y, z"""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
         n = len(vocabulary)
@@ -644,6 +648,7 @@ def _rated(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     shared = docs.sparkSession.sparkContext.broadcast((model, weights, scale))
     names = ["doc_id", "held_out", "score", "predicted", *(f"c{k}" for k in range(len(carry)))]
 
+    @lean
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, w, scale = shared.value
         cache = _cache(model)

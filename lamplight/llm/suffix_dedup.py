@@ -428,7 +428,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    # id, mark, start
+    # id, mark, start: sorted by id and mark, so a document has a row, and one more where a batch ends within it
     for batch in batches:
         ids, marks, start = (batch.column(k).to_numpy() for k in range(3))
         yield pa.RecordBatch.from_arrays(list(_ranges(ids, marks, start, start + LENGTH)), names=SETTLED_NAMES[:3])
@@ -490,7 +490,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         least = strings.groupBy("string").agg(F.min("id").alias("least")).withColumnRenamed("string", "s2")
         # a key that is computed anew is shuffled anew, so that adaptive execution may split a string of many documents
         more = strings.withColumn("string", F.concat("string", F.lit(b""))).join(least, F.col("string") == F.col("s2")).where("id > least")
-        ends = ends.unionAll(more.select("id", "mark", "start").mapInArrow(_packed, SPANS))
+        # a document's strings meet before they are packed: one row for each document, however many tasks the strings came from
+        more = more.select("id", "mark", "start").repartition(parts, "id", "mark").sortWithinPartitions("id", "mark")
+        ends = ends.unionAll(more.mapInArrow(_packed, SPANS))
     covered = settled.where("gram is null").select("id", "mark", "spans")
     ranges = covered.unionAll(ends).groupBy("id", "mark").agg(F.collect_list("spans").alias("ranges"))
     joined = small.join(ranges.withColumnsRenamed({"id": "i2", "mark": "m2"}), (F.col("id") == F.col("i2")) & (F.col("mark") == F.col("m2")), "left").select("id", "text", "ranges")

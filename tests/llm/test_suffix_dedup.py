@@ -127,3 +127,40 @@ def test_windows_show_what_the_whole_shows(monkeypatch, window):
         monkeypatch.setattr(sd, "WINDOW", window)
         got = sd.triggers(text, np.cumsum(sizes) - sizes, sizes)
         assert all(a.tolist() == b.tolist() for a, b in zip(want, got, strict=True))
+
+
+def rows_made(df, node: str) -> int:
+    """Rows that the named step of a plan has made, once its rows are collected."""
+    df.collect()
+    total, seen = 0, [df._jdf.queryExecution().executedPlan()]
+    while seen:
+        plan = seen.pop()
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            seen.append(plan.executedPlan())
+            continue
+        if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+            seen.append(plan.plan())
+            continue
+        if plan.simpleString(100).startswith(node):
+            total += plan.metrics().apply("pythonNumRowsReceived").value()
+        below = plan.children()
+        seen += [below.apply(k) for k in range(below.size())]
+    return total
+
+
+def test_strings_of_hot_triggers_are_packed_by_document(spark, monkeypatch):
+    """Before, each task that had met strings of a document made a row for it."""
+    rng = random.Random(8)
+    passage = prose(rng, 120)
+    rows = [f"{prose(rng, 3)}{passage[k : k + 600]}{prose(rng, 3)}" for k in range(40)]
+    docs = documents(spark, rows, extra=False)
+    monkeypatch.setattr(sd, "SAMPLED", 1)
+    monkeypatch.setattr(sd, "SEEN", 1)
+    monkeypatch.setattr(sd, "SORTED", 0)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = sd.remove_repeats(docs)
+        assert 0 < rows_made(out, "MapInArrow _packed") <= len(rows)
+        check(docs)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

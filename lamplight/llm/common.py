@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -166,12 +167,30 @@ def give_back() -> None:
         trim(0)
 
 
-def lean(run):
-    """A function of batches whose worker gives memory back before it begins, as an earlier step may have left some, and at its end."""
+#: Cached functions that the step whose tasks this Python worker runs keeps full from task to task.
+_KEPT: set = set()
+
+
+def enter(keeps: tuple) -> None:
+    """Begin a task: what another step has kept in this Python worker goes, and what earlier ones have freed goes back."""
+    if others := _KEPT.difference(keeps):
+        for cached in others:
+            cached.cache_clear()
+        gc.collect()  # what they kept may refer to itself
+    _KEPT.clear()
+    _KEPT.update(keeps)
+    give_back()
+
+
+def lean(run, *keeps):
+    """A function of batches whose worker gives memory back before it begins, as an earlier step may have left some, and at its end.
+
+    ``keeps`` are cached functions of a module that it calls: their results stay for its next task, and go once another step's begins.
+    """
 
     @functools.wraps(run)
     def bounded(batches):
-        give_back()
+        enter(keeps)
         yield from run(batches)
         give_back()
 
@@ -182,6 +201,7 @@ def lean(run):
 CONTRACTED = 500_000
 
 
+@lean
 def _contract(batches):
     """Edges of one task as stars: each vertex with the least one that it reaches here."""
     parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.llm.common import components, cut, groups_of, integral, over_numbers, slices, written
+from lamplight.llm.common import components, cut, groups_of, integral, lean, over_numbers, slices, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -157,6 +157,7 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> flo
     return s if s >= similarity - 1e-12 else 0.0
 
 
+@lean
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, 1):
@@ -181,6 +182,7 @@ def alike(sketch: np.ndarray, k: int, others: np.ndarray) -> np.ndarray:
     return same / np.maximum(((theirs > 0) | (mine > 0)).sum(axis=1), 1)
 
 
+@lean
 def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text of a key with the key's least text, where that is promising."""
     # key, rep, sketch
@@ -204,6 +206,7 @@ def _sides(g: pa.Table, at: int) -> list[tuple[int, np.ndarray]]:
     return [(k, right) for k in np.flatnonzero(side == i).tolist()]
 
 
+@lean
 def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts that may have a link to another group of their key, once for each block pair."""
     # key, i, j, side, rep, comp, sketch
@@ -225,6 +228,7 @@ def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settle(similarity: float):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # key, i, j, side, rep, comp, sketch, keys, h
         for g in groups_of(batches, 3):
@@ -253,6 +257,7 @@ def _settle(similarity: float):
     return run
 
 
+@lean
 def _hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, 1):
@@ -262,6 +267,7 @@ def _hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(similarity: float):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(k).to_pylist() for k in (2, 3))

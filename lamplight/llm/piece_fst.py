@@ -7,7 +7,7 @@ piece's negated score; a merge model weighs it 0 where the two adjacent pieces a
 gives and infinity elsewhere, which leaves one finite path: the library's segmentation. The shortest path is the encoding.
 
 Pieces hold the mark only at their beginning, so an input falls apart in front of each run of marks, and shortest paths
-of these segments are kept in a bounded cache of the Python worker.
+of these segments are kept in a bounded cache of the Python worker, which drops the transducer and its caches when it turns to another step.
 """
 
 from __future__ import annotations
@@ -403,7 +403,6 @@ def encode_pieces(docs: DataFrame, model: str | None = None, id_col: str = "doc_
     """
     path = model or public_tokenizers.path(MODEL)
 
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = load(path)
         for batch in batches:
@@ -417,7 +416,7 @@ def encode_pieces(docs: DataFrame, model: str | None = None, id_col: str = "doc_
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), lists, pa.array(same)], names=["doc_id", "n_pieces", "ids", "round_trip"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, n_pieces long, ids array<int>, round_trip boolean")
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(lean(run, load), f"doc_id {kind}, n_pieces long, ids array<int>, round_trip boolean")
 
 
 def decode_pieces(rows: DataFrame, model: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -429,4 +428,4 @@ def decode_pieces(rows: DataFrame, model: str | None = None, id_col: str = "doc_
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fst.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return rows.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, f"doc_id {rows.schema[id_col].dataType.simpleString()}, text string")
+    return rows.select(F.col(id_col), F.col(ids_col)).mapInArrow(lean(run, load), f"doc_id {rows.schema[id_col].dataType.simpleString()}, text string")

@@ -64,6 +64,8 @@ FILTER_BITS = 1 << 26
 HELD_RATIOS = 1 << 23
 #: Pairs of words that a task holds before it hands them on.
 HELD_PAIRS = 1_000_000
+#: Rows of their counts that it hands on in a batch, which Spark holds whole.
+HANDED = 50_000
 #: Counts of a word or an n-gram: ordinary and toxic rows of fold 0, and of fold 2.
 FOUR = ("p0", "t0", "p2", "t2")
 NUMBER = {(0, 0): 0, (0, 1): 1, (2, 0): 2, (2, 1): 3}
@@ -232,6 +234,7 @@ def _columns(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
     return {k: table.column(k).to_numpy() for k in table.column_names}
 
 
+@lean
 def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Log ratios of n-grams and contexts by the model and by the one of fold 0 alone (null where that has not seen them)."""
     for a in whole_contexts(batches, RATED_GRAMS):
@@ -248,6 +251,7 @@ def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _kept(number):
     """Rows of ``FOUR`` that keep a document after the discount, under their number, and a row of totals without one."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(8, np.int64)
         for batch in batches:
@@ -429,11 +433,19 @@ def _pairs(shared):
         cache = Lookup(lambda ws: np.where((at := places(vocabulary, numbers(ws))) < 0, n, at).tolist(), most=KEPT_WORDS)
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def out() -> pa.RecordBatch:
-            keys, back = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            kinds = np.concatenate([x for _, x in held])
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, kinds = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.bincount(back, kinds == k, len(keys)).astype(np.int64)) for k in range(4))], names=["g", *FOUR])
+            order = np.argsort(keys)
+            keys, kinds = keys[order], kinds[order]
+            del order
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            starts = np.append(np.flatnonzero(new), len(keys))
+            for at in range(0, len(starts) - 1, HANDED):
+                some = starts[at : at + HANDED + 1]
+                part = kinds[some[0] : some[-1]]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[some[:-1]]), *(pa.array(np.add.reduceat((part == k).astype(np.int64), some[:-1] - some[0])) for k in range(4))], names=["g", *FOUR])
 
         for batch in batches:
             for part in slices(batch, 2, zstandard.frame_content_size):
@@ -452,13 +464,14 @@ def _pairs(shared):
                 kind = np.array([NUMBER[x] for x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)], np.int8)
                 held.append((key[new], kind[who[new]]))
                 if sum(len(x) for x, _ in held) > HELD_PAIRS:
-                    yield out()
+                    yield from out()
         if held:
-            yield out()
+            yield from out()
 
     return run
 
 
+@lean
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words with their numbers, each at least once. z"""
     seen: set[str] = set()
@@ -477,6 +490,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+@lean
 def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """N-grams and contexts of words. w, word"""
     for batch in batches:
@@ -486,6 +500,7 @@ def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(g), pa.array(h)], names=["w", "g", "h"])
 
 
+@lean
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each word of a text: the number of the word, of the one before it (null at the start), of the pair. key, z"""
     for batch in batches:
@@ -602,6 +617,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         model, first = (Model(*grams, *contexts, *words, *both) for (contexts, grams, words), (_, _, both) in zip(held, gathered(pairs), strict=True))
         shared = spark.sparkContext.broadcast(first)
 
+        @lean
         def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = shared.value
             cache = _cache(model)
@@ -623,6 +639,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model, *logistic(x[order], y[order])
 
 
+@lean
 def _press_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed under the digests of their own. text"""
     press = zstandard.ZstdCompressor(level=3)

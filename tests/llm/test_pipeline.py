@@ -1,7 +1,10 @@
 import corpus_pipeline as cp
+import pyarrow as pa
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from awkward import documents, empty, texts
+from lamplight.llm import exact_dedup, near_dedup, piece_fst
 from lamplight.llm.toxicity import toxicity
 
 
@@ -54,3 +57,32 @@ def test_extra_columns_go_through(spark, tmp_path):
     for _, stage in cp.STAGES[:4]:
         out = stage(spark, docs, d)
         assert out.columns == docs.columns and {r.score for r in out.select(F.col("score")).collect()} == {"own score"}
+
+
+def steps_of_python(monkeypatch, spark, make):
+    """The functions of batches that a plan sends to Python workers."""
+    kind, runs = type(spark.range(0)), []
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, run, *a, f=kind.mapInArrow, **b: runs.append(run) or f(self, run, *a, **b))
+    make()
+    monkeypatch.undo()
+    return runs
+
+
+def test_workers_drop_what_another_step_keeps(spark, monkeypatch):
+    """Before, the transducer and its caches (some 160 MB) stayed in each worker through all later steps of the session."""
+    path = public_tokenizers.path(piece_fst.MODEL)
+    (run,) = steps_of_python(monkeypatch, spark, lambda: piece_fst.encode_pieces(documents(spark)))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["A text"])], names=["doc_id", "text"])
+    raw = batch.set_column(1, "text", pa.array([b"A text"], pa.binary()))
+    for other, rows in ((exact_dedup._contents, raw), (near_dedup._sign, batch)):
+        assert [b.num_rows for b in run(iter([batch]))] == [1]
+        fst = piece_fst.load(path)
+        assert [b.num_rows for b in run(iter([batch]))] == [1] and piece_fst.load(path) is fst  # the step's next task finds it
+        assert [b.num_rows for b in other(iter([rows]))] == [1]
+        assert piece_fst.load.cache_info().currsize == 0
+
+
+def test_all_steps_of_the_pipeline_give_memory_back(spark, tmp_path, monkeypatch):
+    d = write(spark, tmp_path, documents(spark, texts(plain=10), extra=False))
+    runs = steps_of_python(monkeypatch, spark, lambda: cp.run(spark, d))
+    assert len(runs) > 10 and all("bounded" in run.__code__.co_name for run in runs)

@@ -1,8 +1,12 @@
 import random
 import zlib
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from awkward import documents, empty, prose
@@ -188,3 +192,26 @@ def test_tables_that_stay_in_spark(spark, corpus, monkeypatch):
             assert abs(r.score - w.score) < 1e-6 and (r.held_out, r.predicted) == (w.held_out, w.predicted)
         kept = tx.drop_toxic(docs, labels)
         assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == small
+
+
+def test_pairs_are_handed_on_in_small_batches(monkeypatch):
+    """Before, a task's counts of pairs were one batch, which Spark and the worker held whole."""
+    monkeypatch.setattr(tx, "HANDED", 40, raising=False)
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(30)]
+    vocabulary = np.sort(tx.numbers(words[:25]))
+    lists = [[rng.choice(words) for _ in range(rng.choice((0, 1, 2, 60)))] for _ in range(80)]
+    folds = [(rng.choice((0, 2)), rng.randint(0, 1)) for _ in lists]
+    texts = pa.array([zstandard.compress(" ".join(x).encode()) for x in lists], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array([p for p, _ in folds]), pa.array([y for _, y in folds]), texts], names=["part", "y", "z"])
+    run = tx._pairs(SimpleNamespace(value=vocabulary))
+    out = list(run(iter([batch])))
+    assert len(out) > 2 and max(b.num_rows for b in out) <= 40
+    want = Counter()
+    for x, kind in zip(lists, folds, strict=True):
+        for a, b in {(a, b) for a, b in zip(x, x[1:]) if a in words[:25] and b in words[:25]}:
+            want[int(tx.pair_numbers(tx.numbers([a]), tx.numbers([b]))[0]), tx.NUMBER[kind]] += 1
+    rows = [r for b in out for r in b.to_pylist()]
+    assert len({r["g"] for r in rows}) == len(rows)
+    assert Counter({(r["g"], k): n for r in rows for k, c in enumerate(tx.FOUR) if (n := r[c])}) == want
+    assert list(run(iter([batch.slice(0, 0)]))) == [] == list(run(iter([batch.take([k for k, x in enumerate(lists) if len(x) < 2])])))

@@ -194,6 +194,41 @@ def test_tables_that_stay_in_spark(spark, corpus, monkeypatch):
         assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == small
 
 
+@pytest.mark.parametrize("most", [0, 40, 10**6])
+def test_pairs_of_few_documents_that_stay_in_spark(spark, corpus, monkeypatch, most):
+    """Whatever part of the pairs is sent, scores are the same, and few words are joined with the others."""
+    docs, labels = corpus
+    odd = documents(spark, ["", None, "...", "You STUPID moron", "zzz qqq", "you", "x" * 5000] * 2).withColumn("doc_id", F.col("doc_id") + 10_000)
+    docs = docs.unionByName(odd)
+    want = {r.doc_id: r for r in tx.toxicity(docs, labels).collect()}
+    small = {r.doc_id for r in tx.drop_toxic(docs, labels).collect()}
+    monkeypatch.setattr(tx, "HOT_PAIRS", most)
+    made = []
+    monkeypatch.setattr(tx, "written", lambda df, f=tx.written: made.append(f(df)) or made[-1])
+    model, weights, _ = tx.train(docs, labels)
+    assert isinstance(model, tx.Model if most == 10**6 else tx.Split)
+    got = tx.toxicity(docs, labels).collect()
+    assert len(got) == len(want)
+    for r in got:
+        w = want[r.doc_id]
+        assert abs(r.score - w.score) < 1e-9 and (r.held_out, r.predicted) == (w.held_out, w.predicted)
+    kept = tx.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == small
+    if most == 40:
+        handed = [df for df in made if "before" in df.columns]
+        words = docs.agg(F.sum(F.size(F.split("text", " ")))).first()[0]
+        assert handed and all(df.agg(F.sum(F.size("pair"))).first()[0] < words / 2 for df in handed)
+
+
+def test_pairs_of_the_most_documents_are_sent(spark, monkeypatch):
+    rows = [(k, n, 0, 0, 0, *[None] * 4) for k, n in enumerate([3, 3, 4, 70, 70, 500, 9])] + [(None, *range(8))]
+    two = spark.createDataFrame(rows, tx.KEPT)
+    for most, want in ((0, set()), (2, {5}), (3, {3, 4, 5}), (4, {3, 4, 5, 6}), (6, {2, 3, 4, 5, 6}), (9, set(range(7)))):
+        monkeypatch.setattr(tx, "HOT_PAIRS", most)
+        hot, cold = ({r.key for r in x.collect()} for x in tx.parted(two))
+        assert hot == want | {None} and cold == (set(range(7)) - want) | {None}
+
+
 def test_pairs_are_handed_on_in_small_batches(monkeypatch):
     """Before, a task's counts of pairs were one batch, which Spark and the worker held whole."""
     monkeypatch.setattr(tx, "HANDED", 40, raising=False)

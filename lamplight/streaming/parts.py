@@ -103,12 +103,12 @@ def upsert_parts(spark: SparkSession, path: str, batch: DataFrame, key: list[str
     count = before["of"] if before else parts
     mine = uuid.uuid4().hex
     new = batch.withColumn("part", part_of(key, count))
+    touched = sorted(r[0] for r in new.select("part").distinct().collect())
     # one row of a key is enough; a batch is small beside the table
     new = latest(new, ["part", *key], order)
-    touched = sorted(r[0] for r in new.select("part").distinct().collect())
     held = [f"{path}/{before['parts'][str(k)]}" for k in touched if str(k) in before["parts"]] if before else []
     old = spark.read.schema(StructType.fromJson(before["schema"])).option("basePath", f"{path}/parts").parquet(*held).drop("by") if held else None
-    out = upsert(old, new, ["part", *key], order)
+    out = new if old is None else upsert(old, new, ["part", *key], order)
     if touched:
         # a task holds parts as a whole, so a part is one file; Spark's own commit puts all of them in place at once
         out.repartition(len(touched), "part").withColumn("by", F.lit(mine)).write.mode("append").partitionBy("part", "by").parquet(f"{path}/parts")

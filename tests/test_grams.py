@@ -65,3 +65,39 @@ def test_nested_columns_and_empty_tables(spark, tmp_path):
     assert [r.k for r in grams.rows_with(spark, f"{tmp_path}/t", '"name":"brand#13","am').collect()] == [1]
     parts.upsert_parts(spark, f"{tmp_path}/e", df.limit(0), ["k"], [F.col("k")], indexed="v")
     assert grams.rows_with(spark, f"{tmp_path}/e", "brand").count() == 0
+
+
+def test_postings_are_lists(spark, tmp_path):
+    """A gram of a batch is one row, however many rows have it; of what most rows have the keys are not kept. Before, each row of a gram was one of its own."""
+    path = f"{tmp_path}/t"
+    put(spark, path, [(k, f"row number {k:05d}" + (" odd" if k % 2 else "") + (" rare" if k % 400 == 7 else "")) for k in range(2000)], 1, n=2)
+    m = parts.manifest(spark, path)
+    held = spark.read.parquet(*[f"{path}/{d}" for d in m["grams"].values()])
+    assert held.count() < 2000 and held.where("k is null").count() >= 2 * len("row number 0") - 4
+    assert held.agg(F.max(F.size("k"))).first()[0] <= 1000
+    for term in ("number", "odd", "rare", "0 odd", "0%odd rare", "r 01%7 r", "row 1", "number 00777", "numbers"):
+        got = grams.rows_with(spark, path, term)
+        every = parts.read_parts(spark, path)
+        assert sorted(r.k for r in got.collect()) == sorted(r.k for r in every.where(grams.like(every, "v", term)).collect()), term
+
+
+def test_postings_equal_plain_ones():
+    """Few letters and so many that a gram and a place exceed one number; texts of no gram, or none at all."""
+    rng = random.Random(3)
+    few = ["".join(rng.choice("ab\U0001f600") for _ in range(rng.randint(0, 9))) for _ in range(50)] + ["", "aa"]
+    for texts in (few, [], [""], ["ab"], ["abc"], few * 3):
+        check_posted(texts)
+    wide = "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x60000)]))
+    texts = [wide, *(wide[k : k + 3] for k in range(300))]
+    assert len(wide) ** 3 * len(texts) > 1 << 63
+    check_posted(texts)
+
+
+def check_posted(texts):
+    want = {}
+    for k, t in enumerate(texts):
+        for g in {t[i : i + 3] for i in range(len(t) - 2)}:
+            want.setdefault((ord(g[0]) << 42) | (ord(g[1]) << 21) | ord(g[2]), []).append(k)
+    gram, counts, owner = grams.posted(texts)
+    assert gram.tolist() == sorted(want) and counts.tolist() == [len(want[g]) for g in sorted(want)]
+    assert owner.tolist() == [k for g in sorted(want) for k in want[g]]

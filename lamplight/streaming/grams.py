@@ -107,7 +107,7 @@ def write_postings(rows: DataFrame, path: str, key: list[str], column: str) -> N
     """Postings of the rows just written, which have part and by. They are sorted where they are read: no shuffle."""
     texts = rows.select("part", "by", *key, F.lower(told(rows, column)).alias("text"))
     out = texts.mapInArrow(_postings, StructType([rows.schema["part"], rows.schema["by"], *_lists(rows.schema, key)]))
-    out.sortWithinPartitions("part", "by", "gram").write.mode("append").option("parquet.block.size", GROUP_BYTES).partitionBy("part", "by").parquet(f"{path}/grams")
+    out.sortWithinPartitions("part", "by", "gram").write.mode("append").option("parquet.block.size", GROUP_BYTES).option("compression", "zstd").partitionBy("part", "by").parquet(f"{path}/grams")
 
 
 def runs(term: str, literal: bool = False) -> list[str]:
